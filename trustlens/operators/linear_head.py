@@ -70,6 +70,7 @@ def read_heads(logits: DataFrame, sentiment_classes: list[str], aspect_classes:
         rnd(p_pos, _DP).alias("p_positive"),
         F.greatest(p_pos, p_neg).alias("confidence"),
         ordered.alias("aspect_list"),
+        F.array(*[(p > threshold).cast("int") for p in probs]).alias("aspect_pred"),
         *[rnd(p, _DP).alias(f"p_aspect{a}") for a, p in enumerate(probs)])
 
 
@@ -84,3 +85,57 @@ def linear_head_scores(docs: DataFrame, coefs: DataFrame, sentiment_classes: lis
                        threshold: float = fv.ASPECT_THRESHOLD) -> DataFrame:
     logits = head_logits(docs, coefs, sentiment_classes, aspect_classes, letters)
     return read_heads(logits, sentiment_classes, aspect_classes, threshold)
+
+
+def pandas_scorer(coef_rows, sentiment_classes: list[str], aspect_classes: list[str], letters: str,
+                  threshold: float = fv.ASPECT_THRESHOLD):
+    """The same head as a pandas function (for ``mapInPandas``): exact sums in integer
+    units of 1e-9, then the same double formulas as the column version."""
+    import math
+    import re
+
+    import numpy as np
+    import pandas as pd
+
+    keys = _keys(sentiment_classes, aspect_classes)
+    kidx = {k: n for n, k in enumerate(keys)}
+    bias = [0] * len(keys)
+    weights: dict[str, list[tuple[int, int]]] = {}
+    for head, cls, term, coef in coef_rows:
+        n = kidx.get((head, cls))
+        if n is None:
+            continue
+        units = int(round(coef * 10 ** 9))
+        if term is None:
+            bias[n] += units
+        else:
+            weights.setdefault(term, []).append((n, units))
+    strip = re.compile(f"[^{letters}\\s]")
+    other = aspect_classes[-1]
+    off = len(sentiment_classes)
+
+    def r(x, d):
+        return math.floor(x * 10 ** d + 0.5) / 10 ** d
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = {"doc_id": [], "sentiment": [], "p_positive": [], "confidence_pct": [], "aspects": []}
+        for doc_id, text in zip(pdf["doc_id"].to_numpy(), pdf["text"].to_numpy()):
+            z = list(bias)
+            for tok in strip.sub("", text.lower()).split():
+                for n, u in weights.get(tok, ()):
+                    z[n] += u
+            p_pos = 1.0 / (1.0 + math.exp((z[0] - z[1]) / 10 ** 9))
+            p_neg = 1.0 / (1.0 + math.exp((z[1] - z[0]) / 10 ** 9))
+            probs = [(1.0 / (1.0 + math.exp(-(z[off + a] / 10 ** 9))), a, name)
+                     for a, name in enumerate(aspect_classes)]
+            kept = sorted((p for p in probs if p[0] > threshold and p[2] != other), reverse=True)
+            out["doc_id"].append(int(doc_id))
+            out["sentiment"].append(sentiment_classes[1] if p_pos > 0.5 else sentiment_classes[0])
+            out["p_positive"].append(r(p_pos, _DP))
+            out["confidence_pct"].append(r(max(p_pos, p_neg) * 100, 1))
+            out["aspects"].append(", ".join(p[2] for p in kept) if kept else fv.NO_ASPECTS)
+        return pd.DataFrame(out).astype({"doc_id": np.int64})
+    return score
+
+
+SCORE_SCHEMA = "doc_id long, sentiment string, p_positive double, confidence_pct double, aspects string"

@@ -104,8 +104,10 @@ def q_lexicon_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- trust signals
 
-def _docs(spark, sf):
-    return fx.reviews(spark, sf).na.drop(subset=["text"])
+def _docs(spark, sf, spread: bool = True):
+    """The review batch; ``spread`` hash-partitions it by doc_id (jobs.by_review)."""
+    d = fx.reviews(spark, sf).na.drop(subset=["text"])
+    return jobs.by_review(d) if spread else d
 
 
 def q_score_length(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +139,7 @@ def q_tfidf_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf)
-    post = postings(d)
+    post = postings(d).persist()
     w = tfidf_weights(post, vocabulary(post, d.count()))
     return w.select("doc_id", "term", rnd("weight", 9).alias("weight"))
 
@@ -164,13 +166,13 @@ def q_linear_head_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_trust_score(spark: SparkSession, sf: str) -> DataFrame:
-    t = jobs.with_trust(jobs.trust_signals(_docs(spark, sf), fx.lexicon(spark, sf), A))
+    t = jobs.with_trust(jobs.trust_signals(_docs(spark, sf, False), fx.lexicon(spark, sf), A))
     return t.select("doc_id", "trust_score", "trust_length", "trust_diversity", "trust_emotion",
                     "trust_quality", "trust_similarity")
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.analyze(_docs(spark, sf), fx.lexicon(spark, sf), _predict(spark), A)
+    return jobs.analyze(_docs(spark, sf, False), fx.lexicon(spark, sf), _predict(spark), A)
 
 
 def q_scored_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,7 +180,7 @@ def q_scored_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_single_review(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.single_reviews(_docs(spark, sf), fx.lexicon(spark, sf), _predict(spark), A)
+    return jobs.single_reviews(_docs(spark, sf, False), fx.lexicon(spark, sf), _predict(spark), A)
 
 
 def q_report_kpis(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,6 +203,48 @@ def q_health_kpis(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.health_kpis(scored(spark, sf))
 
 
+def q_map_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """The head applied by a caller-supplied pandas function, one model per partition."""
+    from trustlens.operators.linear_head import SCORE_SCHEMA, pandas_scorer
+    from trustlens.operators.models import score_partitions
+    rows = [tuple(r) for r in fx.coefs(spark).collect()]  # the model: a small parameter table
+    make = lambda: pandas_scorer(rows, fx.SENTIMENT_CLASSES, fx.ASPECT_CLASSES, A.score)
+    return score_partitions(_docs(spark, sf), make, SCORE_SCHEMA)
+
+
+def q_eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Head predictions against rating labels and weak aspect tags (polar rows)."""
+    from trustlens.operators.models import evaluation_table
+    c, lem = _lemmas(spark, sf)
+    _, tags = asp.weak_aspect_labels(c, lem, fx.aspect_seeds(spark), fx.ASPECT_CLASSES)
+    rows = polar(c).select("doc_id", "text", "label")
+    pred = _predict(spark)(rows).join(rows.select("doc_id", "label"), "doc_id").join(tags, "doc_id")
+    pred = pred.withColumn("pred", (F.col("sentiment") == "positive").cast("int"))
+    return evaluation_table(pred, len(fx.ASPECT_CLASSES))
+
+
+def q_train_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Train candidate models on the corpus, keep the best, save and reload it."""
+    import uuid
+    from trustlens.plans.training import train
+    from trustlens.session import checkpoint_dir
+    out = f"{checkpoint_dir(spark)}/train-{uuid.uuid4().hex}"
+    _, metrics = train(fx.corpus(spark, sf), None, fx.stopwords(spark), fx.form_lemma(spark),
+                       fx.aspect_seeds(spark), fx.ASPECT_CLASSES, out, fx.LANGUAGE, A)
+    return metrics
+
+
+def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Write the scored batch as CSV to the shared folder and read it back."""
+    import uuid
+    from trustlens.session import checkpoint_dir
+    from trustlens.sources.readers import read_scored_csv
+    from trustlens.sources.writers import write_csv
+    path = f"{checkpoint_dir(spark)}/scored-{uuid.uuid4().hex}"
+    write_csv(scored(spark, sf), path)
+    return read_scored_csv(spark, path)
+
+
 QUERIES = {
     "rating_sentiment": q_rating_sentiment,
     "split_assignment": q_split_assignment,
@@ -229,4 +273,8 @@ QUERIES = {
     "suspicious": q_suspicious,
     "detail": q_detail,
     "health_kpis": q_health_kpis,
+    "map_scored": q_map_scored,
+    "eval_metrics": q_eval_metrics,
+    "train_models": q_train_models,
+    "csv_roundtrip": q_csv_roundtrip,
 }

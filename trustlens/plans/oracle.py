@@ -299,4 +299,26 @@ c AS (SELECT total, positive, negative, spam, {rnd('pos_share', 6)} AS pos_share
              CASE WHEN pos_share >= neg_share THEN 'positive' ELSE 'negative' END AS dominant FROM b)
 SELECT *, CASE WHEN health_pct >= 80 THEN 'no_spam' WHEN health_pct >= 50 THEN 'moderate' ELSE 'high_spam' END AS band
 FROM c"""
+    S["map_scored"] = S["linear_head_scores"]
+    S["csv_roundtrip"] = S["scored_batch"]
+    S["eval_metrics"] = f"""WITH {CORPUS}, {SPLIT}, {LEMMAS}, docs AS (SELECT doc_id, text FROM pol), {_head()},
+ev AS (SELECT h.doc_id, p.label, CASE WHEN h.sentiment = 'positive' THEN 1 ELSE 0 END AS pred
+       FROM head h JOIN pol p USING (doc_id)),
+b AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp,
+             count(*) FILTER (WHERE label = 0 AND pred = 1) AS fp,
+             count(*) FILTER (WHERE label = 1 AND pred = 0) AS fn,
+             count(*) FILTER (WHERE label = 0 AND pred = 0) AS tn FROM ev),
+am AS (SELECT CASE WHEN p > {D(fv.ASPECT_THRESHOLD)} THEN 1 ELSE 0 END AS pr,
+              CASE WHEN list_contains(string_split(tags, ','), aname) THEN 1 ELSE 0 END AS t
+       FROM ha JOIN tags USING (doc_id)),
+m AS (SELECT sum(CASE WHEN t = 1 AND pr = 1 THEN 1 ELSE 0 END) AS tp,
+             sum(CASE WHEN t = 0 AND pr = 1 THEN 1 ELSE 0 END) AS fp,
+             sum(CASE WHEN t = 1 AND pr = 0 THEN 1 ELSE 0 END) AS fn FROM am)
+SELECT b.n, b.tp, b.fp, b.fn, b.tn,
+       CASE WHEN 2 * b.tp + b.fp + b.fn > 0 THEN {rnd('2 * b.tp / (2 * b.tp + b.fp + b.fn)', 9)} ELSE 0 END AS f1_positive,
+       CASE WHEN 2 * b.tn + b.fn + b.fp > 0 THEN {rnd('2 * b.tn / (2 * b.tn + b.fn + b.fp)', 9)} ELSE 0 END AS f1_negative,
+       CASE WHEN b.n > 0 THEN {rnd('(b.tp + b.tn) / b.n', 9)} ELSE 0 END AS accuracy,
+       CASE WHEN 2 * m.tp + m.fp + m.fn > 0 THEN {rnd('2 * m.tp / (2 * m.tp + m.fp + m.fn)', 9)} ELSE 0 END
+         AS aspect_micro_f1
+FROM b, m"""
     return S
