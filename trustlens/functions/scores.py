@@ -27,10 +27,10 @@ def _clip01(x: Column) -> Column:
 def length_score(text, min_words: int = fv.MIN_WORDS, max_words: int = fv.MAX_WORDS) -> Column:
     """n < min -> n/min; n > max -> max(0, 1 - (n-max)/max); else 1. Null text -> 0."""
     n = word_count(text)
-    s = (F.when(n < min_words, n / F.lit(float(min_words)))
+    s = (F.when(_col(text).isNull(), F.lit(0.0)).when(n < min_words, n / F.lit(float(min_words)))
          .when(n > max_words, F.greatest(F.lit(0.0), 1 - (n - max_words) / F.lit(float(max_words))))
          .otherwise(F.lit(1.0)))
-    return F.coalesce(s, F.lit(0.0))
+    return s
 
 
 def diversity_score(text, letters: str) -> Column:
@@ -45,7 +45,7 @@ def diversity_score(text, letters: str) -> Column:
         return (F.when(n < fv.DIVERSITY_MIN_TOKENS, F.lit(0.0))
                 .when(n <= win, F.size(F.array_distinct(w)) / n)
                 .otherwise(mean))
-    return F.coalesce(let(letter_tokens(text, letters), on_tokens), F.lit(0.0))
+    return F.when(_col(text).isNull(), F.lit(0.0)).otherwise(let(letter_tokens(text, letters), on_tokens))
 
 
 def quality_score(text, letters: str, capitals: str) -> Column:
@@ -61,8 +61,7 @@ def quality_score(text, letters: str, capitals: str) -> Column:
     caps_ratio = caps_n / F.greatest(letters_n, F.lit(1))
     p4 = F.greatest(F.lit(0.0),
                     1 - F.greatest(F.lit(0.0), caps_ratio - fv.QUALITY_CAPS_FREE) * fv.QUALITY_CAPS_PENALTY)
-    s = F.when(L < 2, F.lit(0.0)).otherwise((((p1 + p2) + p3) + p4) / 4)
-    return F.coalesce(s, F.lit(0.0))
+    return F.when(t.isNull() | (L < 2), F.lit(0.0)).otherwise((((p1 + p2) + p3) + p4) / 4)
 
 
 def emotion_score(hits, mean, std) -> Column:
