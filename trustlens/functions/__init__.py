@@ -6,7 +6,7 @@ from trustlens.functions.text import (
 )
 from trustlens.functions.scores import (
     length_score, diversity_score, quality_score, emotion_score, similarity_score,
-    trust_score, pct, rating_sentiment, sentiment_label,
+    trust_score, pct, rating_sentiment, sentiment_label, rnd,
 )
 
 __all__ = [

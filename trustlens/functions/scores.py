@@ -52,7 +52,9 @@ def quality_score(text, letters: str, capitals: str) -> Column:
     """Mean of four penalties: letter share, runs of >= 4 equal chars, links, capitals."""
     t = _col(text)
     L = F.length(t)
-    letters_n = F.regexp_count(t, F.lit(f"[{letters}]"))
+    # letters = length minus what is left after deleting runs of letters (one regex match
+    # per run instead of one per letter)
+    letters_n = L - F.length(F.regexp_replace(t, f"[{letters}]+", ""))
     caps_n = F.regexp_count(t, F.lit(f"[{capitals}]"))
     repeats = F.regexp_count(t, F.lit(r"(?d)(.)\1{3,}"))
     p1 = F.least(letters_n / F.greatest(L, F.lit(1)) / fv.QUALITY_LETTER_RATIO, F.lit(1.0))

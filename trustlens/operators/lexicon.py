@@ -49,20 +49,19 @@ def lexicon_from_labels(docs: DataFrame, labels: DataFrame, letters: str,
     """
     lab = (docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
            .join(labels.select("doc_id", "quality"), "doc_id"))
-    sizes = lab.agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("P"),
-                    F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("N")).first()
-    P, N = int(sizes["P"] or 0), int(sizes["N"] or 0)
+    # class sizes as scalar subqueries: no driver round trip
+    P = lab.select(F.count_if(F.col("quality") == 1)).scalar()
+    N = lab.select(F.count_if(F.col("quality") == 0)).scalar()
     terms = (lab.select("doc_id", "quality",
                         F.explode(F.array_distinct(letter_tokens("text", letters))).alias("term")))
     counts = (terms.groupBy("term")
               .agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("p"),
                    F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("n"))
               .filter(F.col("p") + F.col("n") >= min_docs))
-    if P == 0 or N == 0:
-        return counts.limit(0).select(F.lit(0).cast("long").alias("pos"), "term",
-                                      F.lit("NEUT").alias("tag"), F.lit(0.0).alias("value"))
-    pr, nr = F.col("p") / F.lit(P), F.col("n") / F.lit(N)
-    value = (pr - nr) / (pr + nr)
+    pr, nr = F.col("p") / P, F.col("n") / N
+    # a class without documents gives no lexicon (the ratio is undefined)
+    value = F.when((P > 0) & (N > 0), (pr - nr) / (pr + nr))
+    counts = counts.filter((P > 0) & (N > 0))
     return counts.select(
         F.lit(0).cast("long").alias("pos"), "term",
         F.when(value > 0, "PSTV").when(value < 0, "NGTV").otherwise("NEUT").alias("tag"),

@@ -6,7 +6,7 @@ keeps the ``size`` terms of highest total count (ties: term ascending).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustlens import fixed_values as fv
@@ -21,14 +21,21 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             .select("doc_id", F.col("p.term").alias("term"), F.col("p.tf").alias("tf")))
 
 
-def vocabulary(post: DataFrame, n_docs: int, size: int = fv.VOCABULARY_SIZE) -> DataFrame:
-    """(term, idx, cf, df, idf) for the ``size`` most frequent terms; idx is 0-based rank."""
+def doc_count(docs: DataFrame):
+    """The number of reviews as a scalar subquery (no driver round trip)."""
+    return docs.select(F.count(F.lit(1))).scalar()
+
+
+def vocabulary(post: DataFrame, n_docs, size: int = fv.VOCABULARY_SIZE) -> DataFrame:
+    """(term, idx, cf, df, idf) for the ``size`` most frequent terms; idx is 0-based rank.
+    ``n_docs`` is an int or a scalar Column (see ``doc_count``)."""
     stats = post.groupBy("term").agg(F.sum("tf").cast("long").alias("cf"),
                                      F.count(F.lit(1)).alias("df"))
     top = stats.orderBy(F.desc("cf"), F.asc("term")).limit(size)
     # at most ``size`` rows: a single-partition rank is fine here
     rank = F.row_number().over(Window.orderBy(F.desc("cf"), F.asc("term"))) - 1
-    idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
+    n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
+    idf = F.log((1.0 + n.cast("double")) / (1.0 + F.col("df"))) + 1.0
     return top.select("term", rank.cast("int").alias("idx"), "cf", "df", idf.alias("idf"))
 
 

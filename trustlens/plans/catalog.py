@@ -18,7 +18,7 @@ from trustlens.operators.lemmas import clean_lemmas
 from trustlens.operators.lexicon import dedup_lexicon, emotion_stats, lexicon_from_labels
 from trustlens.operators.linear_head import aspects_text, linear_head_scores
 from trustlens.operators.similarity import similarity_scores
-from trustlens.operators.tfidf import postings, tfidf_weights, vocabulary
+from trustlens.operators.tfidf import doc_count, postings, tfidf_weights, vocabulary
 from trustlens.functions.text import letter_tokens
 from trustlens.plans import jobs
 from trustlens.sources import fixtures as fx
@@ -133,14 +133,14 @@ def q_score_emotion(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_tfidf_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf)
-    v = vocabulary(postings(d), d.count())
+    v = vocabulary(postings(d), doc_count(d))
     return v.select("term", "idx", "cf", "df", rnd("idf", 9).alias("idf"))
 
 
 def q_tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf)
     post = postings(d).persist()
-    w = tfidf_weights(post, vocabulary(post, d.count()))
+    w = tfidf_weights(post, vocabulary(post, doc_count(d)))
     return w.select("doc_id", "term", rnd("weight", 9).alias("weight"))
 
 
