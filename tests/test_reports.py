@@ -78,3 +78,29 @@ def test_head_ties(spark):
     assert out[1]["sentiment"] == "negative" and out[1]["confidence"] == 0.5
     assert out[1]["aspect_list"] == []
     assert out[2]["sentiment"] == "positive" and out[2]["aspect_list"] == ["a2"]
+
+
+def test_tags_from_arrays(spark):
+    from trustlens.operators.aspects import tags_from_arrays
+    df = spark.createDataFrame([(["price", "box"],), (["nothing"],), (["late", "cost"],)], "l array<string>")
+    d = {"quality": ["box"], "price": ["cost", "price"], "delivery": ["late"]}
+    got = [r[0] for r in df.select(tags_from_arrays("l", d, "other")).collect()]
+    assert got == [["quality", "price"], ["other"], ["price", "delivery"]]
+
+
+def test_analyze_text_and_csv(spark, tmp_path):
+    from trustlens.functions.text import DEFAULT_ALPHABETS as A
+    lex = spark.createDataFrame([(0, "супер", "PSTV", 0.9)], "pos long, term string, tag string, value double")
+    coefs = spark.createDataFrame([("sentiment", "negative", None, 0.0), ("sentiment", "positive", None, 0.0),
+                                   ("sentiment", "positive", "супер", 1.0)],
+                                  "head string, class string, term string, coef double")
+
+    def predict(docs):
+        return linear_head_scores(docs, coefs, ["negative", "positive"], ["a", "другое"], A.score)
+    r = jobs.analyze_text(spark, "Отличный телефон, камера супер, доставили быстро!", lex, predict).first()
+    assert r["sentiment"] == "positive" and r["verdict"] == "safe"
+    src = tmp_path / "in.csv"
+    src.write_text('text,other\n"супер, очень ""хорошо"" товар",1\n,2\nплохо плохо плохо плохо,3\n', encoding="utf-8")
+    out = jobs.analyze_csv(spark, str(src), str(tmp_path / "out"), lex, predict).collect()
+    assert len(out) == 2
+    assert {r["text"] for r in out} == {'супер, очень "хорошо" товар', "плохо плохо плохо плохо"}

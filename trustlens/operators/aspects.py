@@ -64,3 +64,16 @@ def weak_aspect_labels(corpus: DataFrame, lemmas: DataFrame, seeds: DataFrame,
     dictionary = expand_aspects(seeds, pool)
     tags = tag_aspects(corpus, lemmas, dictionary, other)
     return dictionary, tags.withColumn("aspect_labels", multi_hot(F.col("tags"), classes))
+
+
+def tags_from_arrays(lemmas_col, dictionary: dict[str, list[str]], other: str = fv.OTHER_ASPECT):
+    """Array form of tagging for a small in-memory dictionary (aspect -> words, in aspect
+    order): aspects whose word list overlaps the lemma array, else ``[other]``.
+
+    For dictionaries that are tables, use ``tag_aspects`` (a broadcast join).
+    """
+    lem = F.col(lemmas_col) if isinstance(lemmas_col, str) else lemmas_col
+    hits = F.array(*[F.when(F.arrays_overlap(lem, F.array(*[F.lit(w) for w in words])), F.lit(a))
+                     for a, words in dictionary.items()])
+    found = F.filter(hits, lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(other)))
