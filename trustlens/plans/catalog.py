@@ -105,9 +105,8 @@ def q_lexicon_dedup(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- trust signals
 
 def _docs(spark, sf, spread: bool = True):
-    """The review batch; ``spread`` hash-partitions it by doc_id (jobs.by_review)."""
-    d = fx.reviews(spark, sf).na.drop(subset=["text"])
-    return jobs.by_review(d) if spread else d
+    """The review batch (``fixtures.table`` already partitions it by doc_id)."""
+    return fx.reviews(spark, sf).na.drop(subset=["text"])
 
 
 def q_score_length(spark: SparkSession, sf: str) -> DataFrame:

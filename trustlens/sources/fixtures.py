@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from trustlens import fixed_values as fv
 from trustlens.functions.text import LATIN_ALPHABETS
 from trustlens.operators.lexicon import lexicon_from_labels
+from trustlens.operators.partitioning import by_review
 
 ALPHABETS = LATIN_ALPHABETS
 LANGUAGE = "en"
@@ -52,7 +53,10 @@ COEFS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; ``documents`` comes hash-partitioned by doc_id so that the text
+    work of every consumer runs in parallel whatever the file layout."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return by_review(df) if name == "documents" else df
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
