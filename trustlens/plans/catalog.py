@@ -46,6 +46,13 @@ def q_class_counts(spark: SparkSession, sf: str) -> DataFrame:
     return class_weights(train).select("label", "n", rnd("weight", 9).alias("weight"))
 
 
+def q_train_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Training rows with the inverse-frequency weight of their class (ML-2 as weightCol)."""
+    from trustlens.operators.corpus import with_class_weight
+    train = _polar_split(spark, sf).filter(F.col("split") == "train")
+    return with_class_weight(train).select("doc_id", "label", rnd("weight", 9).alias("weight"))
+
+
 def _lemmas(spark, sf):
     c = with_sentiment(fx.corpus(spark, sf), fx.LANGUAGE)
     return c, clean_lemmas(c, fx.stopwords(spark), fx.form_lemma(spark), A.lemma, carry=("sentiment",))
@@ -248,6 +255,7 @@ QUERIES = {
     "rating_sentiment": q_rating_sentiment,
     "split_assignment": q_split_assignment,
     "class_counts": q_class_counts,
+    "train_weights": q_train_weights,
     "clean_lemmas": q_clean_lemmas,
     "lemma_counts_by_class": q_lemma_counts_by_class,
     "candidate_terms": q_candidate_terms,

@@ -233,6 +233,9 @@ def oracle_sql() -> dict[str, str]:
     S["split_assignment"] = f"WITH {CORPUS}, {SPLIT} SELECT doc_id, label, bucket, split FROM spl"
     S["class_counts"] = (f"WITH {CORPUS}, {SPLIT} SELECT label, count(*) AS n, {rnd('1 / count(*)', 9)} AS weight "
                          f"FROM spl WHERE split = 'train' GROUP BY label")
+    S["train_weights"] = (f"WITH {CORPUS}, {SPLIT}, tr AS (SELECT * FROM spl WHERE split = 'train'), "
+                          f"cw AS (SELECT label, count(*) AS n FROM tr GROUP BY label) "
+                          f"SELECT tr.doc_id, tr.label, {rnd('1 / cw.n', 9)} AS weight FROM tr JOIN cw USING (label)")
     S["clean_lemmas"] = f"WITH {CORPUS}, {SPLIT}, {LEMMAS} SELECT doc_id, pos, lemma FROM lem"
     S["lemma_counts_by_class"] = f"WITH {CORPUS}, {SPLIT}, {LEMMAS} SELECT sentiment, lemma, n FROM cnt"
     S["candidate_terms"] = f"WITH {CORPUS}, {SPLIT}, {LEMMAS} SELECT lemma, n FROM cand"
