@@ -17,7 +17,7 @@ from trustlens.functions.text import letter_tokens
 from trustlens.operators.broadcast import bounded_broadcast
 
 _DP = 6
-_DEC = "decimal(18,9)"
+_UNIT = 10 ** 9
 
 
 def _keys(sentiment_classes, aspect_classes):
@@ -37,14 +37,15 @@ def head_logits(docs: DataFrame, coefs: DataFrame, sentiment_classes: list[str],
               c.filter(F.col("term").isNull()).groupBy("k").agg(F.sum("coef").alias("b")).collect()}
     weights = bounded_broadcast(c.filter(F.col("term").isNotNull()).select("term", "k", "coef"))
     toks = docs.select("doc_id", F.explode(letter_tokens("text", letters)).alias("term"))
-    # exact decimal sums: the result does not depend on the order rows are added in
+    # exact sums in integer units of 1e-9: the result does not depend on the order rows
+    # are added in (a tie at p = 0.5 stays a tie), and 64-bit sums stay in generated code
+    units = F.round(F.col("coef") * _UNIT).cast("long")
     sums = (toks.join(weights, "term").groupBy("doc_id")
-            .pivot("k", list(range(len(keys)))).agg(F.sum(F.col("coef").cast(_DEC))))
-    out = docs.select("doc_id").join(sums, "doc_id", "left")
-    zero = F.lit(0).cast(_DEC)
+            .pivot("k", list(range(len(keys)))).agg(F.sum(units)))
+    out = docs.select("doc_id").join(sums.hint("shuffle_hash"), "doc_id", "left")
     return out.select("doc_id", *[
-        (F.coalesce(F.col(str(n)), zero) + F.lit(repr(float(biases.get(n, 0.0)))).cast(_DEC))
-        .cast(_DEC).alias(f"z{n}")
+        (F.coalesce(F.col(str(n)), F.lit(0).cast("long")) + F.lit(int(round(biases.get(n, 0.0) * _UNIT))))
+        .alias(f"z{n}")
         for n in range(len(keys))])
 
 
@@ -54,10 +55,10 @@ def read_heads(logits: DataFrame, sentiment_classes: list[str], aspect_classes:
     not ``other``, highest probability first)."""
     other = other or aspect_classes[-1]
     neg, pos = F.col("z0"), F.col("z1")
-    p_pos = 1.0 / (1.0 + F.exp((neg - pos).cast("double")))
-    p_neg = 1.0 / (1.0 + F.exp((pos - neg).cast("double")))
+    p_pos = 1.0 / (1.0 + F.exp((neg - pos) / F.lit(float(_UNIT))))
+    p_neg = 1.0 / (1.0 + F.exp((pos - neg) / F.lit(float(_UNIT))))
     off = len(sentiment_classes)
-    probs = [(1.0 / (1.0 + F.exp(-(F.col(f"z{off + a}").cast("double")))))
+    probs = [(1.0 / (1.0 + F.exp(-(F.col(f"z{off + a}") / F.lit(float(_UNIT))))))
              for a in range(len(aspect_classes))]
     arr = F.array(*[F.struct(p.alias("prob"), F.lit(a).alias("pos"), F.lit(name).alias("aspect"))
                     for a, (p, name) in enumerate(zip(probs, aspect_classes))])

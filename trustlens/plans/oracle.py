@@ -175,19 +175,19 @@ def _head():
     zs = []
     for n in range(len(keys)):
         bias = sum(c for h, k, t, c in fx.COEFS if t is None and (h, k) == keys[n])
-        zs.append(f"CAST(coalesce(sum(CASE WHEN k = {n} THEN CAST(coef AS DECIMAL(18,9)) END), 0) "
-                  f"+ CAST('{float(bias)!r}' AS DECIMAL(18,9)) AS DECIMAL(18,9)) AS z{n}")
+        zs.append(f"CAST(coalesce(sum(CASE WHEN k = {n} THEN CAST(round(coef * 1000000000) AS BIGINT) END), 0) "
+                  f"+ {int(round(bias * 10 ** 9))} AS BIGINT) AS z{n}")
     off = len(fx.SENTIMENT_CLASSES)
     asp_rows = values([(a, name) for a, name in enumerate(fx.ASPECT_CLASSES)], ["apos", "aname"])
-    pcase = "CASE " + " ".join(f"WHEN apos = {a} THEN 1 / (1 + exp(-CAST(z{off + a} AS DOUBLE)))"
+    pcase = "CASE " + " ".join(f"WHEN apos = {a} THEN 1 / (1 + exp(-(z{off + a} / 1000000000.0::DOUBLE)))"
                                for a in range(len(fx.ASPECT_CLASSES))) + " END"
     return f"""cw AS (SELECT term, coef, {kcase} AS k FROM {coefs} WHERE term IS NOT NULL),
 htok AS (SELECT doc_id, unnest({toks('text')}) AS term FROM docs),
 hz0 AS (SELECT d.doc_id, t.term, cw.k, cw.coef FROM docs d
         LEFT JOIN (htok t JOIN cw USING (term)) ON d.doc_id = t.doc_id),
 hz AS (SELECT doc_id, {', '.join(zs)} FROM hz0 GROUP BY doc_id),
-hp AS (SELECT doc_id, 1 / (1 + exp(CAST(z0 - z1 AS DOUBLE))) AS p_pos,
-              1 / (1 + exp(CAST(z1 - z0 AS DOUBLE))) AS p_neg, * EXCLUDE (doc_id)
+hp AS (SELECT doc_id, 1 / (1 + exp((z0 - z1) / 1000000000.0::DOUBLE)) AS p_pos,
+              1 / (1 + exp((z1 - z0) / 1000000000.0::DOUBLE)) AS p_neg, * EXCLUDE (doc_id)
        FROM hz),
 ha AS (SELECT doc_id, apos, aname, {pcase} AS p FROM hp, {asp_rows}),
 hl AS (SELECT doc_id, string_agg(aname, ', ' ORDER BY p DESC, apos DESC)
