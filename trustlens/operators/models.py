@@ -190,6 +190,9 @@ def load_model(path: str) -> PipelineModel:
 def score_partitions(df: DataFrame, make_scorer, schema: str) -> DataFrame:
     """Batch-score with a caller-supplied model function: ``make_scorer()`` is called once
     per partition (load the model there), then applied to each Arrow batch."""
+    from trustlens.session import ship_package
+    ship_package(df.sparkSession)
+
     def run(batches):
         scorer = make_scorer()
         for pdf in batches:
