@@ -9,7 +9,7 @@ import __spark_entry__ as E
 
 from conftest import SF_SMALL
 
-FAST = ["rating_sentiment", "split_assignment", "class_counts", "clean_lemmas", "candidate_terms",
+FAST = ["rating_sentiment", "split_assignment", "class_counts", "train_weights", "clean_lemmas", "candidate_terms",
         "aspect_dictionary", "aspect_tags", "aspect_multihot", "lexicon_dedup", "score_length",
         "score_diversity", "score_quality", "score_emotion", "tfidf_vocabulary", "similarity_score",
         "linear_head_scores", "map_scored", "scored_batch", "single_review", "report_kpis",
