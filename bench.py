@@ -15,6 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from trustlens import get_session  # noqa: E402
+from trustlens.session import release  # noqa: E402
 from trustlens.plans import catalog  # noqa: E402
 
 HEADLINE = ["scored_batch", "trust_score", "similarity_score", "score_emotion", "score_diversity",
@@ -36,6 +37,7 @@ def main() -> None:
         t0 = time.time()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+        release()
         spark.catalog.clearCache()
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_total_time", "value": round(sum(times.values()), 3),

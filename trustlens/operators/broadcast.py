@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trustlens.session import cached
+
 # A side is broadcast only when it has at most this many rows; beyond it the join
 # stays a shuffle join (sort-merge, with AQE's skew handling).
 MAX_BROADCAST_ROWS = 2_000_000
@@ -17,7 +18,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     The check counts at most ``max_rows + 1`` rows; the table is persisted first so the
     check and the join read it once.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = cached(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 

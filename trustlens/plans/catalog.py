@@ -21,6 +21,7 @@ from trustlens.operators.similarity import similarity_scores
 from trustlens.operators.tfidf import doc_count, postings, tfidf_weights, vocabulary
 from trustlens.functions.text import letter_tokens
 from trustlens.plans import jobs
+from trustlens.session import cached
 from trustlens.sources import fixtures as fx
 
 A = fx.ALPHABETS
@@ -145,7 +146,7 @@ def q_tfidf_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf)
-    post = postings(d).persist()
+    post = cached(postings(d))
     w = tfidf_weights(post, vocabulary(post, doc_count(d)))
     return w.select("doc_id", "term", rnd("weight", 9).alias("weight"))
 

@@ -79,3 +79,22 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+_CACHED: list = []
+
+
+def cached(df):
+    """Persist an intermediate table (memory, spilling to disk) and remember it, so that
+    ``release`` can drop it once the result that needed it has been written. A lost
+    executor only costs a recomputation from lineage."""
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _CACHED.append(df)
+    return df
+
+
+def release() -> None:
+    """Unpersist every intermediate table cached through ``cached``."""
+    while _CACHED:
+        _CACHED.pop().unpersist()

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trustlens.functions.scores import diversity_score, length_score, quality_score
 from trustlens.functions.text import Alphabets, DEFAULT_ALPHABETS
 from trustlens.plans.jobs import Predictor, analyze
+from trustlens.session import release
 
 
 def row_signals(stream: DataFrame, alphabets: Alphabets = DEFAULT_ALPHABETS) -> DataFrame:
@@ -34,6 +35,8 @@ def score_stream(stream: DataFrame, lexicon: DataFrame, predict: Predictor, sink
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         scored = analyze(batch, lexicon, predict, alphabets, with_similarity)
         scored.write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch_id}")
+        # drop this micro-batch's intermediate tables before the next one
+        release()
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_path)
     if processing_time:
