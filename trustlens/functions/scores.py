@@ -26,15 +26,17 @@ def _clip01(x: Column) -> Column:
 
 def length_score(text, min_words: int = fv.MIN_WORDS, max_words: int = fv.MAX_WORDS) -> Column:
     """n < min -> n/min; n > max -> max(0, 1 - (n-max)/max); else 1. Null text -> 0."""
-    n = word_count(text)
-    s = (F.when(_col(text).isNull(), F.lit(0.0)).when(n < min_words, n / F.lit(float(min_words)))
-         .when(n > max_words, F.greatest(F.lit(0.0), 1 - (n - max_words) / F.lit(float(max_words))))
-         .otherwise(F.lit(1.0)))
-    return s
+    def on_count(n):
+        return (F.when(n < min_words, n / F.lit(float(min_words)))
+                .when(n > max_words, F.greatest(F.lit(0.0), 1 - (n - max_words) / F.lit(float(max_words))))
+                .otherwise(F.lit(1.0)))
+    # the count is bound once: it is referenced by several branches
+    return F.when(_col(text).isNull(), F.lit(0.0)).otherwise(let(word_count(text), on_count))
 
 
-def diversity_score(text, letters: str) -> Column:
-    """Type-token ratio; above the window size the mean ratio of full sliding windows."""
+def diversity_of_tokens(tokens) -> Column:
+    """Type-token ratio of a token array; above the window size the mean ratio of full
+    sliding windows (size 20, step 10)."""
     win, step = fv.DIVERSITY_WINDOW, fv.DIVERSITY_STEP
 
     def on_tokens(w):
@@ -45,7 +47,12 @@ def diversity_score(text, letters: str) -> Column:
         return (F.when(n < fv.DIVERSITY_MIN_TOKENS, F.lit(0.0))
                 .when(n <= win, F.size(F.array_distinct(w)) / n)
                 .otherwise(mean))
-    return F.when(_col(text).isNull(), F.lit(0.0)).otherwise(let(letter_tokens(text, letters), on_tokens))
+    return let(_col(tokens), on_tokens)
+
+
+def diversity_score(text, letters: str) -> Column:
+    """Diversity of the scoring tokens of ``text``; null text -> 0."""
+    return F.when(_col(text).isNull(), F.lit(0.0)).otherwise(diversity_of_tokens(letter_tokens(text, letters)))
 
 
 def quality_score(text, letters: str, capitals: str) -> Column:
@@ -57,13 +64,20 @@ def quality_score(text, letters: str, capitals: str) -> Column:
     letters_n = L - F.length(F.regexp_replace(t, f"[{letters}]+", ""))
     caps_n = F.regexp_count(t, F.lit(f"[{capitals}]"))
     repeats = F.regexp_count(t, F.lit(r"(?d)(.)\1{3,}"))
-    p1 = F.least(letters_n / F.greatest(L, F.lit(1)) / fv.QUALITY_LETTER_RATIO, F.lit(1.0))
-    p2 = F.greatest(F.lit(0.0), 1 - repeats * fv.QUALITY_REPEAT_PENALTY)
-    p3 = F.when(t.rlike(fv.LINK_PATTERN), F.lit(fv.QUALITY_LINK_SCORE)).otherwise(F.lit(1.0))
-    caps_ratio = caps_n / F.greatest(letters_n, F.lit(1))
-    p4 = F.greatest(F.lit(0.0),
-                    1 - F.greatest(F.lit(0.0), caps_ratio - fv.QUALITY_CAPS_FREE) * fv.QUALITY_CAPS_PENALTY)
-    return F.when(t.isNull() | (L < 2), F.lit(0.0)).otherwise((((p1 + p2) + p3) + p4) / 4)
+    links = t.rlike(fv.LINK_PATTERN).cast("int")
+
+    def on_counts(c):
+        ln, let_n, cap_n, rep, link = c[0], c[1], c[2], c[3], c[4]
+        p1 = F.least(let_n / F.greatest(ln, F.lit(1)) / fv.QUALITY_LETTER_RATIO, F.lit(1.0))
+        p2 = F.greatest(F.lit(0.0), 1 - rep * fv.QUALITY_REPEAT_PENALTY)
+        p3 = F.when(link == 1, F.lit(fv.QUALITY_LINK_SCORE)).otherwise(F.lit(1.0))
+        caps_ratio = cap_n / F.greatest(let_n, F.lit(1))
+        p4 = F.greatest(F.lit(0.0),
+                        1 - F.greatest(F.lit(0.0), caps_ratio - fv.QUALITY_CAPS_FREE) * fv.QUALITY_CAPS_PENALTY)
+        return (((p1 + p2) + p3) + p4) / 4
+    # each count is computed once and bound as one array
+    counts = F.array(L, letters_n, caps_n, repeats, links)
+    return F.when(t.isNull() | (L < 2), F.lit(0.0)).otherwise(let(counts, on_counts))
 
 
 def emotion_score(hits, mean, std) -> Column:
