@@ -10,15 +10,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustlens import fixed_values as fv
-from trustlens.functions.text import term_counts, vector_tokens
+from trustlens.functions.text import vector_tokens
 from trustlens.operators.broadcast import small_by_construction
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf): per-review counts are built inside the row, no shuffle."""
-    return (docs.select(F.col(id_col).alias("doc_id"),
-                        F.explode(term_counts(vector_tokens(text_col))).alias("p"))
-            .select("doc_id", F.col("p.term").alias("term"), F.col("p.tf").alias("tf")))
+    """(doc_id, term, tf) by a hash aggregate over the exploded tokens.
+
+    On a batch clustered by doc_id (``partitioning.by_review``) the aggregate needs no
+    exchange and its output stays clustered by doc_id for the per-review vectors; on any
+    other layout it is a partial aggregate and one shuffle. (``text.term_counts`` does the
+    same inside the row; the code-generated hash aggregate measured about twice as fast.)
+    """
+    return (docs.select(F.col(id_col).alias("doc_id"), F.explode(vector_tokens(text_col)).alias("term"))
+            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")))
 
 
 def doc_count(docs: DataFrame):
