@@ -41,6 +41,7 @@ class TrainConfig:
     aspect_reg: float = 0.01
     max_iter: int = 30
     num_features: int = 1 << 18
+    parallelism: int = 4          # independent fits submitted concurrently
     weight_col: str | None = "weight"
 
 
@@ -70,7 +71,15 @@ def featurize(feats: PipelineModel, rows: DataFrame, n_classes: int) -> DataFram
 def fit_aspect_heads(ft: DataFrame, n_classes: int, reg: float, cfg: TrainConfig) -> list:
     """One LR per aspect class on shared features (binary relevance). A class that never
     (or always) occurs gets zero weights and an infinite intercept."""
-    return [_aspect_lr(k, reg, cfg).fit(ft) for k in range(n_classes)]
+    return fit_all([_aspect_lr(k, reg, cfg) for k in range(n_classes)], ft, cfg.parallelism)
+
+
+def fit_all(estimators: list, df: DataFrame, parallelism: int) -> list:
+    """Fit independent estimators on one DataFrame, ``parallelism`` at a time: each fit
+    is a series of small distributed jobs, and concurrent jobs keep the cluster busy."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(lambda e: e.fit(df), estimators))
 
 
 def fit_sentiment_head(ft: DataFrame, reg: float, cfg: TrainConfig):

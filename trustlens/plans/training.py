@@ -59,9 +59,10 @@ def train(corpus: DataFrame, lexicon_raw: DataFrame | None, stopwords: DataFrame
     ft = M.featurize(feats, train_rows, len(classes)).persist()
     # the choice is made on sentiment F1 only, so the aspect heads are shared
     aspect_heads = M.fit_aspect_heads(ft, len(classes), cfg.aspect_reg, cfg)
+    sentiment_heads = M.fit_all([M._sentiment_lr(reg, cfg) for reg in cfg.reg_params], ft, cfg.parallelism)
     results, cands = [], []
-    for reg in cfg.reg_params:
-        model = M.assemble(feats, M.fit_sentiment_head(ft, reg, cfg), aspect_heads)
+    for reg, head in zip(cfg.reg_params, sentiment_heads):
+        model = M.assemble(feats, head, aspect_heads)
         m = evaluate(model, val_rows, classes)
         cands.append((reg, model, m["f1_positive"]))
         results.append(dict(reg_param=float(reg), **m))
