@@ -104,3 +104,19 @@ def test_analyze_text_and_csv(spark, tmp_path):
     out = jobs.analyze_csv(spark, str(src), str(tmp_path / "out"), lex, predict).collect()
     assert len(out) == 2
     assert {r["text"] for r in out} == {'супер, очень "хорошо" товар', "плохо плохо плохо плохо"}
+
+
+def test_analyze_empty_batch(spark):
+    from trustlens.functions.text import DEFAULT_ALPHABETS as A
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    lex = spark.createDataFrame([(0, "супер", "PSTV", 0.9)], "pos long, term string, tag string, value double")
+    coefs = spark.createDataFrame([("sentiment", "negative", None, 0.0), ("sentiment", "positive", None, 0.0)],
+                                  "head string, class string, term string, coef double")
+
+    def predict(d):
+        return linear_head_scores(d, coefs, ["negative", "positive"], ["a", "другое"], A.score)
+    scored = jobs.analyze(docs, lex, predict, A)
+    assert scored.columns == jobs.SCORED_COLUMNS
+    assert scored.count() == 0
+    h = jobs.health_kpis(scored).first()
+    assert (h["total"], h["pos_share"], h["spam_share"]) == (0, 0.0, 0.0)
