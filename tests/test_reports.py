@@ -120,3 +120,9 @@ def test_analyze_empty_batch(spark):
     assert scored.count() == 0
     h = jobs.health_kpis(scored).first()
     assert (h["total"], h["pos_share"], h["spam_share"]) == (0, 0.0, 0.0)
+
+
+def test_health_rescale_option(spark):
+    df = spark.createDataFrame([(1, "t", "positive", 0.9, "—", 80.0, 0.0, 0.0, 0.0, 0.0, 0.0)], SCHEMA)
+    assert jobs.health_kpis(df).first()["avg_confidence_pct"] == 0.9
+    assert jobs.health_kpis(df, rescale_fractions=True).first()["avg_confidence_pct"] == 90.0
