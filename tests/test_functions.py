@@ -30,3 +30,12 @@ def test_class_order_round_trip(spark, tmp_path):
     classes = ["качество", "цена", "доставка", "сервис", "соответствие", "другое"]
     write_class_order(spark, classes, str(tmp_path / "classes"))
     assert read_class_order(spark, str(tmp_path / "classes")) == classes
+
+
+def test_rebalance_sample_evens_classes(spark):
+    from trustlens.operators.corpus import rebalance_sample
+    rows = [(i, 1 if i % 10 else 0) for i in range(2000)]   # 90 % / 10 %
+    df = spark.createDataFrame(rows, "doc_id long, label int")
+    counts = {r["label"]: r["count"] for r in rebalance_sample(df).groupBy("label").count().collect()}
+    assert set(counts) == {0, 1}
+    assert 0.75 < counts[0] / counts[1] < 1.33

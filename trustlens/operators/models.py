@@ -129,33 +129,6 @@ def predict(model: PipelineModel, docs: DataFrame, aspect_classes: list[str],
                   for k in range(len(aspect_classes))]).alias("aspect_pred"))
 
 
-def binary_metrics(pred: DataFrame, label_col: str = "label", pred_col: str = "pred") -> DataFrame:
-    """One row: n, tp, fp, fn, tn, F1 of each class, accuracy (plain aggregation)."""
-    y, p = F.col(label_col), F.col(pred_col)
-    a = pred.agg(F.count(F.lit(1)).alias("n"),
-                 F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"),
-                 F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 0) & (p == 0)).alias("tn"))
-    tp, fp, fn, tn, n = (F.col(c) for c in ("tp", "fp", "fn", "tn", "n"))
-
-    def f1(t, f_p, f_n):
-        d = 2 * t + f_p + f_n
-        return F.when(d > 0, rnd(2 * t / d, 9)).otherwise(F.lit(0.0))
-    return a.select("n", "tp", "fp", "fn", "tn", f1(tp, fp, fn).alias("f1_positive"),
-                    f1(tn, fn, fp).alias("f1_negative"),
-                    F.when(n > 0, rnd((tp + tn) / n, 9)).otherwise(F.lit(0.0)).alias("accuracy"))
-
-
-def micro_f1(df: DataFrame, truth_col: str, pred_col: str, n_classes: int) -> DataFrame:
-    """Micro-averaged F1 over multi-hot label arrays (one row)."""
-    t, p = F.col(truth_col), F.col(pred_col)
-    tp = sum(((t[k] == 1) & (p[k] == 1)).cast("long") for k in range(n_classes))
-    fp = sum(((t[k] == 0) & (p[k] == 1)).cast("long") for k in range(n_classes))
-    fn = sum(((t[k] == 1) & (p[k] == 0)).cast("long") for k in range(n_classes))
-    a = df.agg(F.sum(tp).alias("tp"), F.sum(fp).alias("fp"), F.sum(fn).alias("fn"))
-    d = 2 * F.col("tp") + F.col("fp") + F.col("fn")
-    return a.select(F.when(d > 0, rnd(2 * F.col("tp") / d, 9)).otherwise(F.lit(0.0)).alias("aspect_micro_f1"))
-
-
 def evaluation_table(pred: DataFrame, n_classes: int, label_col: str = "label", pred_col: str = "pred",
                      truth_arr: str = "aspect_labels", pred_arr: str = "aspect_pred") -> DataFrame:
     """One aggregation, one row: binary counts and F1s, accuracy, aspect micro-F1."""
