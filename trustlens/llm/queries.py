@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from trustlens.llm.ngram_jaccard import op6_ngram_jaccard
+from trustlens.llm.packing import op10_packing
+from trustlens.llm.token_files import op4_token_files
 
 QUERIES = {
+    "op4_token_files": op4_token_files,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

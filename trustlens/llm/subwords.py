@@ -144,6 +144,11 @@ class Encoder:
             np.cumsum(per_unit, out=total[1:])
             yield a, b, ids, total[bounds]
 
+    def documents(self, col: pa.Array):
+        """As ``encode_rows``, each row's ids followed by the end id."""
+        for a, b, ids, bounds in self.encode_rows(col):
+            yield a, b, np.insert(ids, bounds[1:], np.uint32(END_ID)), bounds + np.arange(b - a + 1)
+
     def encode_units(self, raw, starts, ends) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units [start, end) of ``raw``, and how many each has."""
         if len(starts) == 0:
