@@ -15,9 +15,11 @@ similarity reaches the threshold; the result is each document's component under
    ``n1`` has room for ``z`` parts lost that way. Two sets can miss each other only if both
    lose more; such sets meet again under another hash, and in the last round empty choices
    give signatures too. No similar pair is lost.
-5. Sets with a common signature are candidates. First each is held against its group's least
-   one (a star, linear in the group's size); then only pairs of groups' sets that are still
-   in different components are. Candidates are verified on the whole sets.
+5. Sets with a common signature are candidates. First each is held against one of its groups' least
+   sets (a star, linear in the group's size), then against the other groups' where components are
+   still apart; in the end, only pairs of a group's sets in different components are left.
+   Sizes and histograms, which bound the distance from below, rule pairs out without an error;
+   the others are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -194,20 +196,37 @@ def _sets(size: int, bits):
         for batch in batches:
             at = batch.column("at").flatten().to_numpy().reshape(-1, 3)
             wanted = test_bits(bits.value, at)
-            ids, blobs, held = [], [], 0
+            ids, blobs, counts, held = [], [], [], 0
+            out = lambda: pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(counts, pa.binary()), pa.array(blobs, pa.binary())], names=["set_id", "counts", "elements"])  # noqa: B023
             for _, s in document_sets(batch.column("text"), size, wanted):
                 if len(s):
                     ids.append(set_id(s))
                     blobs.append(s.tobytes())
+                    counts.append(histogram(s).tobytes())
                     held += len(blobs[-1])
                 if held > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(blobs, pa.binary())], names=["set_id", "elements"])
-                    ids, blobs, held = [], [], 0
+                    yield out()
+                    ids, blobs, counts, held = [], [], [], 0
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(blobs, pa.binary())], names=["set_id", "elements"])
+                yield out()
     return run
 
 
+def histogram(elements: np.ndarray) -> np.ndarray:
+    """Counts of a set's elements by hash, in one to two buckets an element (at most 255 each)."""
+    buckets = 1 << max(0, len(elements).bit_length() - 1)
+    return np.minimum(np.bincount((elements >> np.uint64(20)).astype(np.int64) & (buckets - 1), minlength=buckets), 255).astype(np.uint8)
+
+
+def at_least_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the Hamming distance of two sets from their histograms."""
+    if len(x) < len(y):
+        x, y = y, x
+    x = x.astype(np.int64).reshape(-1, len(y)).sum(0)
+    return int(np.abs(np.minimum(x, 255) - y.astype(np.int64)).sum())
+
+
 # ------------------------------------------------------------------ groups and candidates
 
 def _shared(batches):
@@ -238,6 +257,19 @@ def _shared(batches):
         last_sig, last_set, leader = sig[-1], own[-1], lead[-1]
 
 
+def _near(num: int, den: int):
+    """Pairs that their histograms don't show to be too far apart."""
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in ("left_set", "right_set"))
+                total = batch.column("total")[i].as_py()
+                keep[i] = (den + num) * at_least_apart(x, y) <= (den - num) * total
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+    return run
+
+
 def _verified(num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -251,15 +283,28 @@ def _verified(num: int, den: int):
     return run
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    return (pairs.join(sets.select(F.col("set_id").alias("a"), F.col(column).alias("left_set")), "a")
+            .join(sets.select(F.col("set_id").alias("b"), F.col(column).alias("right_set")), "b"))
+
+
 def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b) of set ids, those whose sets reach the threshold."""
+    """Of the pairs (a, b) of set ids, those whose sets reach the threshold: sizes are compared first,
+    then histograms, then whole sets."""
     left = sizes.select(F.col("set_id").alias("a"), F.col("n").alias("na"))
     right = sizes.select(F.col("set_id").alias("b"), F.col("n").alias("nb"))
     pairs = (pairs.join(left, "a").join(right, "b")
-             .filter(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")).select("a", "b"))
-    rows = (pairs.join(sets.select(F.col("set_id").alias("a"), F.col("elements").alias("left_set")), "a")
-            .join(sets.select(F.col("set_id").alias("b"), F.col("elements").alias("right_set")), "b"))
-    return rows.mapInArrow(_verified(num, den), "a long, b long")
+             .filter(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
+             .select("a", "b", (F.col("na") + F.col("nb")).alias("total")))
+    near = _with_sets(pairs, sets, "counts").mapInArrow(_near(num, den), "a long, b long")
+    return _with_sets(near, sets, "elements").mapInArrow(_verified(num, den), "a long, b long")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) in different components."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    return (pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+            .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
 
 
 def ngram_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -279,16 +324,21 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int,
     signed = texts.select("text").mapInArrow(_signed(size, num, den), "sig long, set_id long")
     groups = written(signed.repartition("sig").sortWithinPartitions("sig", "set_id")
                      .mapInArrow(_shared, "sig long, leader long, member long"), "groups")
-    stars = groups.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct()
+    stars = written(groups.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), "stars")
     met = written(groups.select(F.col("leader").alias("set_id")).union(groups.select("member")).distinct()
                   .join(classes, "set_id"), "met")
 
     bits = spark.sparkContext.broadcast(membership_filter(met, "first_doc"))
     sets = written(texts.select("text", filter_positions("doc_id").alias("at"))
-                   .mapInArrow(_sets(size, bits), "set_id long, elements binary")
+                   .mapInArrow(_sets(size, bits), "set_id long, counts binary, elements binary")
                    .join(met.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "elements")
 
-    linked = written(_links(stars, sets, met, num, den), "links")
+    # first one leader for each set, then the other leaders in components still apart
+    best = stars.groupBy(F.col("b")).agg(F.min("a").alias("a")).select("a", "b")
+    linked = written(_links(best, sets, met, num, den), "links")
+    roots = written(components(linked, "a", "b"), "roots")
+    others = _apart(stars.join(best, ["a", "b"], "left_anti"), roots)
+    linked = linked.unionByName(written(_links(others, sets, met, num, den), "links"))
     roots = written(components(linked, "a", "b"), "roots")
 
     # what is left: pairs of a group's sets in different components, but for the leader's own

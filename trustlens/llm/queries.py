@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+from trustlens.llm.kd_shards import op7_kd_shards
+from trustlens.llm.lm import op2_lm_scores
 from trustlens.llm.ngram_jaccard import op6_ngram_jaccard
 from trustlens.llm.packing import op10_packing
+from trustlens.llm.pii import op3_pii
+from trustlens.llm.quality_mcd import op5_quality
+from trustlens.llm.reputation import op9_url_reputation
+from trustlens.llm.tiling import op1_decontaminate
 from trustlens.llm.token_files import op4_token_files
+from trustlens.llm.warc import ORACLE as WARC_ORACLE
+from trustlens.llm.warc import op8_warc
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_lm_scores": op2_lm_scores,
+    "op3_pii": op3_pii,
     "op4_token_files": op4_token_files,
+    "op5_quality": op5_quality,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_kd_shards": op7_kd_shards,
+    "op8_warc": op8_warc,
+    "op9_url_reputation": op9_url_reputation,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: the other queries' methods are not SQL; their tests hold them against brute force
+ORACLE_SQL: dict[str, str] = {"op8_warc": WARC_ORACLE}
