@@ -66,8 +66,13 @@ def one_by_one(flat, vocabulary, ids):
         q, k, v = e[-1] @ p["query"], e @ p["key"], e @ p["value"]
         a = np.exp(k @ q / math.sqrt(lm.WIDTH))
         h = e[-1] + (a / a.sum()) @ v @ p["out"]
-        z = h @ p["head"] + p["bias"]
-        total += z[vocabulary.output[y]] - math.log(np.exp(z).sum()) + vocabulary.within[y]
+        h = np.append(h, 1)
+        z, y = h @ p["head"], int(y)
+        g = vocabulary.group[y]
+        total += z[g] - math.log(np.exp(z).sum()) + vocabulary.within[y]
+        if g < len(vocabulary.first) - 2:
+            z = h @ p["inner"][:, vocabulary.first[g]:vocabulary.first[g + 1]]
+            total += z[vocabulary.rank[y] - vocabulary.first[g]] - math.log(np.exp(z).sum())
     return total
 
 
@@ -76,7 +81,7 @@ def test_scores_of_windows_against_one_by_one():
     lens = np.array([1, 0, 5, 31, 32, 33, 56, 57, 100, 300])
     ids = rng.integers(0, 5000, lens.sum())
     bounds = np.concatenate([[0], np.cumsum(lens)])
-    got = lm.Scorer(flat, vocabulary, windows=4).documents(ids, bounds)
+    got = lm.Scorer(flat, vocabulary, windows=4, batches=3).documents(ids, bounds)
     for i, n in enumerate(lens):
         want = one_by_one(flat, vocabulary, ids[bounds[i]:bounds[i + 1]]) if n else 0.0
         assert math.isclose(got[i], want, rel_tol=1e-4, abs_tol=1e-4)
@@ -84,7 +89,7 @@ def test_scores_of_windows_against_one_by_one():
 
 def test_probabilities_sum_to_one():
     _, vocabulary, flat = setup()
-    n = len(vocabulary.output)
+    n = len(vocabulary.rank)
     ids = np.stack([np.full(n, 17), np.full(n, 4), np.arange(n)], 1).ravel()
     scorer = lm.Scorer(flat, vocabulary)
     three = scorer.documents(ids, np.arange(0, 3 * n + 1, 3))
@@ -94,11 +99,12 @@ def test_probabilities_sum_to_one():
 
 def test_gradient():
     rng, vocabulary, flat = setup()
-    x, y = rng.integers(0, lm.INPUTS, (3, lm.CONTEXT)), rng.integers(0, lm.HEAD, (3, lm.CONTEXT))
+    x, ids = rng.integers(0, lm.INPUTS, (3, lm.CONTEXT)), rng.integers(0, 5000, (3, lm.CONTEXT))
+    y, r = vocabulary.group[ids], vocabulary.rank[ids]
     live = rng.random((3, lm.CONTEXT)) < 0.8
     grad = np.zeros(lm.PARAMETERS)
     flat = flat.astype(float)
-    loss = lambda f, g: lm.step(lm.split(f), x, y, live, lm.split(g))
+    loss = lambda f, g: lm.step(lm.split(f), vocabulary.first, x, y, r, live, lm.split(g))
     loss(flat, grad)
     used = np.flatnonzero(abs(grad) > 1e-5)
     for i in rng.choice(used, 60, replace=False):

@@ -1,9 +1,9 @@
 """Language-model scoring: a causal self-attention model over subword ids, trained with numpy.
 
 Model. Inputs are subword ids (frequent ones with an embedding each, the others share hashed ones)
-plus a learned position; one causal attention layer with a residual; an adaptive softmax: the
-``HEAD - 1`` most frequent ids and one output for all others, which divide it by their add-one
-frequencies.
+plus a learned position; one causal attention layer with a residual; a softmax in two levels: ids
+in order of frequency fall into classes of about equal mass, an output picks the class and one of
+the class's own the id. Ids beyond the ranked ones are a class that their add-one frequencies divide.
 
 Training. A fixed share of the training documents (so its size follows the corpus) is dealt to
 trainers of about ``TRAINER_BYTES`` of text. Each starts from the same parameters and runs Adam
@@ -32,12 +32,14 @@ from trustlens.llm.common import ready, source, written
 from trustlens.llm.subwords import END_ID, Encoder, default_path
 from trustlens.llm.words import hashed_rows, mix
 
-#: window inputs, inputs that two windows share, vector size, outputs, input vectors
-CONTEXT, OVERLAP, WIDTH, HEAD, INPUTS = 32, 8, 16, 256, 2048
-#: one in so many training documents trains the model, in so many rounds
-SAMPLE, ROUNDS = 16, 2
-#: text that one trainer gets, windows in a step, step length
-TRAINER_BYTES, STEP_WINDOWS, RATE = 4 << 20, 48, 0.004
+#: window inputs, inputs that two windows share, vector size, input vectors
+CONTEXT, OVERLAP, WIDTH, INPUTS = 32, 8, 16, 2048
+#: classes, ids with an output of their own, most of them in a class
+HEAD, RANKED, WIDEST = 80, 2048, 96
+#: one in so many training documents trains the model, but so many at least, in so many rounds
+SAMPLE, LEAST_SAMPLE, ROUNDS = 32, 2000, 2
+#: text that one trainer gets, windows in a step, step length, steps at least (over the same windows again)
+TRAINER_BYTES, STEP_WINDOWS, RATE, STEPS = 4 << 20, 48, 0.02, 400
 #: words in a block of texts
 BLOCK_WORDS = 2_000_000
 #: stands for the end of a text among word hashes
@@ -47,7 +49,7 @@ END_WORD = np.uint64(1)
 # ------------------------------------------------------------------ model
 
 SHAPES = {"embed": (INPUTS + 1, WIDTH), "place": (CONTEXT, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH),
-          "value": (WIDTH, WIDTH), "out": (WIDTH, WIDTH), "head": (WIDTH, HEAD), "bias": (HEAD,)}
+          "value": (WIDTH, WIDTH), "out": (WIDTH, WIDTH), "head": (WIDTH + 1, HEAD), "inner": (WIDTH + 1, RANKED)}
 _SIZES = {k: int(np.prod(s)) for k, s in SHAPES.items()}
 PARAMETERS = sum(_SIZES.values())
 
@@ -61,21 +63,30 @@ def split(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Vocabulary:
-    """Input and output classes of ids, from the ids' counts."""
+    """Input vectors, classes and places of ids, from the ids' counts."""
 
     def __init__(self, counts: np.ndarray):
         ids = np.arange(len(counts))
         order = np.lexsort((ids, -counts))
-        self.output = np.full(len(counts), HEAD - 1, np.int32)
-        self.output[order[:HEAD - 1]] = np.arange(HEAD - 1)
+        self.rank = np.empty(len(counts), np.int32)
+        self.rank[order] = ids
+        mass = (counts[order] + 1.0) / (counts + 1.0).sum()
+        self.first, at = [], 0  # of each class: its first rank
+        while at < min(RANKED, len(ids)) and len(self.first) < HEAD - 1:
+            self.first.append(at)
+            reach = int(np.searchsorted(np.cumsum(mass[at:at + WIDEST]), 1 / HEAD)) + 1
+            at = min(at + min(reach, WIDEST), RANKED, len(ids))
+        self.first += [at, len(ids)]  # the last class holds the rest
+        self.first = np.array(self.first)
+        self.group = (np.searchsorted(self.first, self.rank, "right") - 1).astype(np.int16)
+        self.ranked = at
         own = INPUTS * 3 // 4
-        self.input = (own + (mix(ids.astype(np.uint64)) % np.uint64(INPUTS - own)).astype(np.int64)).astype(np.int32)
-        self.input[order[:own]] = np.arange(own)
-        rest = self.output == HEAD - 1
-        # log probability of an id given its output
-        self.within = np.where(rest, np.log((counts + 1.0) / (counts[rest] + 1.0).sum()), 0.0).astype(np.float32)
-        heads = np.bincount(self.output, counts + 1.0, HEAD)
-        self.prior = np.log(heads / heads.sum()).astype(np.float32)
+        hashed = own + (mix(ids.astype(np.uint64)) % np.uint64(INPUTS - own)).astype(np.int64)
+        self.input = np.where(self.rank < own, self.rank, hashed).astype(np.int32)
+        rest = self.rank >= at
+        # log probability of an id of the last class given the class
+        self.within = np.where(rest, np.log((counts + 1.0) / max(1.0, (counts[rest] + 1.0).sum())), 0.0).astype(np.float32)
+        self.mass = mass
 
 
 def initial(vocabulary: Vocabulary, seed: int = 7) -> np.ndarray:
@@ -84,7 +95,11 @@ def initial(vocabulary: Vocabulary, seed: int = 7) -> np.ndarray:
     p = split(flat)
     for name in ("query", "key", "value", "out"):
         p[name][:] = rng.normal(0, WIDTH**-0.5, p[name].shape)
-    p["bias"][:] = vocabulary.prior
+    first, mass = vocabulary.first, vocabulary.mass
+    p["head"][-1] = -30
+    for c in range(len(first) - 1):
+        p["head"][-1, c] = np.log(max(1e-12, mass[first[c]:first[c + 1]].sum()))
+    p["inner"][-1, :vocabulary.ranked] = np.log(mass[:vocabulary.ranked])
     return flat
 
 
@@ -92,8 +107,29 @@ _MASK = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 START = INPUTS  # the input before a text's first id
 
 
-def step(p: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray, g: dict) -> float:
-    """Loss of windows of inputs x and outputs y where ``live``, and its gradient, into g."""
+def _by_group(group: np.ndarray, first: np.ndarray):
+    """Rows in order of class, and where each class begins among them."""
+    order = np.argsort(group, kind="stable")
+    return order, np.searchsorted(group[order], np.arange(len(first), dtype=group.dtype)).tolist()
+
+
+def _groups(group: np.ndarray, first: np.ndarray):
+    """(class, its rows, its ranks) of the classes of several ids that occur."""
+    order, cuts = _by_group(group, first)
+    for c in range(len(first) - 2):
+        if cuts[c] < cuts[c + 1] and first[c + 1] - first[c] > 1:
+            yield c, order[cuts[c]:cuts[c + 1]], slice(first[c], first[c + 1])
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def step(p: dict, first: np.ndarray, x: np.ndarray, group: np.ndarray, rank: np.ndarray, live: np.ndarray, g: dict) -> float:
+    """Loss of windows of inputs x and outputs (class, rank) where ``live``, and its gradient, into g."""
     b = len(x)
     e = p["embed"][x] + p["place"]
     q, k, v = e @ p["query"], e @ p["key"], e @ p["value"]
@@ -101,18 +137,24 @@ def step(p: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray, g: dict) -> fl
     a = np.exp(a - a.max(2, keepdims=True))
     a /= a.sum(2, keepdims=True)
     c = a @ v
-    h = (e + c @ p["out"]).reshape(-1, WIDTH)
-    z = h @ p["head"] + p["bias"]
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    rows, w = np.arange(len(z)), live.ravel().astype(np.float32)
-    total = max(1.0, float(w.sum()))
-    loss = float(-(np.log(np.maximum(z[rows, y.ravel()], 1e-30)) * w).sum() / total)
-    z[rows, y.ravel()] -= 1
-    z *= (w / total)[:, None]
-    g["head"][:], g["bias"][:] = h.T @ z, z.sum(0)
-    dh = (z @ p["head"].T).reshape(b, CONTEXT, WIDTH)
+    h = np.concatenate([(e + c @ p["out"]).reshape(-1, WIDTH), np.ones((b * CONTEXT, 1), np.float32)], 1)
+    rows, w, group, rank = np.arange(len(h)), live.ravel().astype(np.float32), group.ravel(), rank.ravel()
+    w /= max(1.0, float(w.sum()))
+    z = _softmax(h @ p["head"])
+    loss = -(np.log(np.maximum(z[rows, group], 1e-30)) * w).sum()
+    z[rows, group] -= 1
+    z *= w[:, None]
+    g["head"][:], dh = h.T @ z, z @ p["head"].T
+    g["inner"][:] = 0
+    for _, at, ranks in _groups(group, first):
+        own, weights = h[at], p["inner"][:, ranks]
+        z, y = _softmax(own @ weights), (np.arange(len(at)), rank[at] - ranks.start)
+        loss -= (np.log(np.maximum(z[y], 1e-30)) * w[at]).sum()
+        z[y] -= 1
+        z *= w[at, None]
+        g["inner"][:, ranks] = own.T @ z
+        dh[at] += z @ weights.T
+    dh = np.ascontiguousarray(dh[:, :WIDTH]).reshape(b, CONTEXT, WIDTH)
     g["out"][:] = c.reshape(-1, WIDTH).T @ dh.reshape(-1, WIDTH)
     dc = dh @ p["out"].T
     da = dc @ v.transpose(0, 2, 1)
@@ -127,9 +169,9 @@ def step(p: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray, g: dict) -> fl
     g["place"][:] = de.sum(0)
     g["embed"][:] = 0
     order = np.argsort(x, axis=None, kind="stable")
-    seen, first = np.unique(x.ravel()[order], return_index=True)
-    g["embed"][seen] = np.add.reduceat(de.reshape(-1, WIDTH)[order], first)
-    return loss
+    seen, begin = np.unique(x.ravel()[order], return_index=True)
+    g["embed"][seen] = np.add.reduceat(de.reshape(-1, WIDTH)[order], begin)
+    return float(loss)
 
 
 class Adam:
@@ -145,28 +187,23 @@ class Adam:
         self.flat -= np.float32(rate) * self.m / (np.sqrt(self.v) + np.float32(1e-8))
 
 
-def bounded(flat: np.ndarray) -> np.ndarray:
-    """Parameters for which no exponential of the scorer can overflow."""
-    flat = np.nan_to_num(flat.astype(np.float32), copy=True)
-    p = split(flat)
-    for name, most in (("head", 4.0), ("bias", 20.0), ("embed", 3.0), ("place", 3.0)):
-        np.clip(p[name], -most, most, out=p[name])
-    return flat
-
-
 class Scorer:
     """Log probabilities of documents' ids under given parameters."""
 
-    def __init__(self, flat: np.ndarray, vocabulary: Vocabulary, windows: int = 32):
-        p = self.p = split(flat)
+    def __init__(self, flat: np.ndarray, vocabulary: Vocabulary, windows: int = 128, batches: int = 8):
+        p = self.p = split(np.nan_to_num(flat))
         self.vocabulary, self.windows, self.fresh = vocabulary, windows, CONTEXT - OVERLAP
         # projections of every input vector and place, so that no window multiplies them again
         scale = np.float32(WIDTH**-0.5)
         both = lambda m: (np.ascontiguousarray(p["embed"] @ m), p["place"] @ m)
         self.query, self.key, self.value = both(p["query"] * scale), both(p["key"]), both(p["value"] @ p["out"])
-        self.head = np.ascontiguousarray(np.vstack([p["head"], p["bias"][None]]))
-        self.ones = np.ones(HEAD, np.float32)
-        self.hidden = np.ones((windows * CONTEXT, WIDTH + 1), np.float32)
+        self.plain = p["embed"], p["place"]
+        self.inner = {c: np.ascontiguousarray(p["inner"][:, a:b]) for c, (a, b) in
+                      enumerate(zip(vocabulary.first[:-2].tolist(), vocabulary.first[1:-1].tolist(), strict=True))}
+        self.together = windows * batches  # windows whose classes are worked on together
+        self.several = np.flatnonzero(np.diff(vocabulary.first[:-1]) > 1).tolist()
+        self.hidden = np.ones((self.together * CONTEXT, WIDTH + 1), np.float32)
+        self.ones = np.ones(max(CONTEXT, HEAD, WIDEST), np.float32)
         self.logits = np.empty((windows * CONTEXT, HEAD), np.float32)
         self.weights = np.empty((windows, CONTEXT, CONTEXT), np.float32)
         self.mask = (_MASK == 0).astype(np.float32)
@@ -180,49 +217,65 @@ class Scorer:
         inputs[1:] = self.vocabulary.input[ids[:-1]]
         lens = np.diff(bounds)
         inputs[bounds[:-1][lens > 0]] = START
-        outputs = self.vocabulary.output[ids]
+        group, rank = self.vocabulary.group[ids], self.vocabulary.rank[ids]
         logp = np.zeros(total, np.float32)
         first = bounds[:-1]
         # the first window of each document scores all of its ids, the others what is new in them
-        short = np.flatnonzero(lens > 0)
-        self._run(inputs, outputs, logp, first[short], np.minimum(lens[short], CONTEXT), 0)
+        some = np.flatnonzero(lens > 0)
+        self._run(inputs, group, rank, logp, first[some], np.minimum(lens[some], CONTEXT), 0)
         more = np.maximum(0, -(-(lens - CONTEXT) // self.fresh))
         doc = np.repeat(np.arange(n), more)
         turn = np.arange(len(doc)) - np.repeat(np.cumsum(more) - more, more) + 1
         start = first[doc] + turn * self.fresh
-        self._run(inputs, outputs, logp, start, np.minimum(bounds[1:][doc] - start, CONTEXT), OVERLAP)
+        self._run(inputs, group, rank, logp, start, np.minimum(bounds[1:][doc] - start, CONTEXT), OVERLAP)
         logp += self.vocabulary.within[ids]
         sums = np.concatenate([[0.0], np.cumsum(logp, dtype=np.float64)])
         return sums[bounds[1:]] - sums[bounds[:-1]]
 
-    def _run(self, inputs, outputs, logp, start, length, skip: int) -> None:
-        span, last = np.arange(CONTEXT), len(inputs) - 1
-        for a in range(0, len(start), self.windows):
-            s, n = start[a:a + self.windows], length[a:a + self.windows]
-            b, rows = len(s), len(s) * (CONTEXT - skip)
+    def _run(self, inputs, group, rank, logp, start, length, skip: int) -> None:
+        span, last, fresh = np.arange(CONTEXT), len(inputs) - 1, CONTEXT - skip
+        for a in range(0, len(start), self.together):
+            s, n = start[a:a + self.together], length[a:a + self.together]
             at = np.minimum(s[:, None] + span, last)
-            x = inputs[at]
-            q = self.query[0][x[:, skip:]] + self.query[1][skip:]
-            k, v = self.key[0][x] + self.key[1], self.value[0][x] + self.value[1]
-            w = self.weights[:b, :CONTEXT - skip]
-            np.matmul(q, k.transpose(0, 2, 1), out=w)
-            np.minimum(w, np.float32(60), out=w)
-            np.exp(w, out=w)
-            w *= self.mask[skip:]
-            c = w @ v
-            c /= (w @ self.ones[:CONTEXT])[:, :, None]
-            c += self.p["embed"][x[:, skip:]]
-            c += self.p["place"][skip:]
-            h, z = self.hidden[:rows], self.logits[:rows]
-            h[:, :WIDTH] = c.reshape(rows, WIDTH)
-            np.matmul(h, self.head, out=z)
-            np.minimum(z, np.float32(80), out=z)
-            at = at[:, skip:].ravel()
-            target = z[np.arange(rows), outputs[at]]
-            np.exp(z, out=z)
-            got = target - np.log(z @ self.ones)
+            h = self.hidden[:len(s) * fresh]
+            y = group[at[:, skip:]].ravel()
+            got = np.empty(len(h), np.float32)
+            for i in range(0, len(s), self.windows):
+                rows = slice(i * fresh, min(len(s), i + self.windows) * fresh)
+                h[rows, :WIDTH] = self._attended(inputs[at[i:i + self.windows]], skip)
+                z = np.matmul(h[rows], self.p["head"], out=self.logits[:rows.stop - rows.start])
+                got[rows] = self._picked(z, y[rows])
+            r = rank[at[:, skip:]].ravel()
+            order, cuts = _by_group(y, self.vocabulary.first)
+            h, r, inside = h.take(order, axis=0), r.take(order), np.zeros(len(h), np.float32)
+            for k in self.several:
+                if cuts[k] < cuts[k + 1]:
+                    some = slice(cuts[k], cuts[k + 1])
+                    inside[some] = self._picked(h[some] @ self.inner[k], r[some] - self.vocabulary.first[k])
+            got[order] += inside
             live = (span[skip:] < n[:, None]).ravel()
-            logp[at[live]] = got[live]
+            logp[at[:, skip:].ravel()[live]] = got[live]
+
+    def _attended(self, x: np.ndarray, skip: int) -> np.ndarray:
+        """What attention makes of the inputs of windows, but for the first ``skip`` places."""
+        get = lambda pair, x, skip=0: pair[0].take(x, axis=0) + pair[1][skip:]
+        q, k, v = get(self.query, x[:, skip:], skip), get(self.key, x), get(self.value, x)
+        w = self.weights[:len(x), :CONTEXT - skip]
+        np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)), out=w)
+        np.minimum(w, np.float32(60), out=w)
+        np.exp(w, out=w)
+        w *= self.mask[skip:]
+        c = w @ v
+        c /= (w @ self.ones[:CONTEXT])[:, :, None]
+        c += get(self.plain, x[:, skip:], skip)
+        return c.reshape(-1, WIDTH)
+
+    def _picked(self, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Log probability of the output y of each row of logits (which are overwritten)."""
+        np.minimum(z, np.float32(80), out=z)
+        chosen = z[np.arange(len(z)), y]
+        np.exp(z, out=z)
+        return chosen - np.log(np.maximum(z @ self.ones[:z.shape[1]], np.float32(1e-30)))
 
 
 # ------------------------------------------------------------------ training on Spark
@@ -240,7 +293,7 @@ def _id_counts(tokenizer: str):
 
 
 def _windows(ids: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary):
-    """(inputs, outputs, live) of all windows end to end."""
+    """(inputs, classes, ranks, live) of all windows end to end."""
     lens = np.diff(bounds)
     inputs = np.empty(len(ids), np.int32)
     inputs[1:] = vocabulary.input[ids[:-1]]
@@ -251,35 +304,38 @@ def _windows(ids: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary):
     at = start[:, None] + np.arange(CONTEXT)
     live = at < bounds[1:][doc][:, None]
     at = np.minimum(at, len(ids) - 1)
-    return inputs[at], vocabulary.output[ids[at]], live
+    return inputs[at], vocabulary.group[ids[at]], vocabulary.rank[ids[at]], live
 
 
 def _trained(tokenizer: str, flat, vocabulary):
     def run(batches):
         encoder, words = Encoder.of(tokenizer), vocabulary.value
         own, grad = flat.value.copy(), np.zeros(PARAMETERS, np.float32)
-        p, g, adam, tokens = split(own), split(grad), Adam(own, RATE), 0
-        rng = np.random.default_rng(11)
-        for batch in batches:
-            for _, _, ids, bounds in encoder.documents(batch.column("text")):
-                x, y, live = _windows(ids, bounds, words)
-                order = rng.permutation(len(x))
-                for a in range(0, len(order), STEP_WINDOWS):
-                    some = order[a:a + STEP_WINDOWS]
-                    step(p, x[some], y[some], live[some], g)
-                    adam.move(grad, min(1.0, (adam.t + 1) / 20) / (1 + adam.t / 400))
-                    tokens += int(live[some].sum())
-        if tokens:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(PARAMETERS)), pa.array(own.astype(np.float64) * tokens), pa.array(np.full(PARAMETERS, float(tokens)))],
-                names=["i", "v", "w"])
+        p, g, adam = split(own), split(grad), Adam(own, RATE)
+        parts = [_windows(ids, bounds, words) for batch in batches for _, _, ids, bounds in encoder.documents(batch.column("text"))]
+        if not parts:
+            return
+        x, y, r, live = (np.concatenate(c) for c in zip(*parts, strict=True))
+        tokens, rng, steps = int(live.sum()), np.random.default_rng(11), -(-len(x) // STEP_WINDOWS)
+        total = steps * -(-STEPS // steps)
+        while adam.t < total:
+            order = rng.permutation(len(x))
+            for a in range(0, len(order), STEP_WINDOWS):
+                some = order[a:a + STEP_WINDOWS]
+                step(p, words.first, x[some], y[some], r[some], live[some], g)
+                # a short rise, then down to a tenth
+                adam.move(grad, min(1.0, (adam.t + 1) / 20) * (1 - 0.9 * adam.t / total))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(PARAMETERS)), pa.array(own.astype(np.float64) * tokens), pa.array(np.full(PARAMETERS, float(tokens)))],
+            names=["i", "v", "w"])
     return run
 
 
 def train(docs: DataFrame, tokenizer: str) -> tuple[np.ndarray, Vocabulary]:
     """(parameters, vocabulary) from the training documents ``docs`` (text, draw: a uniform long)."""
     spark = docs.sparkSession
-    sample = docs.filter(F.pmod("draw", F.lit(SAMPLE)) == 0).select("text", F.pmod(F.expr("draw div 1024"), F.lit(ROUNDS)).alias("turn"))
+    one_in = max(1, min(SAMPLE, docs.count() // LEAST_SAMPLE))
+    sample = docs.filter(F.pmod("draw", F.lit(one_in)) == 0).select("text", F.pmod(F.expr("draw div 1024"), F.lit(ROUNDS)).alias("turn"))
     sample = written(sample, "sample")
     size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     counts = np.zeros(Encoder.of(tokenizer).size, np.int64)
@@ -291,12 +347,12 @@ def train(docs: DataFrame, tokenizer: str) -> tuple[np.ndarray, Vocabulary]:
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(flat)
         mean = (sample.filter(F.col("turn") == turn).select("text").repartition(trainers)
-                .mapInArrow(_trained(tokenizer, start, words), "i int, v double, w double")
+                .mapInArrow(_trained(tokenizer, start, words), "i long, v double, w double")
                 .groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toArrow())
         if mean.num_rows:
             flat = flat.copy()
             flat[mean["i"].to_numpy()] = mean["v"].to_numpy()
-    return bounded(flat), vocabulary
+    return flat, vocabulary
 
 
 # ------------------------------------------------------------------ blocks, word counts, scores
