@@ -13,7 +13,9 @@ FAST = ["rating_sentiment", "split_assignment", "class_counts", "train_weights",
         "aspect_dictionary", "aspect_tags", "aspect_multihot", "lexicon_dedup", "score_length",
         "score_diversity", "score_quality", "score_emotion", "tfidf_vocabulary", "similarity_score",
         "linear_head_scores", "map_scored", "scored_batch", "single_review", "report_kpis",
-        "aspect_mentions", "health_kpis", "eval_metrics"]
+        "aspect_mentions", "health_kpis", "eval_metrics", "trust_score", "tfidf_weights", "lexicon_table",
+        "lemma_counts_by_class", "detail", "suspicious", "csv_roundtrip", "report", "reviews_csv_scan",
+        "corpus_csv_scan", "lexicon_roundtrip", "class_order_roundtrip", "model_selection"]
 
 
 def _con(sf):

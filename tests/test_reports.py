@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from trustlens import fixed_values as fv
 from trustlens.operators.linear_head import linear_head_scores
 from trustlens.plans import jobs
 
@@ -26,10 +25,48 @@ def test_suspicious_threshold(spark):
 
 
 def test_single_verdict(spark):
-    t = spark.createDataFrame([(49.9,), (50.0,), (50.1,)], "trust_score double")
-    shown = F.when(F.col("trust_score") <= 1.0, F.col("trust_score") * 100).otherwise(F.col("trust_score"))
-    v = [r[0] for r in t.select(F.when(shown > fv.SAFE_ABOVE, "safe").otherwise("suspicious")).collect()]
-    assert v == ["suspicious", "suspicious", "safe"]
+    """A review whose trust is exactly 50.0 is suspicious, just above it is safe."""
+    from trustlens.functions.text import DEFAULT_ALPHABETS as A
+    lex = spark.createDataFrame([], "pos long, term string, tag string, value double")
+
+    def predict(docs):
+        return docs.select("doc_id", F.lit("positive").alias("sentiment"), F.lit(0.9).alias("confidence"),
+                           F.array().cast("array<string>").alias("aspect_list"))
+    # length n/5, no diversity below three tokens, neutral emotion, letters' share of the characters
+    texts = ["абвгд абвгд", "абвгд абвг1", "абвгд абвгд абвгд", "а"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in jobs.single_reviews(docs, lex, predict, A).collect()}
+    assert out[0]["trust_score"] == 53.5 and out[0]["verdict"] == "safe"
+    assert out[3]["verdict"] == "suspicious" and out[3]["trust_score"] < 50
+    for r in out.values():
+        assert r["trust_display"] == r["trust_score"]
+        assert r["verdict"] == ("safe" if r["trust_score"] > 50.0 else "suspicious")
+
+
+def test_verdict_at_fifty(spark, monkeypatch):
+    scored = _scored(spark, [("positive", t, "—") for t in (49.9, 50.0, 50.1, 0.5, 0.51)])
+    monkeypatch.setattr(jobs, "analyze", lambda *a, **k: scored)
+    got = [(r["trust_display"], r["verdict"]) for r in jobs.single_reviews(None, None, None).collect()]
+    assert got == [(49.9, "suspicious"), (50.0, "suspicious"), (50.1, "safe"), (50.0, "suspicious"), (51.0, "safe")]
+
+
+def test_repeated_lexicon_terms_count_once(spark):
+    from trustlens.functions.text import DEFAULT_ALPHABETS as A
+    docs = spark.createDataFrame([(1, "супер супер супер плохо")], "doc_id long, text string")
+    rows = [(0, "супер", "PSTV", 0.1), (1, "супер", "PSTV", 0.9), (2, "супер", "PSTV", 0.9), (0, "плохо", "NGTV", -1.0)]
+    once = [(1, "супер", "PSTV", 0.9), (0, "плохо", "NGTV", -1.0)]
+    make = lambda r: spark.createDataFrame(r, "pos long, term string, tag string, value double")
+    a, b = (jobs.trust_signals(docs, make(r), A, with_similarity=False).first()["emotion"] for r in (rows, once))
+    assert a == b
+
+
+def test_report_reads_one_kept_batch(spark):
+    r = jobs.report(_scored(spark, [("positive", 10.0, "a, b"), ("negative", 90.0, "a")]))
+    assert len(r.caches.tables) == 1 and r.caches.tables[0].is_cached
+    assert r.kpis.first()["total"] == 2 and r.detail.count() == 2 and r.suspicious.count() == 1
+    assert {x["aspect"]: x["mentions"] for x in r.mentions.collect()} == {"a": 2, "b": 1}
+    r.release()
+    assert not r.caches.tables
 
 
 def test_health_bands(spark):

@@ -62,7 +62,7 @@ def quality_score(text, letters: str, capitals: str) -> Column:
     # letters = length minus what is left after deleting runs of letters (one regex match
     # per run instead of one per letter)
     letters_n = L - F.length(F.regexp_replace(t, f"[{letters}]+", ""))
-    caps_n = F.regexp_count(t, F.lit(f"[{capitals}]"))
+    caps_n = L - F.length(F.regexp_replace(t, f"[{capitals}]+", ""))
     repeats = F.regexp_count(t, F.lit(r"(?d)(.)\1{3,}"))
     links = t.rlike(fv.LINK_PATTERN).cast("int")
 

@@ -62,7 +62,7 @@ def words(text) -> Column:
 
 
 def word_count(text) -> Column:
-    """``len(text.split())`` without building the array."""
+    """``len(text.split())``: the number of matches of a word."""
     return F.regexp_count(_col(text), F.lit(rf"(?U)[^{WS}]+"))
 
 

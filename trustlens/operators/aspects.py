@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustlens import fixed_values as fv
-from trustlens.operators.broadcast import bounded_broadcast, small_by_construction
+from trustlens.operators.broadcast import small_by_construction
+from trustlens.session import cached
 
 
-def lemma_counts_by_class(lemmas: DataFrame) -> DataFrame:
-    """(doc_id, sentiment, pos, lemma) -> (sentiment, lemma, n) for positive and negative only."""
-    return (lemmas.filter(F.col("sentiment").isin("positive", "negative"))
-            .groupBy("sentiment", "lemma").agg(F.count(F.lit(1)).alias("n")))
+def lemma_counts(lemmas: DataFrame) -> DataFrame:
+    """(doc_id, sentiment, pos, lemma) -> (doc_id, sentiment, lemma, n): what counting and tagging read."""
+    return lemmas.groupBy("doc_id", "sentiment", "lemma").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lemma_counts_by_class(counts: DataFrame) -> DataFrame:
+    """(doc_id, sentiment, lemma, n) -> (sentiment, lemma, n) for positive and negative only."""
+    return (counts.filter(F.col("sentiment").isin("positive", "negative"))
+            .groupBy("sentiment", "lemma").agg(F.sum("n").alias("n")))
 
 
 def candidate_terms(counts: DataFrame, k: int = fv.CANDIDATE_POOL_SIZE) -> DataFrame:
@@ -25,7 +31,7 @@ def expand_aspects(seeds: DataFrame, candidates: DataFrame,
                    root_chars: int = fv.SEED_ROOT_CHARS) -> DataFrame:
     """Seeds plus every candidate that contains the first ``root_chars`` chars of a seed
     anywhere. (aspect_pos, aspect, term), distinct."""
-    seeds_b = bounded_broadcast(seeds.select("aspect_pos", "aspect", "seed"))
+    seeds_b = seeds.select("aspect_pos", "aspect", "seed")
     cand = candidates.select(F.col("lemma").alias("term"))
     matched = (cand.join(seeds_b, F.col("term").contains(F.substring("seed", 1, root_chars)))
                .select("aspect_pos", "aspect", "term"))
@@ -37,7 +43,7 @@ def tag_aspects(docs: DataFrame, lemmas: DataFrame, dictionary: DataFrame,
                 other: str = fv.OTHER_ASPECT) -> DataFrame:
     """(doc_id, tags array<string>): aspects whose words meet the review's lemmas, in
     aspect order; ``[other]`` when none does."""
-    dic = bounded_broadcast(dictionary.select("aspect_pos", "aspect", F.col("term").alias("lemma")))
+    dic = dictionary.select("aspect_pos", "aspect", F.col("term").alias("lemma"))
     hits = (lemmas.select("doc_id", "lemma").join(dic, "lemma")
             .groupBy("doc_id")
             .agg(F.array_sort(F.collect_set(F.struct("aspect_pos", "aspect"))).alias("a")))
@@ -52,17 +58,19 @@ def multi_hot(tags_col, classes: list[str]):
     return F.array(*[F.array_contains(tags_col, c).cast("int") for c in classes])
 
 
-def weak_aspect_labels(corpus: DataFrame, lemmas: DataFrame, seeds: DataFrame,
+def weak_aspect_labels(corpus: DataFrame, counts: DataFrame, seeds: DataFrame,
                        classes: list[str], other: str | None = None,
                        k: int = fv.CANDIDATE_POOL_SIZE) -> tuple[DataFrame, DataFrame]:
-    """lemma counts -> candidate pool -> expanded dictionary -> tags -> multi-hot labels.
+    """lemma counts per review (``lemma_counts``, read twice: cached) -> candidate pool -> expanded
+    dictionary -> tags -> multi-hot labels.
 
     Returns (dictionary, labels) where labels is (doc_id, tags, aspect_labels).
     """
     other = other or classes[-1]
-    pool = small_by_construction(candidate_terms(lemma_counts_by_class(lemmas), k))
+    counts = cached(counts)
+    pool = small_by_construction(candidate_terms(lemma_counts_by_class(counts), k))
     dictionary = expand_aspects(seeds, pool)
-    tags = tag_aspects(corpus, lemmas, dictionary, other)
+    tags = tag_aspects(corpus, counts, dictionary, other)
     return dictionary, tags.withColumn("aspect_labels", multi_hot(F.col("tags"), classes))
 
 

@@ -1,27 +1,11 @@
-"""Broadcast only behind a size check."""
+"""Broadcast hints. Other joins carry none: Spark compares a side's bytes with
+``spark.sql.autoBroadcastJoinThreshold``, at run time with what was really shuffled."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustlens.session import cached
-
-# A side is broadcast only when it has at most this many rows; beyond it the join
-# stays a shuffle join (sort-merge, with AQE's skew handling).
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint ``broadcast`` when ``df`` has at most ``max_rows`` rows, else return it unchanged.
-
-    The check counts at most ``max_rows + 1`` rows; the table is persisted first so the
-    check and the join read it once.
-    """
-    df = cached(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def small_by_construction(df: DataFrame) -> DataFrame:
     """Broadcast a side whose row count is capped by the plan itself (a top-k, a class list)."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustlens import fixed_values as fv
@@ -24,21 +24,39 @@ def polar(df: DataFrame) -> DataFrame:
     return df.filter(F.col("sentiment").isin("positive", "negative"))
 
 
-def split_bucket(id_col: str = "doc_id", seed: int = fv.SPLIT_SEED):
-    """A portable 0..999 bucket per row: first 32 bits of md5('seed:id') mod 1000."""
+def split_hash(id_col: str = "doc_id", seed: int = fv.SPLIT_SEED):
+    """A portable 32-bit hash per row: the first 8 hex digits of md5('seed:id')."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), 1, 8), 16, 10)
-    return (h.cast("long") % 1000).cast("int")
+    return h.cast("long")
 
 
-def assign_split(df: DataFrame, id_col: str = "doc_id", seed: int = fv.SPLIT_SEED,
+def assign_split(df: DataFrame, id_col: str = "doc_id", seed: int = fv.SPLIT_SEED, label_col: str = "label",
                  train: float = fv.TRAIN_SHARE, validation: float = fv.VALIDATION_SHARE) -> DataFrame:
-    """80/10/10 by hash bucket, no shuffle. The bucket is independent of the class, so
-    every class is split in the same proportions in expectation."""
-    b = split_bucket(id_col, seed)
-    t, v = int(round(train * 1000)), int(round((train + validation) * 1000))
-    return (df.withColumn("bucket", b)
-            .withColumn("split", F.when(F.col("bucket") < t, "train")
-                        .when(F.col("bucket") < v, "validation").otherwise("test")))
+    """``df`` with ``hash`` and ``split``: of each class the first 80 % in order of (hash, id) train,
+    the next 10 % validate, to the row.
+
+    No class is sorted: its hashes are counted in 65,536 bins, a running sum over the bins finds the
+    two that hold the cuts, and only these bins' rows (about 1 / 65,536 of the class) are ranked.
+    """
+    df = df.withColumn("hash", split_hash(id_col, seed))
+    bins = df.groupBy(F.col(label_col).alias("_y"), F.shiftright("hash", 16).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    by_class = Window.partitionBy("_y")
+    bins = (bins.withColumn("_all", F.sum("_n").over(by_class))
+            .withColumn("_upto", F.sum("_n").over(by_class.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))))
+    # for a cut: its bin, and how many of the bin's rows lie before it
+    def cut(share, name):
+        want = F.floor(F.col("_all") * share + 0.5)
+        holds = (F.col("_upto") >= want) & (F.col("_upto") - F.col("_n") < want)
+        at = F.when(holds, F.struct(F.col("_b").alias("bin"), (want - F.col("_upto") + F.col("_n")).alias("rows")))
+        return F.coalesce(F.max(at), F.struct(F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("rows"))).alias(name)
+    cuts = bins.groupBy("_y").agg(cut(train, "_t"), cut(train + validation, "_v"))  # a row per class
+    rows = df.join(F.broadcast(cuts), F.col(label_col) == F.col("_y")).withColumn("_b", F.shiftright("hash", 16))
+    edge = (F.col("_b") == F.col("_t.bin")) | (F.col("_b") == F.col("_v.bin"))
+    rank = F.row_number().over(Window.partitionBy("_y", "_b").orderBy("hash", id_col))
+    ranked = rows.filter(~edge).withColumn("_r", F.lit(0)).unionByName(rows.filter(edge).withColumn("_r", rank))
+    before = lambda c: (F.col("_b") < F.col(f"{c}.bin")) | ((F.col("_b") == F.col(f"{c}.bin")) & (F.col("_r") <= F.col(f"{c}.rows")))
+    split = F.when(before("_t"), "train").when(before("_v"), "validation").otherwise("test")
+    return ranked.withColumn("split", split).select(*df.columns, "split")
 
 
 def class_weights(train: DataFrame, label_col: str = "label") -> DataFrame:
@@ -55,7 +73,7 @@ def with_class_weight(train: DataFrame, label_col: str = "label") -> DataFrame:
 
 def rebalance_sample(train: DataFrame, label_col: str = "label", seed: int = fv.SPLIT_SEED) -> DataFrame:
     """Draw with replacement so every class has the same expected count n/k."""
-    counts = {r[label_col]: r["n"] for r in class_weights(train, label_col).collect()}
+    counts = {r[label_col]: r["n"] for r in class_weights(train, label_col).collect()}  # a row per class
     total, k = sum(counts.values()), len(counts)
     parts = [train.filter(F.col(label_col) == c).sample(True, total / (k * n), seed)
              for c, n in counts.items()]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from trustlens import fixed_values as fv
 from trustlens.functions.text import lemma_forms
-from trustlens.operators.broadcast import bounded_broadcast
 
 
 def clean_lemmas(docs: DataFrame, stopwords: DataFrame, form_lemma: DataFrame, letters: str,
@@ -18,8 +17,8 @@ def clean_lemmas(docs: DataFrame, stopwords: DataFrame, form_lemma: DataFrame, l
     Forms shorter than ``min_chars`` or in ``stopwords`` are dropped, the rest are
     mapped through ``form_lemma`` (unknown forms keep themselves) and filtered again.
     """
-    stop = bounded_broadcast(stopwords.select(F.col("token").alias("w")).distinct())
-    lem = bounded_broadcast(form_lemma.select("form", "lemma").dropDuplicates(["form"]))
+    stop = stopwords.select(F.col("token").alias("w")).distinct()
+    lem = form_lemma.select("form", "lemma").dropDuplicates(["form"])
     forms = (docs.select(F.col(id_col).alias("doc_id"), *carry,
                          F.posexplode(lemma_forms(text_col, letters)).alias("pos", "form"))
              .filter(F.length("form") >= min_chars))

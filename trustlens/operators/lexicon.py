@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustlens.functions.text import letter_tokens
-from trustlens.functions.scores import emotion_score
-from trustlens.operators.broadcast import bounded_broadcast
 
 
 def dedup_lexicon(raw: DataFrame) -> DataFrame:
@@ -17,6 +15,14 @@ def dedup_lexicon(raw: DataFrame) -> DataFrame:
             .select("term", F.col("b.tag").alias("tag"), F.col("b.value").alias("value")))
 
 
+def one_value_per_term(lexicon: DataFrame) -> DataFrame:
+    """(term, value) with each term once: of repeated rows the last by ``pos``, or without that
+    column the largest value."""
+    if "pos" in lexicon.columns:
+        return dedup_lexicon(lexicon).select("term", "value")
+    return lexicon.groupBy("term").agg(F.max("value").alias("value"))
+
+
 def emotion_stats(docs: DataFrame, lexicon: DataFrame, letters: str,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per review with at least one hit: hits, mean and population std of the values.
@@ -24,7 +30,7 @@ def emotion_stats(docs: DataFrame, lexicon: DataFrame, letters: str,
     Every token occurrence counts (raw lower-case forms). Tokens of one review sit in one
     partition, so the partial aggregate leaves one row per review before the shuffle.
     """
-    lex = bounded_broadcast(lexicon.select("term", "value"))
+    lex = one_value_per_term(lexicon)
     toks = docs.select(F.col(id_col).alias("doc_id"),
                        F.explode(letter_tokens(text_col, letters)).alias("term"))
     return (toks.join(lex, "term")
@@ -33,14 +39,6 @@ def emotion_stats(docs: DataFrame, lexicon: DataFrame, letters: str,
                  F.stddev_pop("value").alias("std")))
 
 
-def emotion_scores(docs: DataFrame, lexicon: DataFrame, letters: str,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, emotion) for every review; reviews with < 3 hits get 0.5."""
-    stats = emotion_stats(docs, lexicon, letters, id_col, text_col)
-    return (docs.select(F.col(id_col).alias("doc_id")).join(stats, "doc_id", "left")
-            .select("doc_id", emotion_score("hits", "mean", "std").alias("emotion")))
-
-
 def lexicon_from_labels(docs: DataFrame, labels: DataFrame, letters: str,
                         min_docs: int = 5) -> DataFrame:
     """Build a lexicon from quality labels: for each term, p / n = labelled documents of

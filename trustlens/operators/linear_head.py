@@ -14,7 +14,6 @@ from trustlens.functions.scores import rnd
 
 from trustlens import fixed_values as fv
 from trustlens.functions.text import letter_tokens
-from trustlens.operators.broadcast import bounded_broadcast
 
 _DP = 6
 _UNIT = 10 ** 9
@@ -33,9 +32,8 @@ def head_logits(docs: DataFrame, coefs: DataFrame, sentiment_classes: list[str],
         cond = (F.col("head") == h) & (F.col("class") == c)
         k = F.when(cond, F.lit(n)) if k is None else k.when(cond, F.lit(n))
     c = coefs.withColumn("k", k).filter(F.col("k").isNotNull())
-    biases = {r["k"]: r["b"] for r in
-              c.filter(F.col("term").isNull()).groupBy("k").agg(F.sum("coef").alias("b")).collect()}
-    weights = bounded_broadcast(c.filter(F.col("term").isNotNull()).select("term", "k", "coef"))
+    biases = c.filter(F.col("term").isNull())
+    weights = c.filter(F.col("term").isNotNull()).select("term", "k", "coef")
     toks = docs.select("doc_id", F.explode(letter_tokens("text", letters)).alias("term"))
     # exact sums in integer units of 1e-9: the result does not depend on the order rows
     # are added in (a tie at p = 0.5 stays a tie), and 64-bit sums stay in generated code
@@ -43,10 +41,12 @@ def head_logits(docs: DataFrame, coefs: DataFrame, sentiment_classes: list[str],
     sums = (toks.join(weights, "term").groupBy("doc_id")
             .pivot("k", list(range(len(keys)))).agg(F.sum(units)))
     out = docs.select("doc_id").join(sums.hint("shuffle_hash"), "doc_id", "left")
-    return out.select("doc_id", *[
-        (F.coalesce(F.col(str(n)), F.lit(0).cast("long")) + F.lit(int(round(biases.get(n, 0.0) * _UNIT))))
-        .alias(f"z{n}")
-        for n in range(len(keys))])
+    zero = F.lit(0).cast("long")
+
+    def bias(n):  # a scalar subquery: no job while the plan is built
+        own = biases.filter(F.col("k") == n).select(F.round(F.sum("coef") * _UNIT).cast("long"))
+        return F.coalesce(own.scalar(), zero)
+    return out.select("doc_id", *[(F.coalesce(F.col(str(n)), zero) + bias(n)).alias(f"z{n}") for n in range(len(keys))])
 
 
 def read_heads(logits: DataFrame, sentiment_classes: list[str], aspect_classes: list[str],
@@ -88,54 +88,55 @@ def linear_head_scores(docs: DataFrame, coefs: DataFrame, sentiment_classes: lis
     return read_heads(logits, sentiment_classes, aspect_classes, threshold)
 
 
-def pandas_scorer(coef_rows, sentiment_classes: list[str], aspect_classes: list[str], letters: str,
-                  threshold: float = fv.ASPECT_THRESHOLD):
-    """The same head as a pandas function (for ``mapInPandas``): exact sums in integer
-    units of 1e-9, then the same double formulas as the column version."""
-    import math
+def batch_scorer(path: str, sentiment_classes: list[str], aspect_classes: list[str], letters: str,
+                 threshold: float = fv.ASPECT_THRESHOLD):
+    """The same head as a batch model read from a coefficient table's folder: term ids of a whole
+    Arrow batch, one sparse product with the weights in exact integer units of 1e-9, then the
+    same double formulas as the column version."""
     import re
 
     import numpy as np
     import pandas as pd
-
-    keys = _keys(sentiment_classes, aspect_classes)
-    kidx = {k: n for n, k in enumerate(keys)}
-    bias = [0] * len(keys)
-    weights: dict[str, list[tuple[int, int]]] = {}
-    for head, cls, term, coef in coef_rows:
-        n = kidx.get((head, cls))
-        if n is None:
-            continue
-        units = int(round(coef * 10 ** 9))
-        if term is None:
-            bias[n] += units
-        else:
-            weights.setdefault(term, []).append((n, units))
-    strip = re.compile(f"[^{letters}\\s]")
-    other = aspect_classes[-1]
-    off = len(sentiment_classes)
-
-    def r(x, d):
-        return math.floor(x * 10 ** d + 0.5) / 10 ** d
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    table = ds.dataset(name, filesystem=store, format="parquet").to_table().to_pylist()
+    place = {k: n for n, k in enumerate(_keys(sentiment_classes, aspect_classes))}
+    terms = {t: i for i, t in enumerate(sorted({r["term"] for r in table if r["term"] is not None}))}
+    bias, weights = np.zeros(len(place)), np.zeros((len(terms), len(place)), np.int64)
+    for r in table:
+        n = place.get((r["head"], r["class"]))
+        if n is not None and r["term"] is None:
+            bias[n] += r["coef"]
+        elif n is not None:
+            weights[terms[r["term"]], n] += int(round(r["coef"] * _UNIT))
+    bias = np.round(bias * _UNIT).astype(np.int64)
+    strip, off, names = re.compile(f"[^{letters}\\s]"), len(sentiment_classes), np.array(aspect_classes, object)
+
+    def rounded(x, digits):
+        return np.floor(x * 10 ** digits + 0.5) / 10 ** digits
+
+    def sigmoid(z):
+        return 1.0 / (1.0 + np.exp(-(z / float(_UNIT))))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {"doc_id": [], "sentiment": [], "p_positive": [], "confidence_pct": [], "aspects": []}
-        for doc_id, text in zip(pdf["doc_id"].to_numpy(), pdf["text"].to_numpy()):
-            z = list(bias)
-            for tok in strip.sub("", text.lower()).split():
-                for n, u in weights.get(tok, ()):
-                    z[n] += u
-            p_pos = 1.0 / (1.0 + math.exp((z[0] - z[1]) / 10 ** 9))
-            p_neg = 1.0 / (1.0 + math.exp((z[1] - z[0]) / 10 ** 9))
-            probs = [(1.0 / (1.0 + math.exp(-(z[off + a] / 10 ** 9))), a, name)
-                     for a, name in enumerate(aspect_classes)]
-            kept = sorted((p for p in probs if p[0] > threshold and p[2] != other), reverse=True)
-            out["doc_id"].append(int(doc_id))
-            out["sentiment"].append(sentiment_classes[1] if p_pos > 0.5 else sentiment_classes[0])
-            out["p_positive"].append(r(p_pos, _DP))
-            out["confidence_pct"].append(r(max(p_pos, p_neg) * 100, 1))
-            out["aspects"].append(", ".join(p[2] for p in kept) if kept else fv.NO_ASPECTS)
-        return pd.DataFrame(out).astype({"doc_id": np.int64})
+        tokens = [strip.sub("", t.lower()).split() for t in pdf["text"]]
+        ids = [[terms[t] for t in row if t in terms] for row in tokens]
+        rows = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        z = np.tile(bias, (len(ids), 1))
+        np.add.at(z, rows, weights[np.fromiter((i for x in ids for i in x), np.int64, len(rows))])
+        p_pos, p_neg = sigmoid(z[:, 1] - z[:, 0]), sigmoid(z[:, 0] - z[:, 1])
+        probs = sigmoid(z[:, off:])
+        probs[:, -1] = -1.0  # the last class is never listed
+        # most probable first, of equal ones the later class
+        order = np.lexsort((-np.tile(np.arange(probs.shape[1]), (len(probs), 1)), -probs), axis=1)
+        listed = np.take_along_axis(probs, order, 1) > threshold
+        return pd.DataFrame({
+            "doc_id": pdf["doc_id"].to_numpy(np.int64),
+            "sentiment": np.where(p_pos > 0.5, sentiment_classes[1], sentiment_classes[0]),
+            "p_positive": rounded(p_pos, _DP), "confidence_pct": rounded(np.maximum(p_pos, p_neg) * 100, 1),
+            "aspects": [", ".join(names[o[m]]) if m.any() else fv.NO_ASPECTS for o, m in zip(order, listed)]})
     return score
 
 

@@ -82,31 +82,16 @@ def fit_all(estimators: list, df: DataFrame, parallelism: int) -> list:
         return list(pool.map(lambda e: e.fit(df), estimators))
 
 
-def fit_sentiment_head(ft: DataFrame, reg: float, cfg: TrainConfig):
-    """Weighted LR for the two sentiment classes; a distributed fit (tree aggregation of
-    gradients), only coefficients reach the driver."""
-    return _sentiment_lr(reg, cfg).fit(ft)
-
-
 def assemble(feats: PipelineModel, sentiment_head, aspect_heads: list) -> PipelineModel:
     """One saveable model: tokens -> TF -> IDF -> sentiment head -> aspect heads."""
     return PipelineModel(stages=list(feats.stages) + [sentiment_head] + list(aspect_heads))
 
 
-def fit_heads(train: DataFrame, n_classes: int, reg: float, cfg: TrainConfig,
-              feats: PipelineModel | None = None) -> PipelineModel:
-    """One complete candidate from (text, label, weight, aspect_labels) rows."""
-    feats = feats or featurizer(cfg.letters, cfg.num_features).fit(train)
-    ft = featurize(feats, train, n_classes).persist()
-    model = assemble(feats, fit_sentiment_head(ft, reg, cfg), fit_aspect_heads(ft, n_classes, reg, cfg))
-    ft.unpersist()
-    return model
-
-
 def predict(model: PipelineModel, docs: DataFrame, aspect_classes: list[str],
             sentiment_classes=("negative", "positive"), threshold: float = fv.ASPECT_THRESHOLD,
-            other: str | None = None) -> DataFrame:
-    """(doc_id, sentiment, p_positive, confidence, aspect_list) from a fitted model.
+            other: str | None = None, carry: tuple = ()) -> DataFrame:
+    """(doc_id, *carry, sentiment, p_positive, confidence, aspect_list, aspect_pred) from a fitted model;
+    ``carry`` names columns of ``docs`` to keep.
 
     positive iff p(positive) > 0.5; confidence = the larger class probability;
     aspects with p > threshold except ``other``, most probable first.
@@ -120,7 +105,7 @@ def predict(model: PipelineModel, docs: DataFrame, aspect_classes: list[str],
                     for k, name in enumerate(aspect_classes)])
     kept = F.filter(arr, lambda x: (x["prob"] > threshold) & (x["aspect"] != other))
     return out.select(
-        "doc_id",
+        "doc_id", *carry,
         F.when(p_pos > 0.5, F.lit(sentiment_classes[1])).otherwise(F.lit(sentiment_classes[0])).alias("sentiment"),
         rnd(p_pos, 6).alias("p_positive"),
         F.greatest(p_pos, p_neg).alias("confidence"),
@@ -152,6 +137,13 @@ def evaluation_table(pred: DataFrame, n_classes: int, label_col: str = "label",
                     f1("atp", "afp", "afn").alias("aspect_micro_f1"))
 
 
+def first_best(figures: DataFrame, order_col: str, f1_col: str) -> DataFrame:
+    """``figures`` (a row per candidate) with ``chosen``: true for the first with the highest F1."""
+    best = figures.agg(F.max(f1_col)).scalar()
+    first = figures.filter(F.col(f1_col) == best).agg(F.min(order_col)).scalar()
+    return figures.withColumn("chosen", F.col(order_col) == first)
+
+
 def select_best(candidates: list[tuple[float, PipelineModel, float]]):
     """The first candidate with the strictly highest validation F1 (ties keep the earlier)."""
     best = None

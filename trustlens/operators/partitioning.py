@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def by_review(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Hash-partition the batch by its key once.
-
-    Every later per-review aggregate (lexicon hits, head logits, TF-IDF vectors) then
-    groups a child that is already clustered by the key, and the joins back to the batch
-    need no further exchange on the side that carries the text. An explicit partition
-    count keeps AQE from merging these partitions: the work per byte of text is heavy.
-    Two adjacent calls collapse into one exchange (Catalyst's CollapseRepartition).
-    """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.repartition(n, key)
+def spread(docs: DataFrame) -> DataFrame:
+    """Deal the rows out where the input has fewer files than the cluster has cores (one small
+    file of one row group is one task); otherwise the scan's own splits stay, and no text
+    moves. Looks at the plan only, starts no job."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.isStreaming or not 0 < len(docs.inputFiles()) < cores:
+        return docs
+    return docs.repartition(cores)

@@ -6,6 +6,8 @@ from them; the small parameter tables come from ``sources.fixtures``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,11 @@ from trustlens.operators.similarity import similarity_scores
 from trustlens.operators.tfidf import doc_count, postings, tfidf_weights, vocabulary
 from trustlens.functions.text import letter_tokens
 from trustlens.plans import jobs
-from trustlens.session import cached
+from trustlens.operators.partitioning import spread
+from trustlens.session import cached, checkpoint_dir
 from trustlens.sources import fixtures as fx
+from trustlens.sources import readers as rd
+from trustlens.sources.writers import read_class_order, write_class_order, write_csv, write_parquet
 
 A = fx.ALPHABETS
 
@@ -39,7 +44,7 @@ def _polar_split(spark, sf):
 
 
 def q_split_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    return _polar_split(spark, sf).select("doc_id", "label", "bucket", "split")
+    return _polar_split(spark, sf).select("doc_id", "label", "hash", "split")
 
 
 def q_class_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +60,7 @@ def q_train_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lemmas(spark, sf):
-    c = with_sentiment(fx.corpus(spark, sf), fx.LANGUAGE)
+    c = with_sentiment(fx.corpus(spark, sf, spread), fx.LANGUAGE)
     return c, clean_lemmas(c, fx.stopwords(spark), fx.form_lemma(spark), A.lemma, carry=("sentiment",))
 
 
@@ -64,16 +69,16 @@ def q_clean_lemmas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_lemma_counts_by_class(spark: SparkSession, sf: str) -> DataFrame:
-    return asp.lemma_counts_by_class(_lemmas(spark, sf)[1])
+    return asp.lemma_counts_by_class(asp.lemma_counts(_lemmas(spark, sf)[1]))
 
 
 def q_candidate_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return asp.candidate_terms(asp.lemma_counts_by_class(_lemmas(spark, sf)[1]))
+    return asp.candidate_terms(q_lemma_counts_by_class(spark, sf))
 
 
 def _weak(spark, sf):
     c, lem = _lemmas(spark, sf)
-    return asp.weak_aspect_labels(c, lem, fx.aspect_seeds(spark), fx.ASPECT_CLASSES)
+    return asp.weak_aspect_labels(c, asp.lemma_counts(lem), fx.aspect_seeds(spark), fx.ASPECT_CLASSES)
 
 
 def q_aspect_dictionary(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,7 +101,7 @@ def q_lexicon_table(spark: SparkSession, sf: str) -> DataFrame:
     return fx.lexicon(spark, sf).select("term", "tag", "value")
 
 
-def q_lexicon_dedup(spark: SparkSession, sf: str) -> DataFrame:
+def _raw_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     """A lexicon with repeated terms: the label lexicon (pos 0) followed by toxicity
     corrections (pos 1) for terms seen in >= 2 toxic documents; the later row wins."""
     docs, labels = fx.table(spark, sf, "documents"), fx.table(spark, sf, "labels")
@@ -107,26 +112,35 @@ def q_lexicon_dedup(spark: SparkSession, sf: str) -> DataFrame:
     fixes = (base.select("term").join(tox, "term")
              .select(F.lit(1).cast("long").alias("pos"), "term", F.lit("NGTV").alias("tag"),
                      (-F.col("t") / (F.col("t") + 1.0)).alias("value")))
-    return dedup_lexicon(base.unionByName(fixes))
+    return base.unionByName(fixes)
+
+
+def q_lexicon_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup_lexicon(_raw_lexicon(spark, sf))
 
 
 # ---------------------------------------------------------------- trust signals
 
-def _docs(spark, sf, spread: bool = True):
-    """The review batch (``fixtures.table`` already partitions it by doc_id)."""
+def _rows(spark, sf):
+    """The reviews for row-local signals: no exchange."""
     return fx.reviews(spark, sf).na.drop(subset=["text"])
 
 
+def _docs(spark, sf):
+    """The review batch for work that is heavy per byte of text."""
+    return fx.batch(spark, sf).na.drop(subset=["text"])
+
+
 def q_score_length(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", rnd(length_score("text"), 9).alias("length"))
+    return _rows(spark, sf).select("doc_id", rnd(length_score("text"), 9).alias("length"))
 
 
 def q_score_diversity(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", rnd(diversity_score("text", A.score), 9).alias("diversity"))
+    return _rows(spark, sf).select("doc_id", rnd(diversity_score("text", A.score), 9).alias("diversity"))
 
 
 def q_score_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", rnd(quality_score("text", A.quality, A.capitals), 9)
+    return _rows(spark, sf).select("doc_id", rnd(quality_score("text", A.quality, A.capitals), 9)
                                    .alias("quality"))
 
 
@@ -173,13 +187,13 @@ def q_linear_head_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_trust_score(spark: SparkSession, sf: str) -> DataFrame:
-    t = jobs.with_trust(jobs.trust_signals(_docs(spark, sf, False), fx.lexicon(spark, sf), A))
+    t = jobs.with_trust(jobs.trust_signals(_docs(spark, sf), fx.lexicon(spark, sf), A))
     return t.select("doc_id", "trust_score", "trust_length", "trust_diversity", "trust_emotion",
                     "trust_quality", "trust_similarity")
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.analyze(_docs(spark, sf, False), fx.lexicon(spark, sf), _predict(spark), A)
+    return jobs.analyze(_docs(spark, sf), fx.lexicon(spark, sf), _predict(spark), A)
 
 
 def q_scored_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,7 +201,7 @@ def q_scored_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_single_review(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.single_reviews(_docs(spark, sf, False), fx.lexicon(spark, sf), _predict(spark), A)
+    return jobs.single_reviews(_docs(spark, sf), fx.lexicon(spark, sf), _predict(spark), A)
 
 
 def q_report_kpis(spark: SparkSession, sf: str) -> DataFrame:
@@ -195,7 +209,21 @@ def q_report_kpis(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_aspect_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.aspect_mentions(scored(spark, sf))
+    """From the predictions alone: counting aspects needs no trust signal."""
+    s = _predict(spark)(_docs(spark, sf))
+    return jobs.aspect_mentions(s.select(aspects_text("aspect_list").alias("aspects")))
+
+
+def q_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The four sections of JOB-2 from one scored batch, as (section, item, value)."""
+    r = jobs.report(scored(spark, sf))
+    long = lambda df, section, pairs: df.select(F.explode(F.array(*[
+        F.struct(F.lit(section).alias("section"), i.alias("item"), v.cast("double").alias("value")) for i, v in pairs])).alias("x")).select("x.*")
+    kpis = long(r.kpis, "kpis", [(F.lit(c), F.col(c)) for c in r.kpis.columns])
+    mentions = long(r.mentions, "mentions", [(F.col("aspect"), F.col("mentions"))])
+    low = long(r.suspicious, "suspicious", [(F.col("doc_id").cast("string"), F.col("trust_score"))])
+    flags = r.detail.groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+    return kpis.unionByName(mentions).unionByName(low).unionByName(long(flags, "detail", [(F.col("flag"), F.col("n"))]))
 
 
 def q_suspicious(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,45 +239,120 @@ def q_health_kpis(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_map_scored(spark: SparkSession, sf: str) -> DataFrame:
-    """The head applied by a caller-supplied pandas function, one model per partition."""
-    from trustlens.operators.linear_head import SCORE_SCHEMA, pandas_scorer
+    """The head applied by a caller-supplied batch scorer; each partition reads the model once."""
+    from trustlens.operators.linear_head import SCORE_SCHEMA, batch_scorer
     from trustlens.operators.models import score_partitions
-    rows = [tuple(r) for r in fx.coefs(spark).collect()]  # the model: a small parameter table
-    make = lambda: pandas_scorer(rows, fx.SENTIMENT_CLASSES, fx.ASPECT_CLASSES, A.score)
+    path = _folder(spark, "coefs")
+    write_parquet(fx.coefs(spark), path)
+    letters = A.score
+    make = lambda: batch_scorer(path, fx.SENTIMENT_CLASSES, fx.ASPECT_CLASSES, letters)
     return score_partitions(_docs(spark, sf), make, SCORE_SCHEMA)
 
 
-def q_eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Head predictions against rating labels and weak aspect tags (polar rows)."""
+def _evaluated(spark, sf, coefs) -> DataFrame:
+    """Figures of one coefficient table against rating labels and weak aspect tags (polar rows)."""
     from trustlens.operators.models import evaluation_table
     c, lem = _lemmas(spark, sf)
-    _, tags = asp.weak_aspect_labels(c, lem, fx.aspect_seeds(spark), fx.ASPECT_CLASSES)
+    _, tags = asp.weak_aspect_labels(c, asp.lemma_counts(lem), fx.aspect_seeds(spark), fx.ASPECT_CLASSES)
     rows = polar(c).select("doc_id", "text", "label")
-    pred = _predict(spark)(rows).join(rows.select("doc_id", "label"), "doc_id").join(tags, "doc_id")
-    pred = pred.withColumn("pred", (F.col("sentiment") == "positive").cast("int"))
-    return evaluation_table(pred, len(fx.ASPECT_CLASSES))
+    pred = linear_head_scores(rows, coefs, fx.SENTIMENT_CLASSES, fx.ASPECT_CLASSES, A.score)
+    pred = pred.join(rows.select("doc_id", "label"), "doc_id").join(tags, "doc_id")
+    return evaluation_table(pred.withColumn("pred", (F.col("sentiment") == "positive").cast("int")), len(fx.ASPECT_CLASSES))
+
+
+def q_eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return _evaluated(spark, sf, fx.coefs(spark))
+
+
+def q_model_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """AG-16 over three coefficient tables: the first with the strictly highest F1 of the positive class."""
+    from trustlens.operators.models import first_best
+    rows = [_evaluated(spark, sf, fx.coefs(spark, v)).select(F.lit(v).alias("candidate"), "f1_positive", "accuracy")
+            for v in range(len(fx.VARIANTS))]
+    return first_best(rows[0].unionByName(rows[1]).unionByName(rows[2]), "candidate", "f1_positive")
 
 
 def q_train_models(spark: SparkSession, sf: str) -> DataFrame:
     """Train candidate models on the corpus, keep the best, save and reload it."""
-    import uuid
+    return _train(spark, sf).metrics
+
+
+def _train(spark, sf):
     from trustlens.plans.training import train
-    from trustlens.session import checkpoint_dir
-    out = f"{checkpoint_dir(spark)}/train-{uuid.uuid4().hex}"
-    _, metrics = train(fx.corpus(spark, sf), None, fx.stopwords(spark), fx.form_lemma(spark),
-                       fx.aspect_seeds(spark), fx.ASPECT_CLASSES, out, fx.LANGUAGE, A)
-    return metrics
+    return train(fx.corpus(spark, sf), _raw_lexicon(spark, sf), fx.stopwords(spark), fx.form_lemma(spark),
+                 fx.aspect_seeds(spark), fx.ASPECT_CLASSES, _folder(spark, "train"), fx.LANGUAGE, A)
+
+
+def q_train_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """What training must keep to, by class: row counts of its parts, and whether the confusion
+    counts add up, the first best candidate is chosen, and the reloaded model predicts the same."""
+    from trustlens.operators.models import first_best, load_model
+    from trustlens.plans.training import predictions
+    t = _train(spark, sf)
+    val = t.rows.filter(F.col("split") == "validation")
+    one, two = (predictions(m, val, fx.ASPECT_CLASSES).select("doc_id", "p_positive", "aspect_pred") for m in (t.model, load_model(t.path)))
+    same = one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+    figures = t.metrics.withColumn("candidate", F.monotonically_increasing_id())
+    best = first_best(figures, "candidate", "f1_positive").select("candidate", F.col("chosen").alias("best"))
+    checks = figures.join(best, "candidate").agg(
+        F.count(F.lit(1)).alias("candidates"), F.bool_and(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn") == F.col("n")).alias("counts_add_up"),
+        F.bool_and(F.col("best") == F.col("chosen")).alias("first_best_chosen"))
+    parts = t.rows.groupBy("label").agg(*[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "validation", "test")])
+    c = checks.first()
+    return parts.select("*", F.lit(c["candidates"]).alias("candidates"), F.lit(c["counts_add_up"]).alias("counts_add_up"),
+                        F.lit(c["first_best_chosen"]).alias("first_best_chosen"), F.lit(same).alias("reloaded_same"))
 
 
 def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Write the scored batch as CSV to the shared folder and read it back."""
-    import uuid
-    from trustlens.session import checkpoint_dir
-    from trustlens.sources.readers import read_scored_csv
-    from trustlens.sources.writers import write_csv
-    path = f"{checkpoint_dir(spark)}/scored-{uuid.uuid4().hex}"
-    write_csv(scored(spark, sf), path)
-    return read_scored_csv(spark, path)
+    path = _folder(spark, "scored")
+    write_csv(scored(spark, sf).withColumn("text", _awkward()), path)
+    return rd.read_scored_csv(spark, path)
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _awkward():
+    """Texts that a CSV file can spoil: outer blanks, quotes, newlines, empty, separators."""
+    t, k = F.col("text"), F.pmod("doc_id", F.lit(8))
+    return (F.when(k == 0, F.concat(F.lit("  "), t)).when(k == 1, F.concat(t, F.lit("  "))).when(k == 2, F.concat(F.lit('"'), t, F.lit('"')))
+            .when(k == 3, F.concat(F.lit("\n"), t, F.lit("\n"))).when(k == 4, F.lit("")).when(k == 5, F.concat(F.lit(",;\t"), t)).otherwise(t))
+
+
+def q_reviews_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-1, CHK-1: reviews with awkward texts, from CSV."""
+    path = _folder(spark, "reviews")
+    write_csv(fx.reviews(spark, sf).select("doc_id", _awkward().alias("text")), path)
+    return rd.read_reviews_csv(spark, path)
+
+
+def q_corpus_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-2: the labelled corpus, from CSV."""
+    path = _folder(spark, "corpus")
+    write_csv(fx.corpus(spark, sf), path)
+    return rd.read_corpus_csv(spark, path)
+
+
+def q_lexicon_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-3, AG-3, SNK-2, SRC-5: a lexicon of two files, the second's rows win; deduplicated, persisted, reloaded."""
+    raw, folder = _raw_lexicon(spark, sf), _folder(spark, "lexicon")
+    for pos in (0, 1):
+        write_csv(raw.filter(F.col("pos") == pos).select("term", "tag", "value"), f"{folder}/{pos}", sep=";")
+    write_parquet(dedup_lexicon(rd.read_lexicon_csv(spark, [f"{folder}/0", f"{folder}/1"])), f"{folder}/table")
+    return rd.read_table(spark, f"{folder}/table")
+
+
+def q_class_order_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-3: the languages, most documents first, as a persisted class order."""
+    n = fx.table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    path = _folder(spark, "classes")
+    write_class_order(spark, [r["lang"] for r in n.orderBy(F.desc("n"), "lang").collect()], path)
+    return spark.createDataFrame(list(enumerate(read_class_order(spark, path))), "class_pos int, class string")
 
 
 QUERIES = {
@@ -285,4 +388,11 @@ QUERIES = {
     "eval_metrics": q_eval_metrics,
     "train_models": q_train_models,
     "csv_roundtrip": q_csv_roundtrip,
+    "report": q_report,
+    "model_selection": q_model_selection,
+    "train_contract": q_train_contract,
+    "reviews_csv_scan": q_reviews_csv_scan,
+    "corpus_csv_scan": q_corpus_csv_scan,
+    "lexicon_roundtrip": q_lexicon_roundtrip,
+    "class_order_roundtrip": q_class_order_roundtrip,
 }

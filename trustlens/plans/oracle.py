@@ -65,9 +65,11 @@ sentl AS (
 SPLIT = f"""en AS (SELECT * FROM sentl WHERE language = '{fx.LANGUAGE}'),
 pol AS (SELECT * FROM en WHERE sentiment IN ('positive', 'negative')),
 spl AS (
-  SELECT *, CASE WHEN bucket < 800 THEN 'train' WHEN bucket < 900 THEN 'validation' ELSE 'test' END AS split
-  FROM (SELECT *, CAST(CAST('0x' || substr(md5('{fv.SPLIT_SEED}:' || CAST(doc_id AS VARCHAR)), 1, 8)
-                        AS UBIGINT) % 1000 AS INTEGER) AS bucket FROM pol))"""
+  SELECT *, CASE WHEN rn <= floor(n * 0.8::DOUBLE + 0.5::DOUBLE) THEN 'train'
+                 WHEN rn <= floor(n * 0.9::DOUBLE + 0.5::DOUBLE) THEN 'validation' ELSE 'test' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY hash, doc_id) AS rn, count(*) OVER (PARTITION BY label) AS n
+        FROM (SELECT *, CAST(CAST('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8) AS UBIGINT) AS BIGINT) AS hash
+              FROM pol)))"""
 
 LEMMAS = f"""{STOP}, {FORMS},
 forms AS (
@@ -159,7 +161,7 @@ uv AS (SELECT doc_id, term, idx, w / nrm AS w FROM wts JOIN nrm USING (doc_id)),
 pairs AS (SELECT a.doc_id AS a, sum(a.w * b.w) AS s FROM uv a JOIN uv b ON a.idx = b.idx AND a.doc_id <> b.doc_id
           GROUP BY a.doc_id, b.doc_id),
 mx AS (SELECT a AS doc_id, max(s) AS max_sim FROM pairs GROUP BY a),
-sim AS (SELECT doc_id, m AS max_sim,
+sim AS (SELECT doc_id, CASE WHEN m > {D(0.85)} THEN m END AS max_sim,
                {rnd(f"CASE WHEN m > {D(0.85)} THEN greatest(0, least(1, 1 - (m - {D(0.85)}) / ({D(1.0)} - {D(0.85)}))) ELSE 1 END", 6)} AS similarity
         FROM (SELECT d.doc_id, {rnd('coalesce(mx.max_sim, 0)', 6)} AS m FROM docs d LEFT JOIN mx USING (doc_id)))"""
 
@@ -168,13 +170,13 @@ def _keys():
     return ([("sentiment", c) for c in fx.SENTIMENT_CLASSES] + [("aspect", c) for c in fx.ASPECT_CLASSES])
 
 
-def _head():
+def _head(coefficients=fx.COEFS):
     keys = _keys()
     kcase = "CASE " + " ".join(f"WHEN head = {q(h)} AND class = {q(c)} THEN {n}" for n, (h, c) in enumerate(keys)) + " END"
-    coefs = values(fx.COEFS, ["head", "class", "term", "coef"])
+    coefs = values(coefficients, ["head", "class", "term", "coef"])
     zs = []
     for n in range(len(keys)):
-        bias = sum(c for h, k, t, c in fx.COEFS if t is None and (h, k) == keys[n])
+        bias = sum(c for h, k, t, c in coefficients if t is None and (h, k) == keys[n])
         zs.append(f"CAST(coalesce(sum(CASE WHEN k = {n} THEN CAST(round(coef * 1000000000) AS BIGINT) END), 0) "
                   f"+ {int(round(bias * 10 ** 9))} AS BIGINT) AS z{n}")
     off = len(fx.SENTIMENT_CLASSES)
@@ -230,7 +232,7 @@ def _ymh():
 def oracle_sql() -> dict[str, str]:
     S = {}
     S["rating_sentiment"] = f"WITH {CORPUS} SELECT doc_id, language, rating, sentiment, label FROM sentl"
-    S["split_assignment"] = f"WITH {CORPUS}, {SPLIT} SELECT doc_id, label, bucket, split FROM spl"
+    S["split_assignment"] = f"WITH {CORPUS}, {SPLIT} SELECT doc_id, label, hash, split FROM spl"
     S["class_counts"] = (f"WITH {CORPUS}, {SPLIT} SELECT label, count(*) AS n, {rnd('1 / count(*)', 9)} AS weight "
                          f"FROM spl WHERE split = 'train' GROUP BY label")
     S["train_weights"] = (f"WITH {CORPUS}, {SPLIT}, tr AS (SELECT * FROM spl WHERE split = 'train'), "
@@ -280,8 +282,8 @@ SELECT count(*) AS total, count(*) FILTER (WHERE sentiment = 'positive') AS posi
        {share("count(*) FILTER (WHERE trust_score < 50)")} AS suspicious_pct,
        {rnd('coalesce(avg(trust_score), 0)', 6)} AS mean_trust
 FROM scored"""
-    S["aspect_mentions"] = f"""WITH {SCORED},
-m AS (SELECT trim(a) AS aspect, count(*) AS mentions FROM (SELECT unnest(string_split(aspects, ',')) AS a FROM scored)
+    S["aspect_mentions"] = f"""WITH {DOCS}, {_head()},
+m AS (SELECT trim(a) AS aspect, count(*) AS mentions FROM (SELECT unnest(string_split(aspects, ',')) AS a FROM head)
       WHERE trim(a) <> '{fv.NO_ASPECTS}' AND trim(a) <> '' GROUP BY trim(a))
 SELECT aspect, mentions, CAST(row_number() OVER (ORDER BY mentions DESC, aspect) AS INTEGER) AS rank FROM m"""
     S["suspicious"] = (f"WITH {SCORED} SELECT doc_id, trust_score, substr(text, 1, 80) AS preview FROM scored "
@@ -303,8 +305,40 @@ c AS (SELECT total, positive, negative, spam, {rnd('pos_share', 6)} AS pos_share
 SELECT *, CASE WHEN health_pct >= 80 THEN 'no_spam' WHEN health_pct >= 50 THEN 'moderate' ELSE 'high_spam' END AS band
 FROM c"""
     S["map_scored"] = S["linear_head_scores"]
-    S["csv_roundtrip"] = S["scored_batch"]
-    S["eval_metrics"] = f"""WITH {CORPUS}, {SPLIT}, {LEMMAS}, docs AS (SELECT doc_id, text FROM pol), {_head()},
+    S["csv_roundtrip"] = f"WITH {SCORED} SELECT * REPLACE ({_awkward()} AS text) FROM scored"
+    S["reviews_csv_scan"] = f"SELECT doc_id, {_awkward()} AS text FROM documents"
+    S["corpus_csv_scan"] = f"WITH {CORPUS} SELECT doc_id, language, text, rating FROM corpus"
+    S["lexicon_roundtrip"] = S["lexicon_dedup"]
+    S["class_order_roundtrip"] = ("SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, lang) - 1 AS INTEGER) AS class_pos, "
+                                  "lang AS class FROM documents GROUP BY lang")
+    S["report"] = f"""WITH {SCORED},
+k AS ({S["report_kpis"].split("WITH " + SCORED)[1]}),
+m AS (SELECT trim(a) AS aspect, count(*) AS mentions FROM (SELECT unnest(string_split(aspects, ',')) AS a FROM scored)
+      WHERE trim(a) <> '—' AND trim(a) <> '' GROUP BY trim(a))
+SELECT 'kpis' AS section, item, CAST(value AS DOUBLE) AS value
+FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM k) ON COLUMNS(*) INTO NAME item VALUE value)
+UNION ALL SELECT 'mentions', aspect, CAST(mentions AS DOUBLE) FROM m
+UNION ALL SELECT 'suspicious', CAST(doc_id AS VARCHAR), trust_score FROM scored WHERE trust_score < 50
+UNION ALL SELECT 'detail', CASE WHEN trust_score < 50 THEN 'suspicious' ELSE 'ok' END, CAST(count(*) AS DOUBLE) FROM scored GROUP BY 2"""
+    S["train_contract"] = f"""WITH {CORPUS}, {SPLIT}
+SELECT label, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'validation') AS n_validation,
+       count(*) FILTER (WHERE split = 'test') AS n_test, 3 AS candidates, true AS counts_add_up, true AS first_best_chosen,
+       true AS reloaded_same
+FROM spl GROUP BY label"""
+    S["model_selection"] = f"""WITH f AS ({" UNION ALL ".join(
+        f"SELECT {v} AS candidate, f1_positive, accuracy FROM ({_evaluated(fx.variant(v))})" for v in range(len(fx.VARIANTS)))})
+SELECT *, candidate = (SELECT min(candidate) FROM f WHERE f1_positive = (SELECT max(f1_positive) FROM f)) AS chosen FROM f"""
+    S["eval_metrics"] = _evaluated(fx.COEFS)
+    return S
+
+
+def _awkward() -> str:
+    return ("CASE doc_id % 8 WHEN 0 THEN '  ' || text WHEN 1 THEN text || '  ' WHEN 2 THEN '\"' || text || '\"' "
+            "WHEN 3 THEN chr(10) || text || chr(10) WHEN 4 THEN '' WHEN 5 THEN ',;' || chr(9) || text ELSE text END")
+
+
+def _evaluated(coefficients) -> str:
+    return f"""WITH {CORPUS}, {SPLIT}, {LEMMAS}, docs AS (SELECT doc_id, text FROM pol), {_head(coefficients)},
 ev AS (SELECT h.doc_id, p.label, CASE WHEN h.sentiment = 'positive' THEN 1 ELSE 0 END AS pred
        FROM head h JOIN pol p USING (doc_id)),
 b AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp,
@@ -324,4 +358,3 @@ SELECT b.n, b.tp, b.fp, b.fn, b.tn,
        CASE WHEN 2 * m.tp + m.fp + m.fn > 0 THEN {rnd('2 * m.tp / (2 * m.tp + m.fp + m.fn)', 9)} ELSE 0 END
          AS aspect_micro_f1
 FROM b, m"""
-    return S

@@ -4,26 +4,38 @@ models, validation, best-model choice, and the persisted artefacts."""
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustlens.functions.text import Alphabets, DEFAULT_ALPHABETS
 from trustlens.operators import models as M
-from trustlens.operators.aspects import weak_aspect_labels
+from trustlens.operators.aspects import lemma_counts, weak_aspect_labels
 from trustlens.operators.corpus import assign_split, polar, with_class_weight, with_sentiment
 from trustlens.operators.lemmas import clean_lemmas
 from trustlens.operators.lexicon import dedup_lexicon
 from trustlens.sources.writers import write_class_order, write_parquet
 
 
+@dataclass
+class Trained:
+    """The chosen model, its folder, the candidates' figures, and the prepared rows."""
+    model: object
+    metrics: DataFrame
+    rows: DataFrame
+    path: str
+
+
 def evaluate(model, rows: DataFrame, classes: list[str]) -> dict:
     """Validation figures of one model on labelled rows (label, aspect_labels)."""
-    pred = M.predict(model, rows, classes).join(rows.select("doc_id", "label", "aspect_labels"), "doc_id")
-    pred = pred.withColumn("pred", (F.col("sentiment") == "positive").cast("int"))
-    b = M.evaluation_table(pred, len(classes)).first()
-    return dict(n=b["n"], f1_positive=b["f1_positive"], f1_negative=b["f1_negative"],
-                accuracy=b["accuracy"], aspect_micro_f1=b["aspect_micro_f1"])
+    return M.evaluation_table(predictions(model, rows, classes), len(classes)).first().asDict()
+
+
+def predictions(model, rows: DataFrame, classes: list[str]) -> DataFrame:
+    """Predictions of one model beside the labels of the rows."""
+    pred = M.predict(model, rows, classes, carry=("label", "aspect_labels"))
+    return pred.withColumn("pred", (F.col("sentiment") == "positive").cast("int"))
 
 
 def prepare(corpus: DataFrame, stopwords: DataFrame, form_lemma: DataFrame, seeds: DataFrame,
@@ -31,7 +43,7 @@ def prepare(corpus: DataFrame, stopwords: DataFrame, form_lemma: DataFrame, seed
     """Polar, labelled, split rows: (doc_id, text, label, aspect_labels, split)."""
     c = with_sentiment(corpus, language)
     lem = clean_lemmas(c, stopwords, form_lemma, alphabets.lemma, carry=("sentiment",))
-    _, tags = weak_aspect_labels(c, lem, seeds, classes)
+    _, tags = weak_aspect_labels(c, lemma_counts(lem), seeds, classes)
     data = polar(c).select("doc_id", "text", "label").join(tags, "doc_id")
     return assign_split(data)
 
@@ -39,11 +51,11 @@ def prepare(corpus: DataFrame, stopwords: DataFrame, form_lemma: DataFrame, seed
 def train(corpus: DataFrame, lexicon_raw: DataFrame | None, stopwords: DataFrame,
           form_lemma: DataFrame, seeds: DataFrame, classes: list[str], out_dir: str,
           language: str | None = None, alphabets: Alphabets = DEFAULT_ALPHABETS,
-          cfg: M.TrainConfig | None = None) -> tuple[object, DataFrame]:
+          cfg: M.TrainConfig | None = None) -> "Trained":
     """Train candidate models, keep the best by validation F1 of the positive class.
 
     Writes ``lexicon`` (deduplicated), ``classes`` (label order) and ``model`` under
-    ``out_dir`` (a shared folder). Returns (best model, metrics table).
+    ``out_dir`` (a shared folder).
     """
     spark = corpus.sparkSession
     cfg = cfg or M.TrainConfig(letters=alphabets.score)
@@ -54,7 +66,7 @@ def train(corpus: DataFrame, lexicon_raw: DataFrame | None, stopwords: DataFrame
     # cut the lineage of the prepared rows: the candidates below all re-read them
     data = data.checkpoint()
     train_rows = with_class_weight(data.filter(F.col("split") == "train")).persist()
-    val_rows = data.filter(F.col("split") == "validation")
+    val_rows = data.filter(F.col("split") == "validation").persist()
     feats = M.featurizer(cfg.letters, cfg.num_features).fit(train_rows)
     ft = M.featurize(feats, train_rows, len(classes)).persist()
     # the choice is made on sentiment F1 only, so the aspect heads are shared
@@ -70,12 +82,12 @@ def train(corpus: DataFrame, lexicon_raw: DataFrame | None, stopwords: DataFrame
     path = os.path.join(out_dir, "model")
     M.save_model(best_model, path)
     reloaded = evaluate(M.load_model(path), val_rows, classes)
-    rows = [(r["reg_param"], r["n"], r["f1_positive"], r["f1_negative"], r["accuracy"],
-             r["aspect_micro_f1"], r["reg_param"] == best_reg,
+    names = ["n", "tp", "fp", "fn", "tn", "f1_positive", "f1_negative", "accuracy", "aspect_micro_f1"]
+    rows = [(r["reg_param"], *(r[c] for c in names), r["reg_param"] == best_reg,
              reloaded["f1_positive"] if r["reg_param"] == best_reg else None) for r in results]
-    metrics = spark.createDataFrame(rows, "reg_param double, n long, f1_positive double, f1_negative double, "
-                                          "accuracy double, aspect_micro_f1 double, chosen boolean, "
-                                          "reloaded_f1_positive double")
+    kinds = ["long"] * 5 + ["double"] * 4
+    metrics = spark.createDataFrame(rows, "reg_param double, " + ", ".join(f"{c} {k}" for c, k in zip(names, kinds))
+                                    + ", chosen boolean, reloaded_f1_positive double")
     ft.unpersist()
     train_rows.unpersist()
-    return best_model, metrics
+    return Trained(best_model, metrics, data, path)

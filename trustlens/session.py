@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -84,20 +87,44 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-_CACHED: list = []
+class Caches:
+    """Intermediate tables persisted by one job, in memory and on disk; ``release`` drops
+    them, and no other job's, once the result that needed them has been written. A lost
+    executor only costs a recomputation from lineage."""
+
+    def __init__(self):
+        self.tables: list = []
+
+    def add(self, df):
+        from pyspark import StorageLevel
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.tables.append(df)
+        return df
+
+    def release(self) -> None:
+        while self.tables:
+            self.tables.pop().unpersist()
+
+
+_CURRENT: ContextVar[Caches] = ContextVar("caches", default=Caches())
 
 
 def cached(df):
-    """Persist an intermediate table (memory, spilling to disk) and remember it, so that
-    ``release`` can drop it once the result that needed it has been written. A lost
-    executor only costs a recomputation from lineage."""
-    from pyspark import StorageLevel
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _CACHED.append(df)
-    return df
+    """Persist ``df`` in the current job's caches."""
+    return _CURRENT.get().add(df)
+
+
+@contextmanager
+def caching() -> Iterator[Caches]:
+    """What is built inside is cached in its own handle, which the caller releases."""
+    own = Caches()
+    token = _CURRENT.set(own)
+    try:
+        yield own
+    finally:
+        _CURRENT.reset(token)
 
 
 def release() -> None:
-    """Unpersist every intermediate table cached through ``cached``."""
-    while _CACHED:
-        _CACHED.pop().unpersist()
+    """Drop the tables cached outside any ``caching`` block."""
+    _CURRENT.get().release()

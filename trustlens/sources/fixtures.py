@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlens import fixed_values as fv
 from trustlens.functions.text import LATIN_ALPHABETS
 from trustlens.operators.lexicon import lexicon_from_labels
-from trustlens.operators.partitioning import by_review
+from trustlens.operators.partitioning import spread
 
 ALPHABETS = LATIN_ALPHABETS
 LANGUAGE = "en"
@@ -53,10 +52,8 @@ COEFS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; ``documents`` comes hash-partitioned by doc_id so that the text
-    work of every consumer runs in parallel whatever the file layout."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return by_review(df) if name == "documents" else df
+    """A driver table as its file is laid out."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,14 +61,19 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``reviews`` for work that is heavy per byte of text: on all cores also from one small file."""
+    return spread(reviews(spark, sf_dir))
+
+
 def rating_expr():
     return (F.when(F.col("quality") == 0, F.lit(1.0))
             .when(F.col("toxic") == 1, F.lit(3.0)).otherwise(F.lit(5.0)))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, language, text, rating) = documents joined with labels."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), "text")
+def corpus(spark: SparkSession, sf_dir: str, dealt=lambda df: df) -> DataFrame:
+    """(doc_id, language, text, rating) = documents joined with labels; ``dealt`` may spread the documents."""
+    d = dealt(table(spark, sf_dir, "documents")).select("doc_id", F.col("lang").alias("language"), "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", rating_expr().alias("rating"))
     return d.join(lab, "doc_id")
 
@@ -95,16 +97,15 @@ def form_lemma(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FORM_LEMMA, "form string, lemma string")
 
 
-def coefs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(COEFS, "head string, class string, term string, coef double")
+#: factors of the positive and the negative class in the candidate heads of ``model_selection``
+VARIANTS = [(1.0, 1.0), (0.5, 2.0), (2.0, 0.5)]
 
 
-def default_stopwords(spark: SparkSession) -> DataFrame:
-    """The original system's stop words as a table."""
-    return spark.createDataFrame([(w,) for w in fv.STOPWORDS], "token string")
+def variant(v: int = 0) -> list[tuple]:
+    """The head's coefficients, those of the sentiment classes times the variant's factors."""
+    factor = dict(zip(("positive", "negative"), VARIANTS[v]))
+    return [(h, c, t, x * factor.get(c, 1.0) if h == "sentiment" else x) for h, c, t, x in COEFS]
 
 
-def default_aspect_seeds(spark: SparkSession) -> DataFrame:
-    """The original system's aspect seeds as a table."""
-    rows = [(i, a, s) for i, (a, seeds) in enumerate(fv.ASPECT_SEEDS.items()) for s in seeds]
-    return spark.createDataFrame(rows, "aspect_pos int, aspect string, seed string")
+def coefs(spark: SparkSession, v: int = 0) -> DataFrame:
+    return spark.createDataFrame(variant(v), "head string, class string, term string, coef double")

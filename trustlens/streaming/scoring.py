@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trustlens.functions.scores import diversity_score, length_score, quality_score
 from trustlens.functions.text import Alphabets, DEFAULT_ALPHABETS
 from trustlens.plans.jobs import Predictor, analyze
-from trustlens.session import release
+from trustlens.session import cached, caching
 
 
 def row_signals(stream: DataFrame, alphabets: Alphabets = DEFAULT_ALPHABETS) -> DataFrame:
@@ -33,11 +33,12 @@ def score_stream(stream: DataFrame, lexicon: DataFrame, predict: Predictor, sink
     """Score every micro-batch of (doc_id, text) rows as a batch and write it as parquet
     under ``sink_path/epoch=<id>``. ``checkpoint_path`` must be a shared folder."""
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        scored = analyze(batch, lexicon, predict, alphabets, with_similarity)
-        scored.write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch_id}")
-        # drop this micro-batch's intermediate tables before the next one
-        release()
+        with caching() as tables:
+            scored = analyze(batch, lexicon, predict, alphabets, with_similarity)
+            scored.write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch_id}")
+        tables.release()  # this micro-batch's own tables, before the next one
 
+    lexicon = cached(lexicon)  # read by every micro-batch
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_path)
     if processing_time:
         w = w.trigger(processingTime=processing_time)
