@@ -121,6 +121,14 @@ def test_query_rules(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
 
 
+def test_query_equals_sql(spark):
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = sorted(con.execute(reputation.oracle_sql()).fetchall())
+    assert sorted(tuple(r) for r in reputation.op9_url_reputation(spark, SF).collect()) == want
+
+
 def test_shrinkage(spark):
     """Bad hosts go with enough evidence, a single bad page is not enough, a bad domain condemns its hosts sooner."""
     urls, bad = [], []

@@ -9,6 +9,7 @@ from trustlens.llm.packing import op10_packing
 from trustlens.llm.pii import op3_pii
 from trustlens.llm.quality_mcd import op5_quality
 from trustlens.llm.reputation import op9_url_reputation
+from trustlens.llm.reputation import oracle_sql as reputation_sql
 from trustlens.llm.tiling import op1_decontaminate
 from trustlens.llm.token_files import op4_token_files
 from trustlens.llm.warc import ORACLE as WARC_ORACLE
@@ -28,4 +29,4 @@ QUERIES = {
 }
 
 #: the other queries' methods are not SQL; their tests hold them against brute force
-ORACLE_SQL: dict[str, str] = {"op8_warc": WARC_ORACLE}
+ORACLE_SQL: dict[str, str] = {"op8_warc": WARC_ORACLE, "op9_url_reputation": reputation_sql()}

@@ -102,5 +102,39 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page's url; a page is bad when its label says low quality or toxic."""
     outcomes = source(spark, sf_dir, "labels", F.col("doc_id").alias("page_id"),
                       F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
-    return (judged_urls(source(spark, sf_dir, "pages", "page_id", "url"), outcomes)
-            .select("page_id", "host", "path", "rule", "verdict", F.round("lower_bound", 6).alias("lower_bound")))
+    return judged_urls(source(spark, sf_dir, "pages", "page_id", "url"), outcomes).drop("lower_bound")
+
+
+def _strength_sql(level: str) -> str:
+    spread = "mu * (1 - mu)"
+    return f"""(SELECT 1 / least(0.5::DOUBLE, greatest(0.001::DOUBLE, coalesce((sum(n * pow(bad / n - mu, 2)) - sum({spread}))
+       / nullif(sum({spread} * (n - 1)), 0), 0.001::DOUBLE))) - 1 AS m FROM {level} WHERE n > 0)"""
+
+
+def oracle_sql() -> str:
+    """The query in DuckDB SQL."""
+    rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in rules]
+    case = lambda values: "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, v in zip(fits, values, strict=True)) + " END"
+    return f"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+named AS (SELECT *, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix FROM parts),
+known AS (SELECT doc_id AS page_id, max(greatest(1 - quality, toxic)) AS bad FROM labels GROUP BY 1),
+hosts AS (SELECT suffix, domain, host, CAST(count(bad) AS DOUBLE) AS n, CAST(sum(coalesce(bad, 0)) AS DOUBLE) AS bad
+          FROM named LEFT JOIN known USING (page_id) GROUP BY 1, 2, 3),
+every AS (SELECT sum(n) AS n, sum(bad) AS bad FROM hosts),
+suf AS (SELECT s.*, (e.bad - s.bad + 0.5::DOUBLE) / (e.n - s.n + 1) AS mu
+        FROM (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1) s, every e),
+dom AS (SELECT d.*, (s.bad - d.bad + k.m * s.mu) / (s.n - d.n + k.m) AS mu
+        FROM (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2) d JOIN suf s USING (suffix), {_strength_sql("suf")} k),
+own AS (SELECT h.*, (d.bad - h.bad + k.m * d.mu) / (d.n - h.n + k.m) AS mu
+        FROM hosts h JOIN dom d USING (suffix, domain), {_strength_sql("dom")} k),
+post AS (SELECT host, n + k.m AS total, (bad + k.m * mu) / (n + k.m) AS rate FROM own, {_strength_sql("own")} k),
+judged AS (SELECT host, CASE WHEN rate - {DEVIATIONS}::DOUBLE * sqrt(rate * (1 - rate) / (total + 1)) > {LIMIT}::DOUBLE
+                             THEN 'block' ELSE 'allow' END AS verdict FROM post)
+SELECT page_id, host, path, {case([h + p for _, h, p in rules])} AS rule,
+       coalesce({case([v for v, *_ in rules])}, verdict) AS verdict
+FROM named JOIN judged USING (host)
+"""
