@@ -21,8 +21,6 @@ word, and go back to the blocks that hold the word.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -357,12 +355,14 @@ def train(docs: DataFrame, tokenizer: str) -> tuple[np.ndarray, Vocabulary]:
 
 # ------------------------------------------------------------------ blocks, word counts, scores
 
-_BLOCKS = ("block string, doc_ids array<long>, held array<boolean>, lens binary, scores binary, words binary, counts binary, places binary")
+_BLOCKS = ("block long, doc_ids array<long>, held array<boolean>, lens binary, scores binary, words binary, counts binary, places binary")
 
 
 def _blocks(tokenizer: str, flat, vocabulary, block_words: int):
     def run(batches):
+        from pyspark import TaskContext
         encoder, scorer = Encoder.of(tokenizer), Scorer(flat.value, vocabulary.value)
+        number = TaskContext.get().partitionId() << 32
         ids, held, lens, scores, words, n = [], [], [], [], [], 0
 
         def block():
@@ -370,9 +370,9 @@ def _blocks(tokenizer: str, flat, vocabulary, block_words: int):
             size = np.concatenate(lens)
             known = np.repeat(~np.array(held, bool), size)
             count = np.bincount(place[known], minlength=len(w)).astype("<u4")
-            row = [uuid.uuid4().hex, ids, held, size.astype("<i8").tobytes(), np.concatenate(scores).astype("<f8").tobytes(),
+            row = [number, ids, held, size.astype("<i8").tobytes(), np.concatenate(scores).astype("<f8").tobytes(),
                    w.tobytes(), count.tobytes(), place.astype("<u4").tobytes()]
-            kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5)
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5)
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)],
                                               names=[c.split()[0] for c in _BLOCKS.split(", ")])
 
@@ -389,6 +389,7 @@ def _blocks(tokenizer: str, flat, vocabulary, block_words: int):
                 n += len(words[-1])
                 if n >= block_words:
                     yield block()
+                    number += 1
                     ids, held, lens, scores, words, n = [], [], [], [], [], 0
         if ids:
             yield block()
@@ -403,8 +404,8 @@ def _block_words(batches):
             n = np.frombuffer(batch.column("counts")[i].as_buffer(), "<u4").astype(np.int64)
             for a in range(0, len(w), 100_000):
                 part = len(w[a:a + 100_000])
-                block = pa.DictionaryArray.from_arrays(pa.array(np.zeros(part, np.int8)), batch.column("block").slice(i, 1)).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([block, pa.array(np.arange(a, a + part, dtype=np.int32)), pa.array(w[a:a + part]),
+                block = np.full(part, batch.column("block")[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.arange(a, a + part, dtype=np.int32)), pa.array(w[a:a + part]),
                                                   pa.array(n[a:a + part])], names=["block", "place", "word", "n"])
 
 
@@ -446,7 +447,7 @@ def score_documents(docs: DataFrame, tokenizer: str, block_words: int = BLOCK_WO
     flat, vocabulary = train(rows.filter("not held_out").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("draw")), tokenizer)
     send = spark.sparkContext.broadcast
     blocks = written(rows.mapInArrow(_blocks(tokenizer, send(flat), send(vocabulary), block_words), _BLOCKS), "blocks")
-    own = blocks.select("block", "words", "counts").mapInArrow(_block_words, "block string, place int, word long, n long")
+    own = blocks.select("block", "words", "counts").mapInArrow(_block_words, "block long, place int, word long, n long")
     counts = written(own.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), "counts")
     n = counts.agg(F.sum("c").alias("total"), F.count("c").alias("distinct")).first()
     back = own.select("block", "place", "word").join(counts, "word").select("block", "place", F.col("c").cast("long"))

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlens.llm.common import FILTER_BITS, ready, source, written
-from trustlens.llm.words import mix, row_slices, shingles, spans, text_buffer, word_hashes
+from trustlens.llm.common import hash_filter, hashes_in, ready, source, written
+from trustlens.llm.words import row_slices, shingles, spans, text_buffer, word_hashes
 
 SEED = 5
 #: share of an item's words that must be tiled
@@ -127,34 +127,6 @@ def _item_rows(size: int):
     return run
 
 
-def _bit_places(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(seeds)
-    low = np.uint64(FILTER_BITS - 1)
-    return (x & low).astype(np.int64), ((x >> np.uint64(32)) & low).astype(np.int64)
-
-
-def _tested(table: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Places of the seeds that may be in the filter."""
-    hit = lambda at: ((table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-    first, second = _bit_places(seeds)
-    got = np.flatnonzero(hit(first))
-    return got[hit(second[got])]
-
-
-def _filter_of(items: DataFrame) -> np.ndarray:
-    """A fixed-size bit filter over all seeds, or-ed together on the executors."""
-    def places(batches):
-        for batch in batches:
-            seeds = batch.column("seeds").flatten().to_numpy().view(np.uint64)
-            at = np.unique(np.concatenate(_bit_places(seeds)))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))],
-                                             names=["word", "bit"])
-    rows = items.select("seeds").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return out
-
-
 _HITS = "row long, doc_id long, words binary, seeds array<long>"
 
 
@@ -166,7 +138,7 @@ def _hit_rows(size: int, bits):
             ids, out = batch.column("doc_id"), []
             for a, _, bounds, h in _tokens(batch.column("text")):
                 keys = shingles(h, size)
-                got = _tested(table, keys)
+                got = hashes_in(table, keys)
                 doc = np.searchsorted(bounds, got, "right") - 1
                 inside = got + size <= bounds[doc + 1]  # a seed ends in the text it begins in
                 got, doc = got[inside], doc[inside]
@@ -221,7 +193,7 @@ def tiled_pairs(docs: DataFrame, benchmark: DataFrame, seed: int = SEED) -> Data
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     items = written(items.mapInArrow(_item_rows(seed), _ITEMS), "items").filter(F.col("n_words") >= seed)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bits = spark.sparkContext.broadcast(_filter_of(items))
+    bits = spark.sparkContext.broadcast(hash_filter(items, "seeds"))
     hits = written(texts.mapInArrow(_hit_rows(seed, bits), _HITS), "hits")
     items = items.withColumn("item_row", F.xxhash64("item_id", "words"))
     pairs = (hits.select("row", F.explode("seeds").alias("seed"))

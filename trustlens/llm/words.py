@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text that one vectorised step looks at (one longer text is a step of its own)
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: bytes of one word block inside a step
 _HASH_BLOCK = 1 << 18
 _POSITIONS = 64
