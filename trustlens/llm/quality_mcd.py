@@ -161,7 +161,8 @@ def with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """Reweighted minimum-covariance-determinant estimates by ``g``."""
     p, share = len(NAMES), consistency(SUBSET)
-    half = rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(NAMES)])
+    # a row per group, written: joins with it then have no hot side to share a partitioning with
+    half = written(rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(NAMES)]), "estimate")
     spread = rows.join(half, "g").groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[
         F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, x in enumerate(NAMES)])
     start = half.join(spread, "g")
@@ -170,7 +171,7 @@ def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         for i in range(p) for j in range(i + 1)]), "estimate")
     for _ in range(steps):
         near = with_distance(rows, now)
-        cut = near.groupBy("g").agg(F.percentile_approx("distance2", SUBSET).alias("cut"))
+        cut = written(near.groupBy("g").agg(F.percentile_approx("distance2", SUBSET).alias("cut")), "estimate")
         now = written(_factored(_moments(near.join(cut, "g").filter("distance2 <= cut")), share), "estimate")
     kept = with_distance(rows, now).filter(F.col("distance2") <= 11.143)  # chi-squared, 4 degrees, 0.975
     return written(_factored(_moments(kept), consistency(0.975)), "estimate")
