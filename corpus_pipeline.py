@@ -7,10 +7,12 @@ folder and reads them again for the next.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlens.llm.common import source, written
+from trustlens.llm.common import discard, made, source, written
 from trustlens.llm.ngram_jaccard import ngram_components
 from trustlens.llm.packing import pack_documents
 from trustlens.llm.pii import redacted
@@ -19,17 +21,35 @@ from trustlens.llm.subwords import default_path
 from trustlens.llm.tiling import contaminated
 
 
+_left: list[str] = []
+
+
+def _stage(function):
+    """A stage. Its scratch tables are deleted when the next one is called, for by then its rows
+    have been written."""
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _left)
+        begun = len(made())
+        out = function(spark, docs, sf_dir)
+        _left[:] = made()[begun:]
+        return out
+    return run_stage
+
+
 def _key():
     """What tells rows apart: doc_id and text (nulls differ from all values)."""
     return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     rows = docs.select(F.struct(*docs.columns).alias("doc"), "text", "lang", "source")
     return judged(rows, "doc").filter("kept").select("doc.*")
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates; of repeated rows one. Documents without
     words are duplicates of nothing."""
@@ -43,6 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return once.unionByName(rows.filter("rows > 1").groupBy("k").agg(F.first("doc").alias("doc")).select("doc")).select("doc.*")
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     pairs = contaminated(docs.select(_key().alias("doc_id"), "text"), source(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -51,11 +72,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(held, "k", "left_anti").select("doc.*")
 
 
+@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data in their texts replaced by its kind."""
     return redacted(docs)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of token ids."""
     return pack_documents(docs.select("doc_id", "text", "source"), default_path())
@@ -70,7 +93,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, before)
+        before = made()[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
