@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from helpers import SF, no_docs, odd_docs, shingle_set, texts
 
 from trustlens.llm import ngram_jaccard as j
@@ -63,18 +64,15 @@ def test_near_copies_of_all_sizes(spark):
                 if rng.random() < 0.5:
                     w = w[:len(w) - rng.randrange(1 + len(w) // 8)]
                 docs.append((len(docs), " ".join(w)))
+    w = [f"v{i}" for i in range(60)]  # and a chain: each is near the next only
+    docs += [(len(docs) + i, " ".join(w[i:] + [f"n{k}" for k in range(i)])) for i in range(30)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert rows(j.ngram_components(df)) == sorted(brute(docs), key=repr)
 
 
-def test_a_chain_of_near_copies(spark):
-    w = [f"v{i}" for i in range(60)]
-    docs = [(i, " ".join(w[i:] + [f"n{k}" for k in range(i)])) for i in range(30)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert rows(j.ngram_components(df)) == sorted(brute(docs), key=repr)
-
-
-def test_similar_sets_share_a_signature():
+@pytest.mark.parametrize("frequent", [10**9, 7, 2, 1])
+def test_similar_sets_share_a_signature(frequent):
+    """Whatever shingles count as frequent."""
     rng = np.random.default_rng(5)
     for size in [4, 5, 6, 8, 9, 11, 13, 17, 21, 30, 55, 120, 500, 3000]:
         for _ in range(30):
@@ -84,7 +82,7 @@ def test_similar_sets_share_a_signature():
             x, y = (np.unique(np.concatenate([common, o])) for o in own)
             if 100 * size < 80 * (len(x) + len(y) - size) or len(x) == len(y) == size:
                 continue
-            sigs = [set(np.concatenate([np.concatenate(g) for i in (b, b + 1) if (g := j.signatures(s, j.mix(s), i, 80, 100))] or [[0]]).tolist())
+            sigs = [set(np.concatenate([np.concatenate(g) for i in (b, b + 1) if (g := j.signatures(j.Parts(s, s[s % np.uint64(frequent) > 0]), i, 80, 100))] or [[0]]).tolist())
                     for s in (x, y) for b in [j.band_of(len(s))]]
             assert sigs[0] & sigs[1]
 
@@ -93,3 +91,24 @@ def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (4, 4), (7, 6), (3, 7), (None, 9), (1, 2)], "a long, b long")
     assert {r.node: r.root for r in components(e, "a", "b").collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 6: 1, 4: 4, 5: 4}
     assert components(e.limit(0), "a", "b").count() == 0
+
+
+@pytest.mark.parametrize("block", [4000, 40])
+def test_a_common_passage_and_a_large_group_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(j, "BLOCK", block)
+    monkeypatch.setattr(j, "STARS", 2 if block == 40 else 1)
+    rng = random.Random(9)
+    new = lambda n: [f"{rng.randrange(10**7)}" for _ in range(n)]
+    passage, first, docs = new(60), new(120), []
+    for i in range(1200):
+        if i % 3 == 0:
+            docs.append((i, " ".join(new(rng.randrange(5, 120)) + passage + new(rng.randrange(5, 60)))))
+        elif i % 3 == 1:
+            w = list(first)
+            for _ in range(rng.randrange(9)):
+                w[rng.randrange(len(w))] = new(1)[0]
+            docs.append((i, " ".join(w)))
+        else:
+            docs.append((i, " ".join(passage + new(rng.randrange(0, 12)))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(j.ngram_components(df)) == sorted(brute(docs), key=repr)

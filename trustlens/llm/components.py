@@ -15,6 +15,11 @@ def _with_min(e: DataFrame) -> DataFrame:
     return e.join(least, "u")
 
 
+def _state(e: DataFrame):
+    """Number and hash of the edges: equal when a step has changed nothing."""
+    return e.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, root) for every node with an edge; root is the component's least node.
 
@@ -23,8 +28,9 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """
     e = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
          .filter("u is not null and v is not null and u > v").distinct())
-    e, seen = written(e, "edges"), None
-    for _ in range(rounds):
+    e = written(e, "edges")
+    seen = _state(e)
+    for _ in range(rounds if seen[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_min(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u > v").distinct()
@@ -32,11 +38,11 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         small = (large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         e = written(small, "edges")
-        now = e.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        seen, before = _state(e), seen
+        if seen == before:
             break
-        seen = now
     else:
-        raise RuntimeError("components did not settle")
+        if seen[0]:
+            raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -11,15 +11,21 @@ similarity reaches the threshold; the result is each document's component under
    principle some part differs in at most ``k2`` shingles, so for some choice of ``n2 - k2`` of
    its sub-parts both sets hold the same shingles there: one signature in common. ``(n1, n2,
    k2)`` is picked per instance: fewest signatures with enough shingles behind each.
-4. A choice of empty sub-parts says nothing and would gather all sets, so it gives no signature.
+4. Shingles that many documents share (a license, a common passage) take no part in signatures at
+   first: without them the distance of two sets is no larger, so the principle holds, and sets with
+   nothing else in common no longer meet. Which shingles these are is estimated on a share of the
+   documents; that decides cost only, never a result.
+5. A choice of empty sub-parts says nothing and would gather all sets, so it gives no signature.
    ``n1`` has room for ``z`` parts lost that way. Two sets can miss each other only if both
-   lose more; such sets meet again under another hash, and in the last round empty choices
-   give signatures too. No similar pair is lost.
-5. Sets with a common signature are candidates. First each is held against one of its groups' least
-   sets (a star, linear in the group's size), then against the other groups' where components are
-   still apart; in the end, only pairs of a group's sets in different components are left.
-   Sizes and histograms, which bound the distance from below, rule pairs out without an error;
-   the others are verified on the whole sets.
+   lose more; such sets meet again under another hash, then with all their shingles, and in the
+   last round empty choices give signatures too. No similar pair is lost.
+6. Sets with a common signature are candidates. First each group's sets are held against one of them
+   (stars, linear in the group's size), then, in a share of the groups, against their nearest by
+   histogram, unless they are in one component already; in the end, only pairs of a group's sets in different components are left,
+   and only those that the bounds below let through leave a task.
+   Sizes, the number of shingles that no other candidate has, and histograms bound the common
+   shingles from above, and rule sets and pairs out without an error; the others are verified on
+   the whole sets.
 """
 
 from __future__ import annotations
@@ -33,15 +39,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlens.llm.common import filter_positions, membership_filter, ready, source, test_bits, written
+from trustlens.llm.common import discard, filter_positions, hash_filter, hashes_in, made, membership_filter, ready, source, test_bits, written
 from trustlens.llm.components import components
 from trustlens.llm.words import hashed_rows, mix, shingles
 
 SHINGLE = 5
 #: the threshold as a fraction: 100 * intersection >= 80 * union
 THRESHOLD = (80, 100)
-#: hash rounds for sets with many empty parts
-ROUNDS = 3
+#: hash rounds for sets with many empty parts, and how many of them leave frequent shingles out
+ROUNDS, RARE_ROUNDS = 5, 2
+#: one in so many documents is looked through for frequent shingles; so many of them must hold one
+SAMPLE, FREQUENT = 16, 3
+#: rounds in which a group's sets are held against one of them, another each time
+STARS = 1
+#: then each set is held against its nearest candidate in one in so many groups
+NEAREST = 8
+#: sets of a group that are held against one another in one piece
+BLOCK = 4000
 #: shingles expected behind a signature of an instance's smallest sets
 LEAST_FEATURES = 2.5
 #: signatures in one Arrow batch
@@ -124,15 +138,30 @@ def plan(instance: int, num: int = THRESHOLD[0], den: int = THRESHOLD[1]) -> tup
     return min(options)[1]
 
 
-def signatures(elements: np.ndarray, own: np.ndarray, instance: int, num: int, den: int) -> list[np.ndarray]:
-    """The signatures of one set in one instance. own: the elements' hashes that are summed."""
-    parts = plan(instance, num, den)
-    if parts is None:
+class Parts:
+    """A set's elements and their places in [0, 2**32), round by round; worked out once for all instances."""
+
+    def __init__(self, whole: np.ndarray, rare: np.ndarray):
+        self.whole, self.rare, self.rounds = whole, rare, []
+
+    def round(self, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.rounds) <= turn:
+            n = len(self.rounds)
+            elements = self.rare if n < RARE_ROUNDS else self.whole
+            # elements are hashes themselves; sums of them are mixed once more
+            self.rounds.append((elements, mix(elements + np.uint64((n + 1) * 0x1000193)) >> np.uint64(32)))
+        return self.rounds[turn]
+
+
+def signatures(parts: Parts, instance: int, num: int, den: int) -> list[np.ndarray]:
+    """The signatures of one set in one instance."""
+    found = plan(instance, num, den)
+    if found is None:
         return []
-    n1, n2, k2, z = parts
+    n1, n2, k2, z = found
     out = []
     for turn in range(ROUNDS):
-        place = mix(elements + np.uint64((turn + 1) * 0x1000193)) >> np.uint64(32)
+        own, place = parts.round(turn)
         place = ((place * np.uint64(n1 * n2)) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(n1 * n2, np.uint64)
         np.add.at(sums, place, own)
@@ -163,7 +192,17 @@ def _sizes(size: int):
     return run
 
 
-def _signed(size: int, num: int, den: int):
+def _counted(size: int):
+    """(element, n): in how many sets of a batch."""
+    def run(batches):
+        for batch in batches:
+            sets = [s for _, s in document_sets(batch.column("text"), size)]
+            e, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(n)], names=["element", "n"])
+    return run
+
+
+def _signed(size: int, num: int, den: int, frequent):
     def run(batches):
         seen: set[int] = set()  # equal sets of one task are signed once
         sig, ids, held = [], [], 0
@@ -175,9 +214,9 @@ def _signed(size: int, num: int, den: int):
                 if own is None or own in seen:
                     continue
                 seen.add(own)
-                summed, at = mix(s ^ np.uint64(0x2545F4914F6CDD1D)), band_of(len(s), num, den)
+                parts, at = Parts(s, np.delete(s, hashes_in(frequent.value, s))), band_of(len(s), num, den)
                 for instance in (at, at + 1):
-                    got = signatures(s, summed, instance, num, den)
+                    got = signatures(parts, instance, num, den)
                     sig += got
                     made = sum(map(len, got))
                     ids.append(np.full(made, own, np.int64))
@@ -213,6 +252,16 @@ def _sets(size: int, bits):
     return run
 
 
+def _elements(batches):
+    """(element, set_id) of whole sets."""
+    for batch in batches:
+        blobs, ids = batch.column("elements"), batch.column("set_id").to_numpy()
+        for a in range(0, len(ids), 200):
+            sets = [np.frombuffer(b.as_buffer(), np.int64) for b in blobs[a:a + 200]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(ids[a:a + 200], [len(s) for s in sets]))],
+                                             names=["element", "set_id"])
+
+
 def histogram(elements: np.ndarray) -> np.ndarray:
     """Counts of a set's elements by hash, in one to two buckets an element (at most 255 each)."""
     buckets = 1 << max(0, len(elements).bit_length() - 1)
@@ -230,9 +279,9 @@ def at_least_apart(x: np.ndarray, y: np.ndarray) -> int:
 # ------------------------------------------------------------------ groups and candidates
 
 def _shared(batches):
-    """Rows sorted by (sig, set_id) -> (sig, leader, member) of signatures with two sets or more;
-    the leader is the group's first. No group is held in memory."""
-    last_sig = last_set = leader = None
+    """Rows sorted by sig -> (sig, leader, member) of signatures with two sets or more; the leader is
+    the group's first. No group is held in memory; a set may come several times."""
+    last_sig = leader = None
     for batch in batches:
         sig, own = batch.column("sig").to_numpy(), batch.column("set_id").to_numpy()
         n = len(sig)
@@ -242,19 +291,15 @@ def _shared(batches):
         new[1:] = sig[1:] != sig[:-1]
         if last_sig is not None:
             new[0] = sig[0] != last_sig
-        fresh = np.ones(n, bool)
-        fresh[1:] = own[1:] != own[:-1]
-        if last_set is not None:
-            fresh[0] = own[0] != last_set
         first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
         lead = own[np.maximum(first, 0)]
         if leader is not None:
             lead = np.where(first < 0, leader, lead)
-        keep = ~new & fresh
+        keep = own != lead
         if keep.any():
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(lead[keep]), pa.array(own[keep])],
                                              names=["sig", "leader", "member"])
-        last_sig, last_set, leader = sig[-1], own[-1], lead[-1]
+        last_sig, leader = sig[-1], lead[-1]
 
 
 def _near(num: int, den: int):
@@ -270,6 +315,55 @@ def _near(num: int, den: int):
     return run
 
 
+def _left_pairs(num: int, den: int, nearest: bool = False):
+    """Rows sorted by (sig, i, j) -> pairs of a group's sets in different components that neither sizes,
+    nor shingles of their own, nor histograms rule out; ``nearest``: of each set's pairs with later ones
+    that of the nearest histogram. A group is at most two blocks."""
+    def pairs(rows: list) -> list[tuple[int, int]]:
+        ids, root, n, common = (np.array([r[c] for r in rows], np.int64) for c in range(4))
+        sets = [np.frombuffer(r[4], np.uint8) for r in rows]
+        width = min(map(len, sets))
+        counts = np.stack([np.minimum(s.reshape(-1, width).sum(0, dtype=np.int64), 255) for s in sets]).astype(np.int16)
+        block = np.array([r[5] for r in rows])
+        out = []
+        for x in range(len(rows) - 1):
+            y = np.arange(x + 1, len(rows))
+            y = y[(root[y] != root[x]) & (ids[y] != ids[x])]
+            if rows[x][6] != rows[x][7]:  # two blocks: pairs across them only
+                y = y[block[y] != block[x]]
+            total = n[x] + n[y]
+            y, total = (v[(num + den) * np.minimum(common[x], common[y]) >= num * total] for v in (y, total))
+            apart = np.abs(counts[y] - counts[x]).sum(1)
+            fits = (den + num) * apart <= (den - num) * total
+            if nearest and fits.any():
+                fits = np.arange(len(y)) == np.where(fits, apart, apart.max() + 1).argmin()
+            for z in y[fits].tolist():
+                out.append((min(ids[x], ids[z]), max(ids[x], ids[z])))
+        return out
+
+    def run(batches):
+        key, rows, found = None, [], []
+        names = ("set_id", "root", "n", "common", "counts", "block", "i", "j")
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in names]
+            for k, *row in zip(batch.column("sig").to_pylist(), *cols, strict=True):
+                own = k, row[6], row[7]
+                if own != key:
+                    if len(rows) > 1:
+                        found += pairs(rows)
+                    key, rows = own, []
+                rows.append(row)
+            if len(found) > OUT_ROWS:
+                yield out()
+                found = []
+        if len(rows) > 1:
+            found += pairs(rows)
+        if found:
+            yield out()
+    return run
+
+
 def _verified(num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -283,6 +377,12 @@ def _verified(num: int, den: int):
     return run
 
 
+def _possible(num: int, den: int):
+    """Whether sets of sizes na and nb, of which ca and cb shingles are in other sets too, may reach the
+    threshold: they have at most min(ca, cb) in common, and need num / (num + den) of na + nb."""
+    return F.lit(num + den) * F.least("ca", "cb") >= F.lit(num) * (F.col("na") + F.col("nb"))
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return (pairs.join(sets.select(F.col("set_id").alias("a"), F.col(column).alias("left_set")), "a")
             .join(sets.select(F.col("set_id").alias("b"), F.col(column).alias("right_set")), "b"))
@@ -291,20 +391,37 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """Of the pairs (a, b) of set ids, those whose sets reach the threshold: sizes are compared first,
     then histograms, then whole sets."""
-    left = sizes.select(F.col("set_id").alias("a"), F.col("n").alias("na"))
-    right = sizes.select(F.col("set_id").alias("b"), F.col("n").alias("nb"))
-    pairs = (pairs.join(left, "a").join(right, "b")
-             .filter(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
+    of = lambda c: sizes.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("common").alias(f"c{c}"))
+    pairs = (pairs.join(of("a"), "a").join(of("b"), "b").filter(_possible(num, den))
              .select("a", "b", (F.col("na") + F.col("nb")).alias("total")))
     near = _with_sets(pairs, sets, "counts").mapInArrow(_near(num, den), "a long, b long")
     return _with_sets(near, sets, "elements").mapInArrow(_verified(num, den), "a long, b long")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) in different components."""
+def _blocked(members: DataFrame) -> DataFrame:
+    """The groups' rows with ``block``, ``i`` and ``j``: a group of more than BLOCK sets is cut into blocks, and a
+    row goes to each pair of blocks that holds its own."""
+    large = (members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"))
+    rows = members.join(large, "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    one = rows.filter("blocks = 1").withColumn("other", F.lit(0))
+    more = rows.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return (one.unionByName(more).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+            .drop("blocks", "other"))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more links (a, b) of nodes: only components that links join are worked on."""
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    return (pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-            .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    up = components(links.join(of("a"), "a").join(of("b"), "b"), "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return written(roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The groups (sig, set_id, n, common) with ``root``, but for those in one component."""
+    rooted = members.join(roots.withColumnRenamed("node", "set_id"), "set_id")
+    mixed = rooted.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("sig")
+    return rooted.join(mixed, "sig", "left_semi")
 
 
 def ngram_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -316,15 +433,20 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int,
     """
     spark = ready(docs.sparkSession)
     num, den = threshold
+    begun = len(made())
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     named = written(texts.mapInArrow(_sizes(size), "doc_id long, n_shingles long, set_id long"), "sets")
     classes = (named.filter("set_id is not null").groupBy("set_id")
                .agg(F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n")))
 
-    signed = texts.select("text").mapInArrow(_signed(size, num, den), "sig long, set_id long")
-    groups = written(signed.repartition("sig").sortWithinPartitions("sig", "set_id")
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    often = (sample.mapInArrow(_counted(size), "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
+             .filter(F.col("n") >= FREQUENT).select(F.array("element").alias("elements")))
+    frequent = spark.sparkContext.broadcast(hash_filter(often, "elements"))
+    signed = texts.select("text").mapInArrow(_signed(size, num, den, frequent), "sig long, set_id long")
+    groups = written(signed.repartition("sig").sortWithinPartitions("sig")
                      .mapInArrow(_shared, "sig long, leader long, member long"), "groups")
-    stars = written(groups.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), "stars")
+    discard(spark, [])  # the signatures' shuffle
     met = written(groups.select(F.col("leader").alias("set_id")).union(groups.select("member")).distinct()
                   .join(classes, "set_id"), "met")
 
@@ -333,34 +455,59 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int,
                    .mapInArrow(_sets(size, bits), "set_id long, counts binary, elements binary")
                    .join(met.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "elements")
 
-    # first one leader for each set, then the other leaders in components still apart
-    best = stars.groupBy(F.col("b")).agg(F.min("a").alias("a")).select("a", "b")
-    linked = written(_links(best, sets, met, num, den), "links")
-    roots = written(components(linked, "a", "b"), "roots")
-    others = _apart(stars.join(best, ["a", "b"], "left_anti"), roots)
-    linked = linked.unionByName(written(_links(others, sets, met, num, den), "links"))
-    roots = written(components(linked, "a", "b"), "roots")
-
-    # what is left: pairs of a group's sets in different components, but for the leader's own
-    members = (groups.select("sig", F.col("member").alias("set_id"))
-               .unionByName(groups.select("sig", F.col("leader").alias("set_id")).distinct())
-               .join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-               .select("sig", "set_id", F.coalesce("root", "set_id").alias("root")))
-    mixed = (members.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("root").alias("sets"))
-             .filter("r0 <> r1 and sets > 2").select("sig"))
-    open_ = written(members.join(mixed, "sig", "left_semi").join(met.select("set_id", "n"), "set_id"), "open")
-    a = open_.select("sig", F.col("set_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    b = open_.select("sig", F.col("set_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    rest = (a.join(b, "sig").filter("a < b and ra <> rb")
-            .filter(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb"))
-            .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    more = written(_links(rest, sets, met, num, den), "links")
-    roots = written(components(linked.unionByName(more), "a", "b"), "roots")
+    discard(spark, [])
+    # shingles that no other candidate has; sets with too many of them have no links
+    alone = (sets.select("set_id", "elements").mapInArrow(_elements, "element long, set_id long")
+             .groupBy("element").agg(F.count(F.lit(1)).alias("sets"), F.min("set_id").alias("set_id"))
+             .filter("sets = 1").groupBy("set_id").agg(F.count(F.lit(1)).alias("alone")))
+    met = written(met.join(alone, "set_id", "left").select("set_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+                  .filter(F.lit(den) * F.col("common") >= F.lit(num) * F.col("n")), "met")
+
+    members = written(groups.select("sig", F.col("member").alias("set_id")).unionByName(groups.select("sig", F.col("leader").alias("set_id")))
+                      .distinct().join(met, "set_id"), "members")
+
+    # stars: of every group's sets those not yet in the leader's component, and in the first round only
+    # one leader for each set
+    tested, roots = None, met.select(F.col("set_id").alias("node"), F.col("set_id").alias("root"))
+    for turn in range(STARS):
+        open_ = _open(members, roots)
+        lead = open_.groupBy("sig").agg(F.min_by(F.struct("set_id", "root", "n", "common"), F.xxhash64("set_id", F.lit(turn))).alias("l"))
+        pairs = (open_.join(lead, "sig").filter(F.col("root") != F.col("l.root"))
+                 .select(F.least("set_id", "l.set_id").alias("a"), F.greatest("set_id", "l.set_id").alias("b"), F.col("set_id").alias("m"),
+                         F.col("n").alias("na"), F.col("l.n").alias("nb"), F.col("common").alias("ca"), F.col("l.common").alias("cb"))
+                 .filter(_possible(num, den)))
+        if turn == 0:
+            pairs = pairs.groupBy("m").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+        pairs = pairs.select("a", "b").distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "stars")
+        if not pairs.take(1):
+            break
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        roots = _merged(roots, written(_links(pairs, sets, met, num, den), "links"))
+
+    def left(members: DataFrame, nearest: bool) -> DataFrame:
+        rows = _blocked(members).join(sets.select("set_id", "counts"), "set_id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        pairs = rows.mapInArrow(_left_pairs(num, den, nearest), "a long, b long").distinct()
+        return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+
+    some = _open(members.filter(F.pmod("sig", F.lit(NEAREST)) == 0), roots)
+    pairs = written(left(some, True), "nearest")
+    tested = pairs if tested is None else tested.unionByName(pairs)
+    roots = _merged(roots, written(_links(pairs, sets, met, num, den), "links"))
+
+    # what is left: pairs of a group's sets in different components; of groups of the same sets one
+    open_ = written(_open(members, roots), "open")
+    alike = (open_.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("sum"))
+             .groupBy("sets", "sum").agg(F.min("sig").alias("sig")).select("sig"))
+    if open_.take(1):
+        rest = left(open_.join(alike, "sig", "left_semi"), False)
+        roots = _merged(roots, written(_links(rest, sets, met, num, den), "links"))
 
     final = (classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
              .select("set_id", "first_doc", F.coalesce("root", "set_id").alias("root")))
     least = final.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    ids = final.join(least, "root").select("set_id", "component_id")
+    ids = written(final.join(least, "root").select("set_id", "component_id"), "ids")
+    discard(spark, made()[begun + 1:-1])  # all but ``named`` and ``ids``
     return (named.join(ids, "set_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_id"))
 
