@@ -46,6 +46,31 @@ def test_better_than_unigrams_on_held_out_text(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_every_training_document_reaches_the_model(spark):
+    """Enough documents that a share of them would do, none of them drawn by an even number."""
+    docs = [(f"word{i % 50} has number {i}", (i << 10) | 1) for i in range(4200)]
+    flat, vocabulary = lm.train(spark.createDataFrame(docs, "text string, draw long").repartition(3), default_path())
+    encoder = lm.Encoder.of(default_path())
+    counts = np.zeros(encoder.size, np.int64)
+    for _, _, ids, _ in encoder.documents(lm.pa.array([t for t, _ in docs])):
+        counts += np.bincount(ids, minlength=encoder.size)
+    want = lm.Vocabulary(counts)
+    assert (vocabulary.rank == want.rank).all() and np.allclose(vocabulary.mass, want.mass)
+    assert (flat != lm.initial(want)).any()
+
+
+def test_a_trainer_goes_through_all_of_its_text(monkeypatch):
+    monkeypatch.setattr(lm, "TRAINER_BYTES", 4000)
+    texts = [f"text {i} " * (i % 40) for i in range(200)]
+    encoder, value = lm.Encoder.of(default_path()), lambda v: type("Sent", (), {"value": v})
+    tokens = sum(len(ids) for _, _, ids, _ in encoder.documents(lm.pa.array(texts)))
+    vocabulary = lm.Vocabulary(np.ones(encoder.size, np.int64))
+    batches = lm.pa.table({"text": texts}).to_batches(max_chunksize=9)
+    assert len(list(lm._text_pieces(encoder, batches, vocabulary))) > 3
+    out, = lm._trained(default_path(), value(lm.initial(vocabulary)), value(vocabulary), 20_000.0)(iter(batches))
+    assert out["w"].to_pylist() == [tokens] * lm.PARAMETERS
+
+
 def setup():
     rng = np.random.default_rng(2)
     vocabulary = lm.Vocabulary(rng.integers(0, 1000, 5000))

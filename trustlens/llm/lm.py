@@ -5,11 +5,12 @@ plus a learned position; one causal attention layer with a residual; a softmax i
 in order of frequency fall into classes of about equal mass, an output picks the class and one of
 the class's own the id. Ids beyond the ranked ones are a class that their add-one frequencies divide.
 
-Training. A fixed share of the training documents (so its size follows the corpus) is dealt to
-trainers of about ``TRAINER_BYTES`` of text. Each starts from the same parameters and runs Adam
-over its own windows; parameters are then averaged, weighted by tokens, as a grouped sum per
-parameter; the next round starts from the average. Parameters and id counts have a fixed size, so
-only they meet the driver.
+Training. Id counts and parameters learn from every training document. A trainer is a partition of the
+scan (at least ``TRAINER_BYTES`` of text, so their number follows the corpus). Each starts from the same
+parameters and runs Adam over all windows of its documents, a piece of text at a time; parameters are then
+averaged, weighted by tokens, as a grouped sum per parameter; the next round, over the documents that the
+first one left, starts from the average. No text is shuffled or written. Parameters and id counts have a
+fixed size, so only they meet the driver.
 
 Scoring. A text is cut into windows of ``CONTEXT`` inputs that overlap by ``OVERLAP``; each id is
 scored once, in the first window that holds it, with batched masked attention.
@@ -21,6 +22,8 @@ word, and go back to the blocks that hold the word.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +37,10 @@ from trustlens.llm.words import hashed_rows, mix
 CONTEXT, OVERLAP, WIDTH, INPUTS = 32, 8, 16, 2048
 #: classes, ids with an output of their own, most of them in a class
 HEAD, RANKED, WIDEST = 80, 2048, 96
-#: one in so many training documents trains the model, but so many at least, in so many rounds
-SAMPLE, LEAST_SAMPLE, ROUNDS = 32, 2000, 2
-#: text that one trainer gets, windows in a step, step length, steps at least (over the same windows again)
-TRAINER_BYTES, STEP_WINDOWS, RATE, STEPS = 4 << 20, 48, 0.02, 400
+#: every training document is in one of so many rounds
+ROUNDS = 2
+#: text of a trainer at least and of its pieces, windows in a step, step length, steps at least (over the same windows again)
+TRAINER_BYTES, STEP_WINDOWS, RATE, STEPS = 4 << 20, 192, 0.02, 200
 #: words in a block of texts
 BLOCK_WORDS = 2_000_000
 #: stands for the end of a text among word hashes
@@ -278,13 +281,23 @@ class Scorer:
 
 # ------------------------------------------------------------------ training on Spark
 
+def _free(encoder: Encoder) -> None:
+    """What a worker remembers, back to the system: an idle one stays beside those of the next pass."""
+    encoder.clear()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def _id_counts(tokenizer: str):
+    """How often each id occurs; the two numbers after the last id stand for bytes of text and tasks."""
     def run(batches):
         encoder = Encoder.of(tokenizer)
-        total = np.zeros(encoder.size, np.int64)
+        total = np.zeros(encoder.size + 2, np.int64)
         for batch in batches:
+            total[-2:] = total[-2] + batch.column("text").nbytes, 1
             for _, _, ids, _ in encoder.documents(batch.column("text")):
-                total += np.bincount(ids, minlength=encoder.size)
+                total[:-2] += np.bincount(ids, minlength=encoder.size)
+        _free(encoder)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
     return run
@@ -305,47 +318,61 @@ def _windows(ids: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary):
     return inputs[at], vocabulary.group[ids[at]], vocabulary.rank[ids[at]], live
 
 
-def _trained(tokenizer: str, flat, vocabulary):
+def _text_pieces(encoder: Encoder, batches, vocabulary: Vocabulary):
+    """(windows, bytes) of about ``TRAINER_BYTES`` of text at a time."""
+    parts, size = [], 0
+    for batch in batches:
+        parts += [_windows(ids, bounds, vocabulary) for _, _, ids, bounds in encoder.documents(batch.column("text"))]
+        size += batch.column("text").nbytes
+        if parts and size >= TRAINER_BYTES:
+            yield [np.concatenate(c) for c in zip(*parts, strict=True)], size
+            parts, size = [], 0
+    if parts:
+        yield [np.concatenate(c) for c in zip(*parts, strict=True)], size
+
+
+def _trained(tokenizer: str, flat, vocabulary, expected: float):
+    """Parameters times tokens, and tokens, of a trainer of about ``expected`` bytes."""
     def run(batches):
         encoder, words = Encoder.of(tokenizer), vocabulary.value
         own, grad = flat.value.copy(), np.zeros(PARAMETERS, np.float32)
         p, g, adam = split(own), split(grad), Adam(own, RATE)
-        parts = [_windows(ids, bounds, words) for batch in batches for _, _, ids, bounds in encoder.documents(batch.column("text"))]
-        if not parts:
-            return
-        x, y, r, live = (np.concatenate(c) for c in zip(*parts, strict=True))
-        tokens, rng, steps = int(live.sum()), np.random.default_rng(11), -(-len(x) // STEP_WINDOWS)
-        total = steps * -(-STEPS // steps)
-        while adam.t < total:
-            order = rng.permutation(len(x))
-            for a in range(0, len(order), STEP_WINDOWS):
-                some = order[a:a + STEP_WINDOWS]
-                step(p, words.first, x[some], y[some], r[some], live[some], g)
-                # a short rise, then down to a tenth
-                adam.move(grad, min(1.0, (adam.t + 1) / 20) * (1 - 0.9 * adam.t / total))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(PARAMETERS)), pa.array(own.astype(np.float64) * tokens), pa.array(np.full(PARAMETERS, float(tokens)))],
-            names=["i", "v", "w"])
+        rng, tokens, done = np.random.default_rng(11), 0, 0.0
+        for (x, y, r, live), size in _text_pieces(encoder, batches, words):
+            steps, t = -(-len(x) // STEP_WINDOWS), 0
+            total = steps * (1 if tokens else -(-STEPS // steps))
+            while t < total:
+                order = rng.permutation(len(x))
+                for a in range(0, len(order), STEP_WINDOWS):
+                    some = order[a:a + STEP_WINDOWS]
+                    step(p, words.first, x[some], y[some], r[some], live[some], g)
+                    # a short rise, then down to a tenth
+                    adam.move(grad, min(1.0, (adam.t + 1) / 20) * (1 - 0.9 * min(1.0, (done + size * t / total) / expected)))
+                    t += 1
+            tokens += int(live.sum())
+            done += size
+        _free(encoder)
+        if tokens:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(PARAMETERS)), pa.array(own.astype(np.float64) * tokens), pa.array(np.full(PARAMETERS, float(tokens)))],
+                names=["i", "v", "w"])
     return run
 
 
 def train(docs: DataFrame, tokenizer: str) -> tuple[np.ndarray, Vocabulary]:
-    """(parameters, vocabulary) from the training documents ``docs`` (text, draw: a uniform long)."""
+    """(parameters, vocabulary) from all training documents ``docs`` (text, draw: a uniform long)."""
     spark = docs.sparkSession
-    one_in = max(1, min(SAMPLE, docs.count() // LEAST_SAMPLE))
-    sample = docs.filter(F.pmod("draw", F.lit(one_in)) == 0).select("text", F.pmod(F.expr("draw div 1024"), F.lit(ROUNDS)).alias("turn"))
-    sample = written(sample, "sample")
-    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counts = np.zeros(Encoder.of(tokenizer).size, np.int64)
-    got = sample.mapInArrow(_id_counts(tokenizer), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(Encoder.of(tokenizer).size + 2, np.int64)
+    got = docs.select("text").mapInArrow(_id_counts(tokenizer), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts[got["id"].to_numpy()] = got["n"].to_numpy()
-    vocabulary = Vocabulary(counts)
+    vocabulary, size = Vocabulary(counts[:-2]), int(counts[-2]) / ROUNDS
     flat, words = initial(vocabulary), spark.sparkContext.broadcast(vocabulary)
-    trainers = max(1, round(size / ROUNDS / TRAINER_BYTES))
+    docs = docs.select("text", F.pmod(F.expr("draw div 1024"), F.lit(ROUNDS)).alias("turn"))
+    trainers = max(1, min(round(size / TRAINER_BYTES), int(counts[-1])))
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(flat)
-        mean = (sample.filter(F.col("turn") == turn).select("text").repartition(trainers)
-                .mapInArrow(_trained(tokenizer, start, words), "i long, v double, w double")
+        mean = (docs.filter(F.col("turn") == turn).select("text").coalesce(trainers)
+                .mapInArrow(_trained(tokenizer, start, words, max(1.0, size / trainers)), "i long, v double, w double")
                 .groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toArrow())
         if mean.num_rows:
             flat = flat.copy()
@@ -393,6 +420,7 @@ def _blocks(tokenizer: str, flat, vocabulary, block_words: int):
                     ids, held, lens, scores, words, n = [], [], [], [], [], 0
         if ids:
             yield block()
+        _free(encoder)
     return run
 
 
