@@ -73,3 +73,28 @@ def test_junk_goes_and_prose_stays(spark):
         docs.append((i, "\n".join(" ".join(w[k:k + 12]) for k in range(0, len(w), 12)), "en" if i % 3 else None, "s"))
     rows = q.judged(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), "doc_id").collect()
     assert all(r.kept == (r.doc_id % 20 > 1) for r in rows)
+
+
+def test_planted_repeats_and_light_symbols_go(spark):
+    rng = np.random.default_rng(10)
+    text = lambda w, k=12: "\n".join(" ".join(w[i:i + k]) for i in range(0, len(w), k))
+    docs = []
+    for i in range(600):
+        w = [f"{''.join(rng.choice(list('abcdefgh'), rng.integers(3, 8)))}" for _ in range(rng.integers(150, 400))]
+        if i % 60 == 0:  # 46 % of the words in repeated windows
+            n = len(w) * 30 // 100
+            w, kind = w + w[:n], "windows"
+        elif i % 60 == 1:  # two lines of three are copies of two words; long lines hold most of the words
+            lines = [f"{w[0]} {w[1]}"] * 22 + [" ".join(w[2 + 10 * k:12 + 10 * k]) for k in range(10)]
+            docs.append((i, "\n".join(lines), "en", "lines"))
+            continue
+        elif i % 60 == 2:  # one symbol in fifty characters
+            w, kind = [x + "#" * (k % 9 == 0) for k, x in enumerate(w)], "symbols"
+        else:
+            kind = None
+        docs.append((i, text(w), "en", kind))
+    rows = q.judged(spark.createDataFrame([(d, t, lang, "s") for d, t, lang, _ in docs], "doc_id long, text string, lang string, source string"), "doc_id").collect()
+    kinds = {d: k for d, _, _, k in docs}
+    assert not any(r.kept for r in rows if kinds[r.doc_id] and not r.base_failed)
+    assert {kinds[r.doc_id] for r in rows if not r.base_failed} == {None, "windows", "lines", "symbols"}
+    assert sum(not r.kept for r in rows if kinds[r.doc_id] is None) <= 2

@@ -28,11 +28,12 @@ SYMBOLS = r"[^#*$%&|<>]+"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: share of a group in a concentration step, steps, least size of a group
 SUBSET, STEPS, LEAST = 0.75, 4, 100
-#: standard deviations that a statistic has at least (a constant one has none)
-FLOOR = {"x_len": 0.05, "x_sym": 0.25, "x_dup": 0.15, "x_rep": 0.15}
+#: standard deviations that a statistic has at least (a constant one has none), from sampling errors: one symbol in 600
+#: characters; 1 / (2 sqrt(n)) of a share among 11 lines, and among the 50 / 3 separate windows of the shortest text
+FLOOR = {"x_len": 0.05, "x_sym": 0.15, "x_dup": 0.15, "x_rep": 0.12}
 NAMES = list(FLOOR)
-#: squared distance beyond which a document is rejected: eight standard deviations
-CUT = 64.0
+#: squared distance beyond which a document is rejected: chi-squared, 4 degrees, 0.9999
+CUT = 23.513
 
 
 def _repeated_words(words):
