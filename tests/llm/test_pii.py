@@ -109,3 +109,22 @@ def test_odd_rows_and_redaction(spark):
     assert got == {1: ("mail <EMAIL> or <IP>!", 21), 2: (None, None), 3: ("none", 4)}
     same = pii.redacted(docs)
     assert same.schema == docs.schema and sorted(map(repr, same.collect())) == sorted(map(repr, docs.collect()))
+
+
+SPELLED = ["jane [at] example.com", "jane.doe (at) example.com", "jane (at) example (.) com", "jane [@] example.com",
+           "jane (AT) example (dot) com", "jane at example dot com"]
+
+
+def test_spelled_addresses_with_and_without_digits(spark):
+    prose = [(1000 + i, f"we stayed at home. Then {w} came") for i, w in enumerate(["she", "he", "they"] * 20)]
+    docs = corpus() + prose + [(2000 + 100 * d + i, f"write to {x}{', 5 items' * d} soon") for d in (0, 1) for i, x in enumerate(SPELLED)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    clean = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    for i, text in docs:
+        if i >= 2000:
+            d, k = divmod(i - 2000, 100)
+            assert rows[i].spans == f"email:9:{9 + len(SPELLED[k])}", (text, rows[i])
+            assert clean[i] == f"write to <EMAIL>{', 5 items' * d} soon"
+        elif i >= 1000:
+            assert rows[i].spans == "" and clean[i] == text

@@ -51,7 +51,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ATOM = re.compile(r"(?<![A-Za-z0-9])\+?\(?[0-9]++(?:[().-]{1,2}[0-9]++)*+\)?(?![A-Za-z0-9])")
 _SPELLED = re.compile(r"\b([a-z0-9_+-]{1,64}(?:\.[a-z0-9_+-]{1,64}){0,5})\s?(?:[\[({]\s?(?:at|@)\s?[\])}]|\sat\s)\s?"
                       r"([a-z0-9-]{1,63}(?:\s?(?:[\[({]\s?(?:dot|\.)\s?[\])}]|\sdot\s|\.)\s?[a-z0-9-]{1,63}){1,4})", re.I)
-_DOT = re.compile(r"dot|[\[({]\s?\.", re.I)
+#: what every spelled-out address holds: its sign and what follows, up to the first dot
+_AT = re.compile(r"(?:[\[({]\s?(?:at|@)\s?[\])}]|\sat\s)\s?[a-z0-9-]{1,63}\s?(?:[\[({]\s?(?:dot|\.)\s?[\])}]|\sdot\s|\.)\s?[a-z0-9-]", re.I)
+_BRACKET_OR_DOT = re.compile(r"[\[({]|\sdot\s", re.I)
 _WORD_BEFORE = re.compile(r"[^\W\d_][\w-]*")
 
 
@@ -141,8 +143,8 @@ def wide_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
                 i = best[3] + 1
             else:
                 i += 1
-    if _DOT.search(text):
-        out += [(0, m.start(), m.end()) for m in _SPELLED.finditer(text) if "@" not in m[0] and free(m.start(), m.end())]
+    if _AT.search(text):
+        out += [(0, m.start(), m.end()) for m in _SPELLED.finditer(text) if free(m.start(), m.end())]
     return out
 
 
@@ -155,6 +157,8 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[int,
         last = re.split(r"[^A-Za-z0-9-]+", piece.rstrip(")]}"))[-1].lower()
         structure = 1 if 2 <= len(last) <= 24 and last.isalpha() else 2
         listed = 1 if last in TOP_LEVEL else 0
+        if not base and not _BRACKET_OR_DOT.search(piece):  # plain words around "at" and a full stop: prose, as a rule
+            structure, listed = 2 if re.search(r"\.\s", piece) else 0, listed or 2
     elif kind == 1:
         parts = piece.split(".")
         structure = 2 if any(len(p) > 1 and p[0] == "0" for p in parts) else 1
@@ -265,7 +269,7 @@ _FOUND = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base
 _FOUND_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("votes", pa.int32()),
                                    ("shape", pa.int32()), ("base", pa.bool_())]))
 _NOTHING = hashlib.sha256(b"").hexdigest()
-_MAY = re.compile(rb"[0-9@]|(?i:\bdot\b)")
+_MAY = re.compile(rb"[0-9@]|(?i:\bat\b)")
 
 
 def _found(batches):
