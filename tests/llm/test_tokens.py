@@ -129,6 +129,24 @@ def test_more_sources_than_queues(spark, monkeypatch):
     check_pieces(packing.pack_documents(docs, default_path()).collect(), encoded(pairs))
 
 
+def test_windows_have_the_shares_of_many_sources(spark, monkeypatch):
+    """Five round-robins in one another; also with a target for a source that is not among the largest."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 9)
+    window, quantum = 1024, 8
+    docs = spark.createDataFrame([(d, "some words of text " * 12, f"s{d % 40:02}") for d in range(1600)],
+                                 "doc_id long, text string, source string").repartition(5)
+    for targets in (None, {"s39": 0.25}):
+        pieces, have = packing.pack_documents(docs, default_path(), targets, window, quantum).collect(), defaultdict(int)
+        total = sum(p.length for p in pieces)
+        for p in pieces:
+            have[p.sequence_id, p.source] += p.length
+        full = total // window - 40 * quantum // window - 2
+        for k in range(full if targets is None else int(full / 40 / 0.25) - 1):
+            for i in range(40):
+                want = window / 40 if targets is None else window * (0.25 if i == 39 else 0.75 / 39)
+                assert abs(have[k, f"s{i:02}"] - want) <= 3 * quantum, (k, i)
+
+
 def test_round_robin_state_is_one_order():
     rng = np.random.default_rng(1)
     for _ in range(20):

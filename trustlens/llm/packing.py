@@ -12,6 +12,9 @@ window k are the first k * per_window in that order. Each task computes that sta
 windows its own documents reach. Deficits thus carry across windows and across Spark partitions,
 and no task needs another's result, a shuffle of ids, or more than one row per queue of state.
 
+A round-robin has at most ``MAX_QUEUES`` queues. With more sources the last queue is itself what a
+round-robin of the next sources deals, and so on: every source keeps its share of every window.
+
 Quanta that are not full (the rest of each queue) follow at the very end, so only one window of
 the whole corpus is padded.
 """
@@ -31,7 +34,7 @@ from trustlens.llm.subwords import Encoder, default_path
 
 WINDOW = 4096
 QUANTUM = 128
-#: queues of their own; with more sources the smallest share the last queue
+#: queues of one round-robin; with more sources the last queue is a round-robin of the others
 MAX_QUEUES = 256
 
 
@@ -79,6 +82,29 @@ class RoundRobin:
         out = [self._main(queue, first, count), self._rest(queue, first, count)]
         return [np.concatenate(x) for x in zip(*out, strict=True)]
 
+    def order(self, queue: np.ndarray, first: np.ndarray, count: np.ndarray):
+        """Where stretches of queues stand in the order of service, quantum by quantum: arrays (stretch, first
+        id of the piece in the queue, length, place). A quantum's place is the number of quanta due before it."""
+        q, cut = self.quantum, self.quanta[queue] * self.quantum
+        end = np.minimum(first + count, cut)
+        some = np.flatnonzero(end > first)
+        at, j = _each(first[some] // q, (end[some] - 1) // q)
+        at, before, w, number = some[at], np.empty(len(j), np.int64), self.weights, np.arange(len(self.weights))
+        for a in range(0, len(j), 4096):
+            own, mine = queue[at[a:a + 4096], None], j[a:a + 4096, None]
+            due = (mine + 1) / w[own]
+            n = np.floor(due * w).astype(np.int64)
+            n -= n / w > due
+            n += (n + 1) / w <= due
+            n -= (n / w == due) & (number > own)
+            before[a:a + 4096] = np.where(number == own, mine, np.minimum(n, self.quanta)).sum(1)
+        lo, hi = np.maximum(first[at], j * q), np.minimum(end[at], (j + 1) * q)
+        rest = np.flatnonzero(first + count > cut)
+        begin = np.maximum(first[rest], cut[rest])
+        out = [(at, lo, hi - lo, before * q + lo - j * q),
+               (rest, begin, (first + count)[rest] - begin, self.rest_at[queue[rest]] + begin - cut[rest])]
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
+
     def _main(self, queue, first, count):
         q, end = self.quantum, np.minimum(first + count, self.quanta[queue] * self.quantum)
         some = np.flatnonzero(end > first)
@@ -117,6 +143,40 @@ class RoundRobin:
         return [some[at], lo[at] + begin - p[at], stop - begin, k, begin - k * self.window]
 
 
+def _each(low: np.ndarray, high: np.ndarray):
+    """(place, number) of every number low[place] ... high[place]."""
+    n = high - low + 1
+    return np.repeat(np.arange(len(n)), n), np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def nested(sizes, weights, window: int, quantum: int) -> list[RoundRobin]:
+    """Round-robins of the sources in their order; the last queue of each but the last is the next."""
+    own, out = MAX_QUEUES - 1, []
+    for at in range(0, max(1, len(sizes) - 1), own):
+        end = at + own if len(sizes) > at + MAX_QUEUES else len(sizes)
+        more = end < len(sizes)
+        out.append(RoundRobin([*sizes[at:end], *[sum(sizes[end:])] * more], [*weights[at:end], *[sum(weights[end:])] * more], window, quantum))
+    return out
+
+
+def nested_pieces(plans: list[RoundRobin], level: np.ndarray, slot: np.ndarray, first: np.ndarray, count: np.ndarray):
+    """``RoundRobin.pieces`` of stretches of queues ``slot`` of round-robins ``level``."""
+    none = np.zeros(0, np.int64)
+    doc, queue, at, own, n, k, offset = [none] * 7
+    for i in range(int(level.max(initial=0)), -1, -1):
+        new = np.flatnonzero(level == i)
+        join = lambda a, b: np.concatenate([a, b])
+        doc, queue, at, own, n = join(doc, new), join(queue, slot[new]), join(at, first[new]), join(own, first[new]), join(n, count[new])
+        if i:  # the next round-robin up has these ids in order of service in its last queue
+            piece, lo, n, place = plans[i].order(queue, at, n)
+            queue = np.full(len(piece), len(plans[i - 1].sizes) - 1)
+        else:
+            piece, lo, n, k, offset = plans[i].pieces(queue, at, n)
+        doc, own = doc[piece], own[piece] + lo - at[piece]
+        at = place if i else at
+    return doc, own, n, k, offset
+
+
 def _tokens(tokenizer: str):
     def run(batches):
         from pyspark import TaskContext
@@ -142,15 +202,14 @@ _TOKENS = "part int, source string, doc_id long, own_start long, n long, ids bin
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
 
 
-def _pieces(sizes, weights, window: int, quantum: int):
+def _pieces(plans):
     def run(batches):
-        plan = RoundRobin(sizes, weights, window, quantum)
         for big in batches:
             for at in range(0, big.num_rows, 1000):
                 batch = big.slice(at, 1000)
                 doc_n = batch.column("n").to_numpy()
                 first = batch.column("queue_start").to_numpy()
-                doc, lo, length, k, offset = plan.pieces(batch.column("queue").to_numpy(), first, doc_n)
+                doc, lo, length, k, offset = nested_pieces(plans.value, batch.column("level").to_numpy(), batch.column("slot").to_numpy(), first, doc_n)
                 blobs, start = batch.column("ids"), lo - first[doc]
                 crc, have, own = np.empty(len(doc), np.int64), -1, None
                 order = np.argsort(doc, kind="stable")
@@ -186,29 +245,29 @@ def pack_documents(docs: DataFrame, tokenizer: str, targets: dict[str, float] |
     tokens = written(rows.mapInArrow(_tokens(tokenizer), _TOKENS), "tokens")
     sums = written(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "sums")
 
-    largest = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(MAX_QUEUES - 1).collect()
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    names, sizes = [r["source"] for r in largest], [r["n"] for r in largest]
-    if total > sum(sizes):
-        sizes.append(total - sum(sizes))
-    if not sizes:
+    every = sums.groupBy("source").agg(F.sum("n").alias("n")).collect()
+    if not every:
         return spark.createDataFrame([], PIECES)
-    weights = shares(names, sizes, targets)
-    queue = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "source string, queue long")
+    # sources with a target come first, so that what they leave goes to all others
+    every.sort(key=lambda r: (not (targets or {}).get(r["source"], 0) > 0, -r["n"], r["source"]))
+    names, sizes = [r["source"] for r in every], [r["n"] for r in every]
+    plans = nested(sizes, shares(names, sizes, targets), window, quantum)
+    places = [(min(i // (MAX_QUEUES - 1), len(plans) - 1)) for i in range(len(names))]
+    queue = spark.createDataFrame([(x, k, i - k * (MAX_QUEUES - 1)) for i, (x, k) in enumerate(zip(names, places, strict=True))],
+                                  "source string, level long, slot long")
     # where each part's documents of a source begin in the queue: a row per part and source
-    base = (sums.join(F.broadcast(queue), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(names)).cast("long")))
-            .withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("part", "source")
-                                                .rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-            .select("part", "source", "queue", "base"))
+    base = (sums.withColumn("base", F.sum("n").over(Window.partitionBy("source").orderBy("part")
+                                                    .rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+            .join(queue, "source").select("part", "source", "level", "slot", "base"))
     placed = (tokens.join(base, ["part", "source"])
-              .select("doc_id", "source", "queue", (F.col("base") + F.col("own_start")).alias("queue_start"), "n", "ids"))
-    return placed.mapInArrow(_pieces(sizes, weights, window, quantum), PIECES)
+              .select("doc_id", "source", "level", "slot", (F.col("base") + F.col("own_start")).alias("queue_start"), "n", "ids"))
+    return placed.mapInArrow(_pieces(spark.sparkContext.broadcast(plans)), PIECES)
 
 
 def shares(names: list[str], sizes: list[int], targets: dict[str, float] | None) -> list[float]:
     """Positive weights of the queues (see ``pack_documents``)."""
     given = {k: float(v) for k, v in (targets or {}).items() if v > 0}
-    own = [given.get(names[i]) if i < len(names) else None for i in range(len(sizes))]
+    own = [given.get(x) for x in names]
     left = max(1e-6, 1 - sum(w for w in own if w is not None))
     free = sum(n for n, w in zip(sizes, own, strict=True) if w is None) or 1
     return [w if w is not None else left * n / free for n, w in zip(sizes, own, strict=True)]
