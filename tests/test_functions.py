@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trustlens.functions import rnd, term_counts, vector_tokens
 from trustlens.sources.writers import read_class_order, write_class_order
 
-from conftest import SF_SMALL
+from small_tables import SF_SMALL
 
 
 def test_term_counts_equal_counter(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from trustlens.plans import catalog, jobs
 from trustlens.sources import fixtures as fx
 
-from conftest import SF_SMALL
+from small_tables import SF_SMALL
 
 
 def test_scored_batch_ignores_order_and_partitioning(spark):

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF_SMALL
+from small_tables import SF_SMALL
 
 FAST = ["rating_sentiment", "split_assignment", "class_counts", "train_weights", "clean_lemmas", "candidate_terms",
         "aspect_dictionary", "aspect_tags", "aspect_multihot", "lexicon_dedup", "score_length",

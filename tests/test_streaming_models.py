@@ -10,7 +10,7 @@ from trustlens.plans import catalog
 from trustlens.sources import fixtures as fx
 from trustlens.streaming import row_signals, score_stream
 
-from conftest import SF_SMALL
+from small_tables import SF_SMALL
 
 
 def test_stream_scores_every_row(spark):
