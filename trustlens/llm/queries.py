@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from trustlens.llm.kd_shards import op7_kd_shards
+from trustlens.llm.collocations import ORACLE as COLLOCATIONS_ORACLE
+from trustlens.llm.collocations import op12_collocations
 from trustlens.llm.importance import ORACLE as IMPORTANCE_ORACLE
 from trustlens.llm.importance import op11_importance
 from trustlens.llm.line_dedup import ORACLE as LINES_ORACLE
@@ -31,9 +33,10 @@ QUERIES = {
     "op9_url_reputation": op9_url_reputation,
     "op10_packing": op10_packing,
     "op11_importance": op11_importance,
+    "op12_collocations": op12_collocations,
     "op13_line_dedup": op13_line_dedup,
 }
 
 #: the other queries' methods are not SQL; their tests hold them against brute force
 ORACLE_SQL: dict[str, str] = {"op8_warc": WARC_ORACLE, "op9_url_reputation": reputation_sql(), "op11_importance": IMPORTANCE_ORACLE,
-                              "op13_line_dedup": LINES_ORACLE}
+                              "op12_collocations": COLLOCATIONS_ORACLE, "op13_line_dedup": LINES_ORACLE}
