@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustlens.llm.common import hash_filter, hashes_in, ready, source, written
+from trustlens.llm.common import give_back, hash_filter, hashes_in, ready, source, written
 from trustlens.llm.suffixes import equal_parts
 from trustlens.llm.words import mix, row_slices, text_buffer, word_hashes
 
 #: words of a candidate, its least count, phrases in the report, the share of a phrase that a longer one may hold
 WORDS, LEAST, TOP, HELD = (2, 3), 10, 2000, (50, 100)
 #: bytes of text that are counted together before they are dealt out, and bytes of text behind a bucket
-BLOCK_BYTES, BUCKET_BYTES = 1 << 24, 6 << 20
+BLOCK_BYTES, BUCKET_BYTES = 1 << 23, 6 << 20
 #: one in so many documents is looked through for hot words, which stand so often in the whole
 SAMPLE, HOT = 16, 1 << 18
 
@@ -97,12 +97,12 @@ def block_suffixes(texts: pa.Array, langs: pa.Array, places: int):
     entry i - 1 of the dictionary."""
     words, row, piece = block_words(*text_buffer(texts))
     coded = words.dictionary_encode()
-    c = coded.indices.to_numpy().astype(np.int64) + 1
+    c = coded.indices.to_numpy() + np.int32(1)
     names = langs.take(pa.array(row)).dictionary_encode()
-    lang = names.indices.to_numpy().astype(np.int64) + 1 + len(coded.dictionary)
+    lang = names.indices.to_numpy() + np.int32(1 + len(coded.dictionary))
     columns = [lang, c]
     for k in range(1, places):
-        more = np.zeros(len(c), np.int64)
+        more = np.zeros(len(c), np.int32)
         if len(c) > k:
             more[:-k] = np.where(piece[:-k] == piece[k:], c[k:], 0)
         columns.append(more)
@@ -177,8 +177,10 @@ def _dealt(places: int, buckets: int, hot):
                 if held >= BLOCK_BYTES:
                     yield from out()
                     texts, langs, held = [], [], 0
+                    give_back()
         if texts:
             yield from out()
+            give_back()
     return run
 
 
@@ -198,7 +200,7 @@ def _mined(least: int, hot):
         words, parts, at = [], [], 0
         for own, codes in blobs:
             words.append(own)
-            parts.append(np.where(codes[:-1] > 0, codes[:-1].astype(np.int64) + at, 0))
+            parts.append(np.where(codes[:-1] > 0, codes[:-1].astype(np.int32) + np.int32(at), np.int32(0)))
             at += len(own)
         coded = pa.chunked_array(words).combine_chunks().dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
@@ -224,10 +226,12 @@ def _mined(least: int, hot):
                 if bucket != last and blobs:
                     yield from mine(blobs)
                     blobs = []
+                    give_back()
                 last = bucket
                 blobs.append(unpacked(blob.as_buffer(), size))
         if blobs:
             yield from mine(blobs)
+            give_back()
     return run
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import threading
 import uuid
@@ -63,6 +64,13 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on after a task, beside their executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def source(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """A driver table, only the columns that are needed."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)

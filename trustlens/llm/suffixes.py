@@ -20,7 +20,7 @@ def equal_parts(columns: np.ndarray, weights: np.ndarray, lead: np.ndarray, leas
     """
     places, n = columns.shape
     flat, rng = np.ascontiguousarray(columns).ravel(), np.random.default_rng(seed)
-    order, starts, depth = np.arange(n), np.zeros(min(n, 1), np.int64), np.zeros(min(n, 1), np.int64)
+    order, starts, depth = np.arange(n, dtype=np.int32), np.zeros(min(n, 1), np.int64), np.zeros(min(n, 1), np.int64)
     while len(starts):
         lens = np.diff(starts, append=len(order))
         word = flat[np.repeat(depth * n, lens) + order]
@@ -28,7 +28,7 @@ def equal_parts(columns: np.ndarray, weights: np.ndarray, lead: np.ndarray, leas
         apart = word - np.repeat(pivot, lens)
         # each range's pointers in three runs: places before its own in the run, by running sums
         runs, base = [], starts
-        to = np.empty(len(order), np.int64)
+        to = np.empty(len(order), np.int32)
         for mine in (apart < 0, apart == 0, apart > 0):
             at = np.flatnonzero(mine)
             of = np.searchsorted(at, starts)
