@@ -166,24 +166,21 @@ def insert(index: LineIndex | None, docs: DataFrame, least_chars: int = LEAST_CH
     least_chars = index.least_chars if index else least_chars
     refs = _texts(docs).filter("doc_id is not null").mapInArrow(_references(least_chars), "a long, b long, doc_id long")
     refs = written(refs.distinct(), "line-refs")
-    own = _counted(refs)
     if index is None:
-        own = written(own, "line-counts")
-        return _indexed(refs, own, max(1, -(-own.count() // SHARD_KEYS)), least_chars)
+        # there are no more keys than references
+        return _indexed(refs, _counted(refs), max(1, -(-refs.count() // SHARD_KEYS)), least_chars)
 
-    own = own.withColumn("shard", _shard(index.shards)).select("shard", "a", "b", "refs", "first")
+    own = _counted(refs).withColumn("shard", _shard(index.shards)).select("shard", "a", "b", "refs", "first")
     tested = own.groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInArrow(_test, f"{KEYS}, seen boolean")
-    tested = written(tested, "line-tested")
-    maybe, fresh = tested.filter("seen").select("a", "b"), tested.filter("not seen").select("a", "b", "refs", "first")
-    # keys that may be known: their references that are not in the exact table yet
+    maybe = written(tested.filter("seen").select("a", "b"), "line-maybe")
+    # keys that may be known: their references that are not in the exact table yet; all references of the others
     more = refs.join(maybe, ["a", "b"], "left_semi").join(index.refs, ["a", "b", "doc_id"], "left_anti")
-    more = written(more, "line-more")
-    delta = written(fresh.unionByName(_counted(more)).withColumn("shard", _shard(index.shards)), "line-delta")
-    all_refs = index.refs.unionByName(refs.join(maybe, ["a", "b"], "left_anti")).unionByName(more)
+    more = written(refs.join(maybe, ["a", "b"], "left_anti").unionByName(more), "line-more")
+    delta = _counted(more).withColumn("shard", _shard(index.shards))
     keys = (index.keys.unionByName(delta).groupBy("shard", "a", "b")
             .agg(F.sum("refs").alias("refs"), F.min("first").alias("first")))
+    all_refs = index.refs.unionByName(more)
     keys = written(keys, "line-keys")
-    all_refs = written(all_refs, "line-refs")
     n = keys.count()
     if n > 8 * SHARD_KEYS * index.shards:
         return _indexed(all_refs, keys, -(-n // SHARD_KEYS), least_chars)
