@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SF, no_docs, odd_docs, shingle_set, texts
 
@@ -112,3 +113,35 @@ def test_a_common_passage_and_a_large_group_of_near_copies(spark, monkeypatch, b
             docs.append((i, " ".join(passage + new(rng.randrange(0, 12)))))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert rows(j.ngram_components(df)) == sorted(brute(docs), key=repr)
+
+
+def test_pieces_with_more_pairs_than_rows():
+    """Chains of near sets among sets just below the threshold: a piece gives its key instead of its pairs, and verified in
+    the task it gives links that join exactly the components of all links."""
+    rng = np.random.default_rng(5)
+    core = rng.integers(1, 2**63, 160, np.uint64)
+    sets = []
+    for chain in range(12):
+        own = rng.integers(1, 2**63, 60, np.uint64)
+        for step in range(4):  # neighbours share all but a few shingles, ends of a chain fewer
+            sets.append(np.unique(np.concatenate([core, own[5 * step:5 * step + 25]])))
+    ids = [j.set_id(s) for s in sets]
+    linked = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+    rows = [(7, i, i, len(s), len(s), j.histogram(s).tobytes(), 0, 0, 0, s.tobytes()) for i, s in zip(ids, sets, strict=True)]
+    names = ["sig", "set_id", "root", "n", "common", "counts", "block", "i", "j", "elements"]
+    kinds = [pa.int64()] * 5 + [pa.binary()] + [pa.int32()] * 3 + [pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
+               for part in (rows[:20], rows[20:])]
+    found = [r for b in j._left_pairs(80, 100)(iter(batches)) for r in b.to_pylist()]
+    assert found == [{"a": None, "b": None, "sig": 7, "i": 0, "j": 0}]
+    links = [(r["a"], r["b"]) for b in j._joined(80, 100)(iter(batches)) for r in b.to_pylist()]
+    assert len(links) < len(rows)
+
+    def components(edges):
+        root = {i: i for i in ids}
+        for a, b in edges:
+            old, new = root[a], root[b]
+            root = {k: new if v == old else v for k, v in root.items()}
+        return {frozenset(k for k in ids if root[k] == v) for v in root.values()}
+    every = [(ids[x], ids[y]) for x in range(len(sets)) for y in range(x) if linked(sets[x], sets[y])]
+    assert components(links) == components(every) and len(components(every)) < len(ids)

@@ -22,7 +22,9 @@ similarity reaches the threshold; the result is each document's component under
 6. Sets with a common signature are candidates. First each group's sets are held against one of them
    (stars, linear in the group's size), then, in a share of the groups, against their nearest by
    histogram, unless they are in one component already; in the end, only pairs of a group's sets in different components are left,
-   and only those that the bounds below let through leave a task.
+   and only those that the bounds below let through. Where these are more than the group's sets, no pair leaves the
+   task: the group's whole sets are brought together in blocks of bounded bytes, verified there, and only links that join
+   two components are given, so what leaves a task is linear in the group's size.
    Sizes, the number of shingles that no other candidate has, and histograms bound the common
    shingles from above, and rule sets and pairs out without an error; the others are verified on
    the whole sets.
@@ -54,8 +56,8 @@ SAMPLE, FREQUENT = 16, 3
 STARS = 1
 #: then each set is held against its nearest candidate in one in so many groups
 NEAREST = 8
-#: sets of a group that are held against one another in one piece
-BLOCK = 4000
+#: sets of a group that are held against one another in one piece, and their shingles
+BLOCK, BLOCK_SHINGLES = 4000, 1 << 21
 #: shingles expected behind a signature of an instance's smallest sets
 LEAST_FEATURES = 2.5
 #: signatures in one Arrow batch
@@ -315,52 +317,92 @@ def _near(num: int, den: int):
     return run
 
 
-def _left_pairs(num: int, den: int, nearest: bool = False):
-    """Rows sorted by (sig, i, j) -> pairs of a group's sets in different components that neither sizes,
-    nor shingles of their own, nor histograms rule out; ``nearest``: of each set's pairs with later ones
-    that of the nearest histogram. A group is at most two blocks."""
-    def pairs(rows: list) -> list[tuple[int, int]]:
-        ids, root, n, common = (np.array([r[c] for r in rows], np.int64) for c in range(4))
+class Piece:
+    """The rows of a group's one or two blocks, and which pairs of them neither sizes, nor shingles of their own, nor
+    histograms rule out."""
+
+    names = ("set_id", "root", "n", "common", "counts", "block", "i", "j")
+
+    def __init__(self, rows: list, num: int, den: int):
+        self.num, self.den = num, den
+        self.ids, self.root, self.n, self.common = (np.array([r[c] for r in rows], np.int64) for c in range(4))
         sets = [np.frombuffer(r[4], np.uint8) for r in rows]
         width = min(map(len, sets))
-        counts = np.stack([np.minimum(s.reshape(-1, width).sum(0, dtype=np.int64), 255) for s in sets]).astype(np.int16)
-        block = np.array([r[5] for r in rows])
-        out = []
-        for x in range(len(rows) - 1):
-            y = np.arange(x + 1, len(rows))
-            y = y[(root[y] != root[x]) & (ids[y] != ids[x])]
-            if rows[x][6] != rows[x][7]:  # two blocks: pairs across them only
-                y = y[block[y] != block[x]]
-            total = n[x] + n[y]
-            y, total = (v[(num + den) * np.minimum(common[x], common[y]) >= num * total] for v in (y, total))
-            apart = np.abs(counts[y] - counts[x]).sum(1)
-            fits = (den + num) * apart <= (den - num) * total
-            if nearest and fits.any():
-                fits = np.arange(len(y)) == np.where(fits, apart, apart.max() + 1).argmin()
-            for z in y[fits].tolist():
-                out.append((min(ids[x], ids[z]), max(ids[x], ids[z])))
-        return out
+        self.counts = np.stack([np.minimum(s.reshape(-1, width).sum(0, dtype=np.int64), 255) for s in sets]).astype(np.int16)
+        self.block = np.array([r[5] for r in rows])
+        self.crossing = rows[0][6] != rows[0][7]  # two blocks: pairs across them only
+
+    def partners(self, x: int, root: np.ndarray, nearest: bool = False) -> np.ndarray:
+        """Later rows in other components that row x may link with; ``nearest``: that of the nearest histogram."""
+        y = np.arange(x + 1, len(self.ids))
+        y = y[(root[y] != root[x]) & (self.ids[y] != self.ids[x])]
+        if self.crossing:
+            y = y[self.block[y] != self.block[x]]
+        total = self.n[x] + self.n[y]
+        y, total = (v[(self.num + self.den) * np.minimum(self.common[x], self.common[y]) >= self.num * total] for v in (y, total))
+        apart = np.abs(self.counts[y] - self.counts[x]).sum(1)
+        fits = (self.den + self.num) * apart <= (self.den - self.num) * total
+        if nearest and fits.any():
+            fits = np.arange(len(y)) == np.where(fits, apart, apart.max() + 1).argmin()
+        return y[fits]
+
+
+def _pieces(batches, columns: tuple[str, ...]):
+    """((sig, i, j), rows) of rows sorted by them."""
+    key, rows = None, []
+    for batch in batches:
+        for k, *row in zip(batch.column("sig").to_pylist(), *[batch.column(c).to_pylist() for c in columns], strict=True):
+            own = k, row[6], row[7]
+            if own != key:
+                if len(rows) > 1:
+                    yield key, rows
+                key, rows = own, []
+            rows.append(row)
+    if len(rows) > 1:
+        yield key, rows
 
+
+def _pairs(found: list) -> pa.RecordBatch:
+    kinds = (("a", pa.int64()), ("b", pa.int64()), ("sig", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], kind) for k, (_, kind) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+
+def _left_pairs(num: int, den: int, nearest: bool = False):
+    """Rows sorted by (sig, i, j) -> the pairs (a, b) of a piece that may link, at most as many as its rows; a piece
+    with more of them gives its key instead. ``nearest``: one pair for each row at most."""
     def run(batches):
-        key, rows, found = None, [], []
-        names = ("set_id", "root", "n", "common", "counts", "block", "i", "j")
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in names]
-            for k, *row in zip(batch.column("sig").to_pylist(), *cols, strict=True):
-                own = k, row[6], row[7]
-                if own != key:
-                    if len(rows) > 1:
-                        found += pairs(rows)
-                    key, rows = own, []
-                rows.append(row)
+        found = []
+        for key, rows in _pieces(batches, Piece.names):
+            piece, own = Piece(rows, num, den), []
+            for x in range(len(rows) - 1):
+                own += [(min(piece.ids[x], piece.ids[y]), max(piece.ids[x], piece.ids[y]), None, None, None)
+                        for y in piece.partners(x, piece.root, nearest).tolist()]
+                if len(own) > len(rows):
+                    own = [(None, None, *key)]
+                    break
+            found += own
             if len(found) > OUT_ROWS:
-                yield out()
+                yield _pairs(found)
                 found = []
-        if len(rows) > 1:
-            found += pairs(rows)
-        if found:
-            yield out()
+        yield _pairs(found)
+    return run
+
+
+def _joined(num: int, den: int):
+    """Rows sorted by (sig, i, j) with whole sets -> links (a, b) that join components, at most a row less than a piece has."""
+    def run(batches):
+        for _, rows in _pieces(batches, (*Piece.names, "elements")):
+            piece, found = Piece(rows, num, den), []
+            sets, root = [np.frombuffer(r[8], np.uint64) for r in rows], piece.root.copy()
+            for x in range(len(rows) - 1):
+                for y in piece.partners(x, root).tolist():
+                    if root[x] == root[y]:
+                        continue
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if den * common >= num * (len(sets[x]) + len(sets[y]) - common):
+                        found.append((piece.ids[x], piece.ids[y], None, None, None))
+                        root[root == root[y]] = root[x]
+            yield _pairs(found).select(["a", "b"])
     return run
 
 
@@ -399,9 +441,10 @@ def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: i
 
 
 def _blocked(members: DataFrame) -> DataFrame:
-    """The groups' rows with ``block``, ``i`` and ``j``: a group of more than BLOCK sets is cut into blocks, and a
-    row goes to each pair of blocks that holds its own."""
-    large = (members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"))
+    """The groups' rows with ``block``, ``i`` and ``j``: a group of more than BLOCK sets or BLOCK_SHINGLES shingles is cut
+    into blocks, and a row goes to each pair of blocks that holds its own."""
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    large = members.groupBy("sig").agg(blocks.alias("blocks")).filter("blocks > 1")
     rows = members.join(large, "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     one = rows.filter("blocks = 1").withColumn("other", F.lit(0))
@@ -485,13 +528,15 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int,
         tested = pairs if tested is None else tested.unionByName(pairs)
         roots = _merged(roots, written(_links(pairs, sets, met, num, den), "links"))
 
-    def left(members: DataFrame, nearest: bool) -> DataFrame:
-        rows = _blocked(members).join(sets.select("set_id", "counts"), "set_id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-        pairs = rows.mapInArrow(_left_pairs(num, den, nearest), "a long, b long").distinct()
-        return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    def pieces(rows: DataFrame, column: str) -> DataFrame:
+        return rows.join(sets.select("set_id", column), "set_id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+    def left(rows: DataFrame, nearest: bool) -> DataFrame:
+        return pieces(rows, "counts").mapInArrow(_left_pairs(num, den, nearest), "a long, b long, sig long, i int, j int")
 
     some = _open(members.filter(F.pmod("sig", F.lit(NEAREST)) == 0), roots)
-    pairs = written(left(some, True), "nearest")
+    pairs = left(_blocked(some), True).select("a", "b").distinct()
+    pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "nearest")
     tested = pairs if tested is None else tested.unionByName(pairs)
     roots = _merged(roots, written(_links(pairs, sets, met, num, den), "links"))
 
@@ -500,8 +545,15 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int,
     alike = (open_.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("sum"))
              .groupBy("sets", "sum").agg(F.min("sig").alias("sig")).select("sig"))
     if open_.take(1):
-        rest = left(open_.join(alike, "sig", "left_semi"), False)
-        roots = _merged(roots, written(_links(rest, sets, met, num, den), "links"))
+        blocked = _blocked(open_.join(alike, "sig", "left_semi"))
+        found = written(left(blocked, False), "left")
+        rest = found.filter("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        links = _links(rest, sets, met, num, den)
+        many = found.filter("a is null").select("sig", "i", "j")
+        if many.take(1):
+            whole = pieces(blocked.join(many, ["sig", "i", "j"], "left_semi").join(sets.select("set_id", "elements"), "set_id"), "counts")
+            links = links.unionByName(whole.mapInArrow(_joined(num, den), "a long, b long"))
+        roots = _merged(roots, written(links, "links"))
 
     final = (classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
              .select("set_id", "first_doc", F.coalesce("root", "set_id").alias("root")))
