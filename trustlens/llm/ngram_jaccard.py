@@ -369,17 +369,19 @@ def _pairs(found: list) -> pa.RecordBatch:
 
 def _left_pairs(num: int, den: int, nearest: bool = False):
     """Rows sorted by (sig, i, j) -> the pairs (a, b) of a piece that may link, at most as many as its rows; a piece
-    with more of them gives its key instead. ``nearest``: one pair for each row at most."""
+    with more of them gives its key with each set that has a partner (a) instead. ``nearest``: one pair for each row at most."""
     def run(batches):
         found = []
         for key, rows in _pieces(batches, Piece.names):
-            piece, own = Piece(rows, num, den), []
+            piece, own, met = Piece(rows, num, den), [], np.zeros(len(rows), bool)
             for x in range(len(rows) - 1):
-                own += [(min(piece.ids[x], piece.ids[y]), max(piece.ids[x], piece.ids[y]), None, None, None)
-                        for y in piece.partners(x, piece.root, nearest).tolist()]
-                if len(own) > len(rows):
-                    own = [(None, None, *key)]
-                    break
+                y = piece.partners(x, piece.root, nearest)
+                met[y] = True
+                met[x] |= len(y) > 0
+                if len(own) <= len(rows):
+                    own += [(min(piece.ids[x], piece.ids[z]), max(piece.ids[x], piece.ids[z]), None, None, None) for z in y.tolist()]
+            if len(own) > len(rows):
+                own = [(x, None, *key) for x in piece.ids[met].tolist()]
             found += own
             if len(found) > OUT_ROWS:
                 yield _pairs(found)
@@ -391,9 +393,10 @@ def _left_pairs(num: int, den: int, nearest: bool = False):
 def _joined(num: int, den: int):
     """Rows sorted by (sig, i, j) with whole sets -> links (a, b) that join components, at most a row less than a piece has."""
     def run(batches):
-        for _, rows in _pieces(batches, (*Piece.names, "elements")):
-            piece, found = Piece(rows, num, den), []
-            sets, root = [np.frombuffer(r[8], np.uint64) for r in rows], piece.root.copy()
+        for _, rows in _pieces(batches, (*Piece.names[:4], "elements", *Piece.names[5:])):
+            found, sets = [], [np.frombuffer(r[4], np.uint64) for r in rows]
+            piece = Piece([[*r[:4], histogram(s).tobytes(), *r[5:]] for r, s in zip(rows, sets, strict=True)], num, den)
+            root = piece.root.copy()
             for x in range(len(rows) - 1):
                 for y in piece.partners(x, root).tolist():
                     if root[x] == root[y]:
@@ -430,9 +433,11 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
             .join(sets.select(F.col("set_id").alias("b"), F.col(column).alias("right_set")), "b"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame | None, num: int, den: int) -> DataFrame:
     """Of the pairs (a, b) of set ids, those whose sets reach the threshold: sizes are compared first,
-    then histograms, then whole sets."""
+    then histograms, then whole sets; at once (no ``sizes``) of pairs whose bounds were looked at."""
+    if sizes is None:
+        return _with_sets(pairs, sets, "elements").mapInArrow(_verified(num, den), "a long, b long")
     of = lambda c: sizes.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("common").alias(f"c{c}"))
     pairs = (pairs.join(of("a"), "a").join(of("b"), "b").filter(_possible(num, den))
              .select("a", "b", (F.col("na") + F.col("nb")).alias("total")))
@@ -538,20 +543,20 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int,
     pairs = left(_blocked(some), True).select("a", "b").distinct()
     pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "nearest")
     tested = pairs if tested is None else tested.unionByName(pairs)
-    roots = _merged(roots, written(_links(pairs, sets, met, num, den), "links"))
+    roots = _merged(roots, written(_links(pairs, sets, None, num, den), "links"))
 
     # what is left: pairs of a group's sets in different components; of groups of the same sets one
     open_ = written(_open(members, roots), "open")
     alike = (open_.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("sum"))
              .groupBy("sets", "sum").agg(F.min("sig").alias("sig")).select("sig"))
     if open_.take(1):
-        blocked = _blocked(open_.join(alike, "sig", "left_semi"))
+        blocked = written(_blocked(open_.join(alike, "sig", "left_semi")), "blocked")
         found = written(left(blocked, False), "left")
-        rest = found.filter("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        links = _links(rest, sets, met, num, den)
-        many = found.filter("a is null").select("sig", "i", "j")
+        rest = found.filter("b is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        links = _links(rest, sets, None, num, den)
+        many = found.filter("b is null").select(F.col("a").alias("set_id"), "sig", "i", "j")
         if many.take(1):
-            whole = pieces(blocked.join(many, ["sig", "i", "j"], "left_semi").join(sets.select("set_id", "elements"), "set_id"), "counts")
+            whole = pieces(blocked.join(many, ["set_id", "sig", "i", "j"], "left_semi"), "elements")
             links = links.unionByName(whole.mapInArrow(_joined(num, den), "a long, b long"))
         roots = _merged(roots, written(links, "links"))
 
