@@ -128,3 +128,34 @@ def test_spelled_addresses_with_and_without_digits(spark):
             assert clean[i] == f"write to <EMAIL>{', 5 items' * d} soon"
         elif i >= 1000:
             assert rows[i].spans == "" and clean[i] == text
+
+
+def spans_of(text):
+    return [(k, text[s:e]) for k, s, e in pii.wide_spans(text, pii.base_spans(text))]
+
+
+def test_candidates_do_not_overlap_however_many_there_are():
+    text = "555-123-4567 at example dot com" + "".join(f" or 555-123-{4000 + i}" for i in range(40))
+    got = spans_of(text)
+    assert len(got) == 41 and all(k == 3 for k, _ in got)
+
+
+def test_long_written_out_numbers():
+    assert spans_of("card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 ok") == []  # a plain match, no candidate
+    assert [k for k, *_ in pii.base_spans("card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 ok")] == [2]
+    assert spans_of("call (202) 5 5 5 0 1 0 9 now") == [(3, "(202) 5 5 5 0 1 0 9")]
+
+
+def test_adjacent_spelled_addresses():
+    got = spans_of("jane at example dot com. " * 3000)
+    assert got == [(0, "jane at example dot com")] * 3000
+
+
+def test_frequent_patterns_keep_their_weight():
+    """The fit counts a pattern as often as it stands: ten times the rows of every pattern give the same decisions."""
+    code = pii._code((0, 1, 1, 1, 0, 1))
+    against = pii._code((0, 2, 2, 0, 2, 2))
+    rows = [(3, code, 0, 40_000_000), (3, against, 0, 10_000_000)]
+    p = lambda w: 1 / (1 + np.exp(-(pii._features(np.array([3, 3]), np.array([code, against]), np.array([0, 0])) @ w)))
+    few = p(pii.fit([(k, c, s, n // 10) for k, c, s, n in rows]))
+    assert np.allclose(few, p(pii.fit(rows)), atol=1e-3) and few[0] > 0.9 > 0.1 > few[1]

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ATOM = re.compile(r"(?<![A-Za-z0-9])\+?\(?[0-9]++(?:[().-]{1,2}[0-9]++)*+\)?(?![A-Za-z0-9])")
 _SPELLED = re.compile(r"\b([a-z0-9_+-]{1,64}(?:\.[a-z0-9_+-]{1,64}){0,5})\s?(?:[\[({]\s?(?:at|@)\s?[\])}]|\sat\s)\s?"
-                      r"([a-z0-9-]{1,63}(?:\s?(?:[\[({]\s?(?:dot|\.)\s?[\])}]|\sdot\s|\.)\s?[a-z0-9-]{1,63}){1,4})", re.I)
+                      r"([a-z0-9-]{1,63}(?:(?:\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\s{1,2}dot\s{1,2}|\s\.\s|\.)[a-z0-9-]{1,63}){1,4})", re.I)
 #: what every spelled-out address holds: its sign and what follows, up to the first dot
 _AT = re.compile(r"(?:[\[({]\s?(?:at|@)\s?[\])}]|\sat\s)\s?[a-z0-9-]{1,63}\s?(?:[\[({]\s?(?:dot|\.)\s?[\])}]|\sdot\s|\.)\s?[a-z0-9-]", re.I)
 _BRACKET_OR_DOT = re.compile(r"[\[({]|\sdot\s", re.I)
@@ -115,16 +116,21 @@ def wide_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     taken = sorted((s, e) for _, s, e in base)
     starts = [s for s, _ in taken]
     out: list[tuple[int, int, int]] = []
+    own: list[tuple[int, int]] = []  # the spans in ``out``, sorted; they do not overlap
 
     def free(s: int, e: int) -> bool:
-        i = int(np.searchsorted(starts, e))
-        return not (i and taken[i - 1][1] > s) and not any(x < e and s < y for _, x, y in out[-8:])
+        i, j = bisect_left(starts, e), bisect_left(own, (e,))
+        return not (i and taken[i - 1][1] > s) and not (j and own[j - 1][1] > s)
+
+    def add(kind: int, s: int, e: int) -> None:
+        out.append((kind, s, e))
+        insort(own, (s, e))
 
     for run in _runs(text):
         i = 0
         while i < len(run):
             best, digits = None, ""
-            for j in range(i, min(i + 6, len(run))):
+            for j in range(i, len(run)):  # as far as the digits of a number reach
                 digits += run[j][2]
                 piece = text[run[i][0]:run[j][1]]
                 if len(digits) > 19:
@@ -139,12 +145,14 @@ def wide_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
                 elif 10 <= len(digits) <= 11 and j > i - 1 and re.fullmatch(r"(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}", piece):
                     best = (3, run[i][0], run[j][1], j)
             if best and free(best[1], best[2]):
-                out.append(best[:3])
+                add(*best[:3])
                 i = best[3] + 1
             else:
                 i += 1
     if _AT.search(text):
-        out += [(0, m.start(), m.end()) for m in _SPELLED.finditer(text) if free(m.start(), m.end())]
+        for m in _SPELLED.finditer(text):
+            if free(m.start(), m.end()):
+                add(0, m.start(), m.end())
     return out
 
 
@@ -237,7 +245,7 @@ def fit(counts) -> np.ndarray:
         rows = np.flatnonzero(kind == k)
         if len(rows):
             target[rows] = reliabilities(code[rows], n[rows].astype(float))[2]
-    x, weight = _features(kind, code, shape), np.minimum(n, 1e6).astype(float)
+    x, weight = _features(kind, code, shape), n.astype(float)
     for _ in range(50):  # Newton steps of the penalised likelihood
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (target - p)) - 0.1 * w
