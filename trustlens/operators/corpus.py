@@ -71,6 +71,41 @@ def with_class_weight(train: DataFrame, label_col: str = "label") -> DataFrame:
     return train.join(w, label_col)
 
 
+def class_units(train: DataFrame, label_col: str = "label") -> DataFrame:
+    """``train`` with ``units``: the inverse frequency of the row's class as a whole number (2^40 / n), so that
+    sums of weights are exact in any order."""
+    sizes = F.broadcast(train.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n")))  # a row per class
+    return train.join(sizes, label_col).withColumn("units", F.expr(f"{1 << 40} div _n")).drop("_n")
+
+
+def weighted_draw(rows: DataFrame, n: int | None = None, id_col: str = "doc_id", units_col: str = "units",
+                  seed: int = fv.SPLIT_SEED) -> DataFrame:
+    """``n`` draws with replacement (default: as many as rows), a row with the chance of its share of all units:
+    (draw, *columns of ``rows``), draw from 0 on.
+
+    In order of (hash, id) the rows' units are intervals that cover [0, total); a draw is a hashed
+    number in it and takes the row whose interval holds it. Running sums go over 65,536 hash bins and within each
+    bin; numbers and intervals meet in cells of the mean units of a draw, of which a row has as many as it
+    spans, so a heavy row is no hot key and no class is collected.
+    """
+    rows = rows.withColumn("_h", split_hash(id_col, seed)).withColumn("_b", F.shiftright("_h", 16))
+    bins = rows.groupBy("_b").agg(F.sum(units_col).alias("_u"))
+    bins = bins.select("_b", (F.sum("_u").over(Window.orderBy("_b")) - F.col("_u")).alias("_first"))  # at most 65,536 rows
+    size, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(units_col), F.lit(0))).first()
+    n = size if n is None else n
+    cell = max(1, total // max(1, n))
+    upto = F.sum(units_col).over(Window.partitionBy("_b").orderBy("_h", id_col).rowsBetween(Window.unboundedPreceding, 0))
+    spans = (rows.withColumn("_upto", upto).join(F.broadcast(bins), "_b")
+             .withColumn("_hi", F.col("_first") + F.col("_upto")).withColumn("_lo", F.col("_hi") - F.col(units_col))
+             .filter(F.col(units_col) > 0)
+             .withColumn("_cell", F.explode(F.expr(f"sequence(_lo div {cell}, (_hi - 1) div {cell})"))))
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:draw:"), F.col("draw").cast("string"))), 1, 15), 16, 10).cast("long")
+    draws = (rows.sparkSession.range(n if total else 0).select(F.col("id").alias("draw"))
+             .withColumn("_at", F.pmod(number, F.lit(max(1, total)))).withColumn("_cell", F.expr(f"_at div {cell}")))
+    hit = (F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi"))
+    return draws.join(spans, "_cell").filter(hit).drop("_cell", "_at", "_lo", "_hi", "_first", "_upto", "_h", "_b")
+
+
 def rebalance_sample(train: DataFrame, label_col: str = "label", seed: int = fv.SPLIT_SEED) -> DataFrame:
     """Draw with replacement so every class has the same expected count n/k."""
     counts = {r[label_col]: r["n"] for r in class_weights(train, label_col).collect()}  # a row per class

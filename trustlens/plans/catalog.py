@@ -15,10 +15,11 @@ from trustlens.functions.scores import (
     diversity_score, emotion_score, length_score, quality_score, rnd,
 )
 from trustlens.operators import aspects as asp
-from trustlens.operators.corpus import assign_split, class_weights, polar, with_sentiment
+from trustlens.operators.corpus import assign_split, class_units, class_weights, polar, weighted_draw, with_sentiment
 from trustlens.operators.lemmas import clean_lemmas
 from trustlens.operators.lexicon import dedup_lexicon, emotion_stats, lexicon_from_labels
 from trustlens.operators.linear_head import aspects_text, linear_head_scores
+from trustlens.operators.newton import newton_heads
 from trustlens.operators.similarity import similarity_scores
 from trustlens.operators.tfidf import doc_count, postings, tfidf_weights, vocabulary
 from trustlens.functions.text import letter_tokens
@@ -122,7 +123,7 @@ def q_lexicon_dedup(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- trust signals
 
 def _rows(spark, sf):
-    """The reviews for row-local signals: no exchange."""
+    """The reviews for light row-local signals: no exchange."""
     return fx.reviews(spark, sf).na.drop(subset=["text"])
 
 
@@ -136,7 +137,7 @@ def q_score_length(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_score_diversity(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, sf).select("doc_id", rnd(diversity_score("text", A.score), 9).alias("diversity"))
+    return _docs(spark, sf).select("doc_id", rnd(diversity_score("text", A.score), 9).alias("diversity"))
 
 
 def q_score_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -303,10 +304,48 @@ def q_train_contract(spark: SparkSession, sf: str) -> DataFrame:
                         F.lit(c["first_best_chosen"]).alias("first_best_chosen"), F.lit(same).alias("reloaded_same"))
 
 
+def q_drawn_training_set(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-2 as it is drawn: as many rows as the training split has, with replacement, by inverse class frequency."""
+    train = _polar_split(spark, sf).filter(F.col("split") == "train")
+    return weighted_draw(class_units(train.select("doc_id", "label"))).select("draw", "doc_id", "label")
+
+
+NEWTON_FEATURES = ["diversity", "quality"]
+
+
+def _newton_rows(spark, sf):
+    """Labelled reviews of the training split with two row signals and a label for each head."""
+    train = _polar_split(spark, sf).filter(F.col("split") == "train")
+    signals = train.select("doc_id", "label", rnd(diversity_score("text", A.score), 9).alias("diversity"),
+                           rnd(quality_score("text", A.quality, A.capitals), 9).alias("quality"))
+    return signals.join(q_aspect_multihot(spark, sf), "doc_id")
+
+
+def q_newton_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-3, ML-4 in a form that can be repeated: the sentiment head and a head for each aspect, fitted by Newton steps."""
+    heads = {"sentiment": "label", **{a: f"y{i}" for i, a in enumerate(fx.ASPECT_CLASSES)}}
+    return newton_heads(_newton_rows(spark, sf), NEWTON_FEATURES, heads)
+
+
+def q_shown_trust(spark: SparkSession, sf: str) -> DataFrame:
+    """SCR-7 for a batch: the trust scores as shown, and as shown of the same scores given as fractions."""
+    s = cached(scored(spark, sf).select("doc_id", "trust_score", rnd(F.col("trust_score") / 100, 6).alias("fraction")))
+    shown = jobs.shown_trust(jobs.shown_trust(s, to="shown"), "fraction", "of_fractions")
+    return shown.select("doc_id", "shown", rnd("of_fractions", 6).alias("shown_of_fractions"))
+
+
+def q_aspect_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """SET-2: tags from each review's array of lemmas, where it overlaps an aspect's list of seeds."""
+    c, lem = _lemmas(spark, sf)
+    arrays = lem.groupBy("doc_id").agg(F.collect_set("lemma").alias("lemmas"))
+    rows = c.select("doc_id").join(arrays, "doc_id", "left").withColumn("lemmas", F.coalesce("lemmas", F.array().cast("array<string>")))
+    return rows.select("doc_id", F.array_join(asp.tags_from_arrays("lemmas", dict(fx.ASPECT_SEEDS), fx.ASPECT_CLASSES[-1]), ",").alias("tags"))
+
+
 def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Write the scored batch as CSV to the shared folder and read it back."""
-    path = _folder(spark, "scored")
-    write_csv(scored(spark, sf).withColumn("text", _awkward()), path)
+    path, rows = _folder(spark, "scored"), cached(scored(spark, sf))
+    write_csv(_with_empty(rows.withColumn("text", _awkward())), path)
     return rd.read_scored_csv(spark, path)
 
 
@@ -318,16 +357,22 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _awkward():
-    """Texts that a CSV file can spoil: outer blanks, quotes, newlines, empty, separators."""
+    """Whole texts with what a CSV file can spoil: outer blanks, quotes, newlines, separators."""
     t, k = F.col("text"), F.pmod("doc_id", F.lit(8))
     return (F.when(k == 0, F.concat(F.lit("  "), t)).when(k == 1, F.concat(t, F.lit("  "))).when(k == 2, F.concat(F.lit('"'), t, F.lit('"')))
-            .when(k == 3, F.concat(F.lit("\n"), t, F.lit("\n"))).when(k == 4, F.lit("")).when(k == 5, F.concat(F.lit(",;\t"), t)).otherwise(t))
+            .when(k == 3, F.concat(F.lit("\n"), t, F.lit("\n"))).when(k == 5, F.concat(F.lit(",;\t"), t)).otherwise(t))
+
+
+def _with_empty(rows: DataFrame) -> DataFrame:
+    """``rows`` and, under a doc_id of its own, a row with an empty text for each of every eighth of them."""
+    more = rows.filter(F.pmod("doc_id", F.lit(8)) == 4).withColumn("doc_id", -1 - F.col("doc_id")).withColumn("text", F.lit(""))
+    return rows.unionByName(more)
 
 
 def q_reviews_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-1, CHK-1: reviews with awkward texts, from CSV."""
     path = _folder(spark, "reviews")
-    write_csv(fx.reviews(spark, sf).select("doc_id", _awkward().alias("text")), path)
+    write_csv(_with_empty(fx.reviews(spark, sf).select("doc_id", _awkward().alias("text"))), path)
     return rd.read_reviews_csv(spark, path)
 
 
@@ -387,6 +432,10 @@ QUERIES = {
     "map_scored": q_map_scored,
     "eval_metrics": q_eval_metrics,
     "train_models": q_train_models,
+    "drawn_training_set": q_drawn_training_set,
+    "newton_heads": q_newton_heads,
+    "shown_trust": q_shown_trust,
+    "aspect_overlap": q_aspect_overlap,
     "csv_roundtrip": q_csv_roundtrip,
     "report": q_report,
     "model_selection": q_model_selection,

@@ -8,6 +8,7 @@ Rounding is floor(x * 10^d + 0.5) / 10^d on both sides.
 from __future__ import annotations
 
 from trustlens import fixed_values as fv
+from trustlens.operators import newton
 from trustlens.sources import fixtures as fx
 
 L = fx.ALPHABETS.score
@@ -305,8 +306,24 @@ c AS (SELECT total, positive, negative, spam, {rnd('pos_share', 6)} AS pos_share
 SELECT *, CASE WHEN health_pct >= 80 THEN 'no_spam' WHEN health_pct >= 50 THEN 'moderate' ELSE 'high_spam' END AS band
 FROM c"""
     S["map_scored"] = S["linear_head_scores"]
-    S["csv_roundtrip"] = f"WITH {SCORED} SELECT * REPLACE ({_awkward()} AS text) FROM scored"
-    S["reviews_csv_scan"] = f"SELECT doc_id, {_awkward()} AS text FROM documents"
+    S["csv_roundtrip"] = (f"WITH {SCORED} SELECT * REPLACE ({_awkward()} AS text) FROM scored "
+                          "UNION ALL SELECT * REPLACE (-1 - doc_id AS doc_id, '' AS text) FROM scored WHERE doc_id % 8 = 4")
+    S["reviews_csv_scan"] = (f"SELECT doc_id, {_awkward()} AS text FROM documents "
+                             "UNION ALL SELECT -1 - doc_id, '' FROM documents WHERE doc_id % 8 = 4")
+    S["drawn_training_set"] = f"""WITH {CORPUS}, {SPLIT},
+tr AS (SELECT doc_id, label, hash, 1099511627776 // count(*) OVER (PARTITION BY label) AS units FROM spl WHERE split = 'train'),
+iv AS (SELECT *, CAST(sum(units) OVER (ORDER BY hash, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM tr),
+dr AS (SELECT r.draw, CAST(CAST('0x' || substr(md5('42:draw:' || CAST(r.draw AS VARCHAR)), 1, 15) AS UBIGINT) AS BIGINT) % t.total AS place
+       FROM (SELECT unnest(range(0, (SELECT count(*) FROM tr))) AS draw) r, (SELECT max(hi) AS total FROM iv) t)
+SELECT draw, doc_id, label FROM dr JOIN iv ON place >= hi - units AND place < hi"""
+    S["newton_heads"] = _newton(S)
+    S["shown_trust"] = f"""WITH {SCORED}, f AS (SELECT doc_id, trust_score, {rnd('trust_score / 100', 6)} AS fraction FROM scored)
+SELECT doc_id, CASE WHEN max(trust_score) OVER () <= 1 THEN trust_score * 100 ELSE trust_score END AS shown,
+       {rnd('CASE WHEN max(fraction) OVER () <= 1 THEN fraction * 100 ELSE fraction END', 6)} AS shown_of_fractions FROM f"""
+    S["aspect_overlap"] = f"""WITH {CORPUS}, {SPLIT}, {LEMMAS},
+direct AS (SELECT DISTINCT l.doc_id, s.aspect_pos, s.aspect FROM lem l JOIN seeds s ON l.lemma = s.seed)
+SELECT e.doc_id, coalesce(string_agg(d.aspect, ',' ORDER BY d.aspect_pos), '{fx.ASPECT_CLASSES[-1]}') AS tags
+FROM en e LEFT JOIN direct d ON d.doc_id = e.doc_id GROUP BY e.doc_id"""
     S["corpus_csv_scan"] = f"WITH {CORPUS} SELECT doc_id, language, text, rating FROM corpus"
     S["lexicon_roundtrip"] = S["lexicon_dedup"]
     S["class_order_roundtrip"] = ("SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, lang) - 1 AS INTEGER) AS class_pos, "
@@ -332,9 +349,38 @@ SELECT *, candidate = (SELECT min(candidate) FROM f WHERE f1_positive = (SELECT
     return S
 
 
+def _newton(S: dict[str, str]) -> str:
+    """The grouped sums and Newton steps of ``newton_heads``, step by step; the 3 x 3 system by determinants."""
+    heads = ["SELECT 'sentiment' AS head, label AS y, x1, x2 FROM rows_"]
+    heads += [f"SELECT {q(a)}, y{i}, x1, x2 FROM rows_" for i, a in enumerate(fx.ASPECT_CLASSES)]
+    body = f"""WITH dv AS ({S["score_diversity"]}), ql AS ({S["score_quality"]}), mh AS ({S["aspect_multihot"]}), sp AS ({S["split_assignment"]}),
+rows_ AS (SELECT label, {rnd('diversity', 2)} AS x1, {rnd('quality', 2)} AS x2, mh.* EXCLUDE (doc_id)
+          FROM sp JOIN dv USING (doc_id) JOIN ql USING (doc_id) JOIN mh USING (doc_id) WHERE split = 'train'),
+cells AS (SELECT head, x1, x2, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM ({' UNION ALL '.join(heads)}) GROUP BY head, x1, x2),
+w0 AS (SELECT DISTINCT head, 0::DOUBLE AS b0, 0::DOUBLE AS b1, 0::DOUBLE AS b2 FROM cells)"""
+    for k in range(1, newton.STEPS + 1):
+        body += f""",
+s{k} AS MATERIALIZED (
+  SELECT head, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2,
+         sum(v) + {newton.PENALTY} AS a, sum(v * x1) AS b, sum(v * x2) AS c, sum(v * x1 * x1) + {newton.PENALTY} AS d, sum(v * x1 * x2) AS e,
+         sum(v * x2 * x2) + {newton.PENALTY} AS f, sum(r) - any_value(b0) * {newton.PENALTY} AS g0, sum(r * x1) - any_value(b1) * {newton.PENALTY} AS g1,
+         sum(r * x2) - any_value(b2) * {newton.PENALTY} AS g2
+  FROM (SELECT *, n * p * (1 - p) AS v, pos - n * p AS r
+        FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM cells JOIN w{k - 1} USING (head))) GROUP BY head),
+w{k} AS MATERIALIZED (
+  SELECT head, b0 + (g0 * (d * f - e * e) - b * (g1 * f - e * g2) + c * (g1 * e - d * g2)) / det AS b0,
+         b1 + (a * (g1 * f - e * g2) - g0 * (b * f - c * e) + c * (b * g2 - g1 * c)) / det AS b1,
+         b2 + (a * (d * g2 - g1 * e) - b * (b * g2 - g1 * c) + g0 * (b * e - d * c)) / det AS b2
+  FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM s{k}))"""
+    return body + f"""
+SELECT head, CAST(sum(n) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS positives, {rnd('any_value(b0)', 6)} AS intercept,
+       {rnd('any_value(b1)', 6)} AS w_diversity, {rnd('any_value(b2)', 6)} AS w_quality
+FROM cells JOIN w{newton.STEPS} USING (head) GROUP BY head"""
+
+
 def _awkward() -> str:
     return ("CASE doc_id % 8 WHEN 0 THEN '  ' || text WHEN 1 THEN text || '  ' WHEN 2 THEN '\"' || text || '\"' "
-            "WHEN 3 THEN chr(10) || text || chr(10) WHEN 4 THEN '' WHEN 5 THEN ',;' || chr(9) || text ELSE text END")
+            "WHEN 3 THEN chr(10) || text || chr(10) WHEN 5 THEN ',;' || chr(9) || text ELSE text END")
 
 
 def _evaluated(coefficients) -> str:

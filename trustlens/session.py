@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -55,6 +56,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def materialised(df, name: str):
+    """``df`` as a Parquet table in the shared folder, computed once: its size is known to whatever is planned on it, and
+    its lineage is cut."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 

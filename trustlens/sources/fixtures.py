@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from trustlens.functions.text import LATIN_ALPHABETS
 from trustlens.operators.lexicon import lexicon_from_labels
 from trustlens.operators.partitioning import spread
+from trustlens.session import materialised
 
 ALPHABETS = LATIN_ALPHABETS
 LANGUAGE = "en"
@@ -56,6 +57,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def batch_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table for work that is heavy per byte, on all cores also from one small file."""
+    return spread(table(spark, sf_dir, name))
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) from ``documents``."""
     return table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,22 +85,34 @@ def corpus(spark: SparkSession, sf_dir: str, dealt=lambda df: df) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pos, term, tag, value) from the quality labels."""
-    return lexicon_from_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
-                               ALPHABETS.lexicon)
+    """(pos, term, tag, value) from the quality labels, as a prepared table: written once and read again, so that its
+    size is known when a join with the tokens is planned."""
+    return materialised(lexicon_from_labels(batch_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                            ALPHABETS.lexicon), "lexicon")
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small parameter table as VALUES of the plan itself: its size is known, and no Python is run for it."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    if not rows:
+        return spark.createDataFrame([], schema)
+    def literal(v):
+        return "NULL" if v is None else repr(v) if isinstance(v, (int, float)) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    body = ", ".join("(" + ", ".join(f"CAST({literal(v)} AS {k})" for v, k in zip(r, kinds, strict=True)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(f'`{n}`' for n in names)})")
 
 
 def stopwords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in STOPWORDS], "token string")
+    return local_table(spark, [(w,) for w in STOPWORDS], "token string")
 
 
 def aspect_seeds(spark: SparkSession) -> DataFrame:
     rows = [(i, a, s) for i, (a, seeds) in enumerate(ASPECT_SEEDS) for s in seeds]
-    return spark.createDataFrame(rows, "aspect_pos int, aspect string, seed string")
+    return local_table(spark, rows, "aspect_pos int, aspect string, seed string")
 
 
 def form_lemma(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FORM_LEMMA, "form string, lemma string")
+    return local_table(spark, FORM_LEMMA, "form string, lemma string")
 
 
 #: factors of the positive and the negative class in the candidate heads of ``model_selection``
@@ -108,4 +126,4 @@ def variant(v: int = 0) -> list[tuple]:
 
 
 def coefs(spark: SparkSession, v: int = 0) -> DataFrame:
-    return spark.createDataFrame(variant(v), "head string, class string, term string, coef double")
+    return local_table(spark, variant(v), "head string, class string, term string, coef double")
