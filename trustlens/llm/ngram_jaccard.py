@@ -433,16 +433,12 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
             .join(sets.select(F.col("set_id").alias("b"), F.col(column).alias("right_set")), "b"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame | None, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b) of set ids, those whose sets reach the threshold: sizes are compared first,
-    then histograms, then whole sets; at once (no ``sizes``) of pairs whose bounds were looked at."""
-    if sizes is None:
-        return _with_sets(pairs, sets, "elements").mapInArrow(_verified(num, den), "a long, b long")
-    of = lambda c: sizes.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("common").alias(f"c{c}"))
-    pairs = (pairs.join(of("a"), "a").join(of("b"), "b").filter(_possible(num, den))
-             .select("a", "b", (F.col("na") + F.col("nb")).alias("total")))
-    near = _with_sets(pairs, sets, "counts").mapInArrow(_near(num, den), "a long, b long")
-    return _with_sets(near, sets, "elements").mapInArrow(_verified(num, den), "a long, b long")
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b) of set ids, those whose sets reach the threshold. Pairs with ``total`` (both sizes) are held
+    against their histograms first; of the others all bounds were looked at."""
+    if "total" in pairs.columns:
+        pairs = _with_sets(pairs, sets, "counts").mapInArrow(_near(num, den), "a long, b long")
+    return _with_sets(pairs, sets, "elements").mapInArrow(_verified(num, den), "a long, b long")
 
 
 def _blocked(members: DataFrame) -> DataFrame:
@@ -524,14 +520,16 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int,
                  .select(F.least("set_id", "l.set_id").alias("a"), F.greatest("set_id", "l.set_id").alias("b"), F.col("set_id").alias("m"),
                          F.col("n").alias("na"), F.col("l.n").alias("nb"), F.col("common").alias("ca"), F.col("l.common").alias("cb"))
                  .filter(_possible(num, den)))
+        pairs = pairs.withColumn("total", F.col("na") + F.col("nb"))
         if turn == 0:
-            pairs = pairs.groupBy("m").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
-        pairs = pairs.select("a", "b").distinct()
+            pairs = pairs.groupBy("m").agg(F.min(F.struct("a", "b", "total")).alias("p")).select("p.*")
+        pairs = pairs.select("a", "b", "total").distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "stars")
         if not pairs.take(1):
             break
+        links, pairs = _links(pairs, sets, num, den), pairs.select("a", "b")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        roots = _merged(roots, written(_links(pairs, sets, met, num, den), "links"))
+        roots = _merged(roots, written(links, "links"))
 
     def pieces(rows: DataFrame, column: str) -> DataFrame:
         return rows.join(sets.select("set_id", column), "set_id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
@@ -543,7 +541,7 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int,
     pairs = left(_blocked(some), True).select("a", "b").distinct()
     pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "nearest")
     tested = pairs if tested is None else tested.unionByName(pairs)
-    roots = _merged(roots, written(_links(pairs, sets, None, num, den), "links"))
+    roots = _merged(roots, written(_links(pairs, sets, num, den), "links"))
 
     # what is left: pairs of a group's sets in different components; of groups of the same sets one
     open_ = written(_open(members, roots), "open")
@@ -553,7 +551,7 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int,
         blocked = written(_blocked(open_.join(alike, "sig", "left_semi")), "blocked")
         found = written(left(blocked, False), "left")
         rest = found.filter("b is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        links = _links(rest, sets, None, num, den)
+        links = _links(rest, sets, num, den)
         many = found.filter("b is null").select(F.col("a").alias("set_id"), "sig", "i", "j")
         if many.take(1):
             whole = pieces(blocked.join(many, ["set_id", "sig", "i", "j"], "left_semi"), "elements")
