@@ -15,7 +15,7 @@ FAST = ["rating_sentiment", "split_assignment", "class_counts", "train_weights",
         "linear_head_scores", "map_scored", "scored_batch", "single_review", "report_kpis",
         "aspect_mentions", "health_kpis", "eval_metrics", "trust_score", "tfidf_weights", "lexicon_table",
         "lemma_counts_by_class", "detail", "suspicious", "csv_roundtrip", "report", "reviews_csv_scan",
-        "corpus_csv_scan", "drawn_training_set", "newton_heads", "shown_trust", "aspect_overlap", "lexicon_roundtrip", "class_order_roundtrip", "model_selection"]
+        "corpus_csv_scan", "aspect_dictionary_full", "learned_lemmas", "reviews_by_place", "drawn_training_set", "newton_heads", "shown_trust", "aspect_overlap", "lexicon_roundtrip", "class_order_roundtrip", "model_selection"]
 
 
 def _con(sf):

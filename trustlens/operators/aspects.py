@@ -27,14 +27,28 @@ def candidate_terms(counts: DataFrame, k: int = fv.CANDIDATE_POOL_SIZE) -> DataF
     return total.orderBy(F.desc("n"), F.asc("lemma")).limit(k)
 
 
+def grams(term_col, most: int) -> F.Column:
+    """The distinct runs of 0 to ``most`` characters of a term (null: none)."""
+    term = F.col(term_col) if isinstance(term_col, str) else term_col
+    n = F.length(term)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                                 lambda p: F.transform(F.sequence(F.lit(0), F.least(F.lit(most), n - p + 1)),
+                                                       lambda k: F.substring(term, p, k))))
+    return F.array_distinct(runs)
+
+
 def expand_aspects(seeds: DataFrame, candidates: DataFrame,
                    root_chars: int = fv.SEED_ROOT_CHARS) -> DataFrame:
     """Seeds plus every candidate that contains the first ``root_chars`` chars of a seed
-    anywhere. (aspect_pos, aspect, term), distinct."""
-    seeds_b = seeds.select("aspect_pos", "aspect", "seed")
-    cand = candidates.select(F.col("lemma").alias("term"))
-    matched = (cand.join(seeds_b, F.col("term").contains(F.substring("seed", 1, root_chars)))
-               .select("aspect_pos", "aspect", "term"))
+    anywhere. (aspect_pos, aspect, term), distinct.
+
+    A candidate's runs of up to ``root_chars`` characters meet the seeds' roots in an equi-join, so a pool of any
+    size is matched without comparing it with each seed. A root that is shorter than ``root_chars`` is a run of
+    its own length; an empty one is in every candidate; a null seed matches nothing.
+    """
+    roots = seeds.select("aspect_pos", "aspect", F.substring("seed", 1, root_chars).alias("gram"))
+    runs = candidates.select(F.col("lemma").alias("term"), F.explode(grams("lemma", root_chars)).alias("gram"))
+    matched = runs.join(roots, "gram").select("aspect_pos", "aspect", "term")
     own = seeds.select("aspect_pos", "aspect", F.col("seed").alias("term"))
     return own.unionByName(matched).distinct()
 

@@ -16,7 +16,7 @@ from trustlens.functions.scores import (
 )
 from trustlens.operators import aspects as asp
 from trustlens.operators.corpus import assign_split, class_units, class_weights, polar, weighted_draw, with_sentiment
-from trustlens.operators.lemmas import clean_lemmas
+from trustlens.operators.lemmas import clean_lemmas, suffix_rules
 from trustlens.operators.lexicon import dedup_lexicon, emotion_stats, lexicon_from_labels
 from trustlens.operators.linear_head import aspects_text, linear_head_scores
 from trustlens.operators.newton import newton_heads
@@ -25,7 +25,7 @@ from trustlens.operators.tfidf import doc_count, postings, tfidf_weights, vocabu
 from trustlens.functions.text import letter_tokens
 from trustlens.plans import jobs
 from trustlens.operators.partitioning import spread
-from trustlens.session import cached, checkpoint_dir
+from trustlens.session import cached, checkpoint_dir, materialised
 from trustlens.sources import fixtures as fx
 from trustlens.sources import readers as rd
 from trustlens.sources.writers import read_class_order, write_class_order, write_csv, write_parquet
@@ -86,6 +86,19 @@ def q_aspect_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return _weak(spark, sf)[0]
 
 
+def q_aspect_dictionary_full(spark: SparkSession, sf: str) -> DataFrame:
+    """JN-3 with every lemma of the polar classes as a candidate."""
+    pool = q_lemma_counts_by_class(spark, sf).select("lemma").distinct()
+    return asp.expand_aspects(fx.aspect_seeds(spark), pool)
+
+
+def q_learned_lemmas(spark: SparkSession, sf: str) -> DataFrame:
+    """JN-6 where the form table does not know a form: lemmas by suffix rules learned from the table."""
+    c = with_sentiment(fx.corpus(spark, sf, spread), fx.LANGUAGE)
+    known = fx.form_lemma(spark)
+    return clean_lemmas(c, fx.stopwords(spark), known, A.lemma, rules=materialised(suffix_rules(known), "rules")).select("doc_id", "pos", "lemma")
+
+
 def q_aspect_tags(spark: SparkSession, sf: str) -> DataFrame:
     return _weak(spark, sf)[1].select("doc_id", F.array_join("tags", ",").alias("tags"))
 
@@ -376,6 +389,15 @@ def q_reviews_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     return rd.read_reviews_csv(spark, path)
 
 
+def q_reviews_by_place(spark: SparkSession, sf: str) -> DataFrame:
+    """FLT-2, JN-7: reviews from CSV files without an id column, numbered by their places. The files hold the documents in
+    order of doc_id, null texts (one more row for each of every eighth document) among them."""
+    path, docs = _folder(spark, "places"), fx.reviews(spark, sf).select("doc_id", _awkward().alias("text"))
+    nulls = docs.filter(F.pmod("doc_id", F.lit(8)) == 5).withColumn("text", F.lit(None).cast("string"))
+    write_csv(docs.unionByName(nulls).orderBy("doc_id").select(F.lit("x").alias("mark"), "text"), path)
+    return rd.read_reviews_by_place(spark, path).select("doc_id", "text")
+
+
 def q_corpus_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     """SRC-2: the labelled corpus, from CSV."""
     path = _folder(spark, "corpus")
@@ -409,6 +431,8 @@ QUERIES = {
     "lemma_counts_by_class": q_lemma_counts_by_class,
     "candidate_terms": q_candidate_terms,
     "aspect_dictionary": q_aspect_dictionary,
+    "aspect_dictionary_full": q_aspect_dictionary_full,
+    "learned_lemmas": q_learned_lemmas,
     "aspect_tags": q_aspect_tags,
     "aspect_multihot": q_aspect_multihot,
     "lexicon_table": q_lexicon_table,
@@ -441,6 +465,7 @@ QUERIES = {
     "model_selection": q_model_selection,
     "train_contract": q_train_contract,
     "reviews_csv_scan": q_reviews_csv_scan,
+    "reviews_by_place": q_reviews_by_place,
     "corpus_csv_scan": q_corpus_csv_scan,
     "lexicon_roundtrip": q_lexicon_roundtrip,
     "class_order_roundtrip": q_class_order_roundtrip,

@@ -243,6 +243,10 @@ def oracle_sql() -> dict[str, str]:
     S["lemma_counts_by_class"] = f"WITH {CORPUS}, {SPLIT}, {LEMMAS} SELECT sentiment, lemma, n FROM cnt"
     S["candidate_terms"] = f"WITH {CORPUS}, {SPLIT}, {LEMMAS} SELECT lemma, n FROM cand"
     S["aspect_dictionary"] = f"WITH {CORPUS}, {SPLIT}, {LEMMAS} SELECT aspect_pos, aspect, term FROM dict"
+    S["aspect_dictionary_full"] = (f"WITH {CORPUS}, {SPLIT}, {LEMMAS} SELECT aspect_pos, aspect, seed AS term FROM seeds UNION "
+                                   f"SELECT s.aspect_pos, s.aspect, c.lemma FROM (SELECT DISTINCT lemma FROM cnt) c JOIN seeds s "
+                                   f"ON contains(c.lemma, substr(s.seed, 1, {fv.SEED_ROOT_CHARS}))")
+    S["learned_lemmas"] = _learned()
     S["aspect_tags"] = f"WITH {CORPUS}, {SPLIT}, {LEMMAS} SELECT doc_id, tags FROM tags"
     S["aspect_multihot"] = f"WITH {CORPUS}, {SPLIT}, {LEMMAS} SELECT doc_id, {_ymh()} FROM tags"
     S["lexicon_table"] = f"WITH {LEXICON} SELECT term, tag, value FROM lexr"
@@ -324,6 +328,8 @@ SELECT doc_id, CASE WHEN max(trust_score) OVER () <= 1 THEN trust_score * 100 EL
 direct AS (SELECT DISTINCT l.doc_id, s.aspect_pos, s.aspect FROM lem l JOIN seeds s ON l.lemma = s.seed)
 SELECT e.doc_id, coalesce(string_agg(d.aspect, ',' ORDER BY d.aspect_pos), '{fx.ASPECT_CLASSES[-1]}') AS tags
 FROM en e LEFT JOIN direct d ON d.doc_id = e.doc_id GROUP BY e.doc_id"""
+    S["reviews_by_place"] = (f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, {_awkward()} AS text "
+                             "FROM documents WHERE text IS NOT NULL")
     S["corpus_csv_scan"] = f"WITH {CORPUS} SELECT doc_id, language, text, rating FROM corpus"
     S["lexicon_roundtrip"] = S["lexicon_dedup"]
     S["class_order_roundtrip"] = ("SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, lang) - 1 AS INTEGER) AS class_pos, "
@@ -349,6 +355,24 @@ SELECT *, candidate = (SELECT min(candidate) FROM f WHERE f1_positive = (SELECT
     return S
 
 
+def _learned() -> str:
+    """Lemmas of ``LEMMAS``' forms, unknown ones by the longest suffix (1 to 4 characters) with a rule."""
+    return f"""WITH {CORPUS}, {SPLIT}, {LEMMAS},
+taught AS (SELECT right(form, k) AS suffix, substr(lemma, length(form) - k + 1) AS ending
+           FROM fl, (SELECT unnest(range(1, 5)) AS k)
+           WHERE k < length(form) AND length(lemma) >= length(form) - k
+             AND substr(form, 1, length(form) - k) = substr(lemma, 1, length(form) - k)),
+rules AS (SELECT suffix, ending FROM (SELECT suffix, ending, row_number() OVER (PARTITION BY suffix ORDER BY count(*) DESC, ending) AS r
+                                      FROM taught GROUP BY suffix, ending) WHERE r = 1),
+words AS (SELECT DISTINCT form FROM forms WHERE length(form) >= 3 AND form NOT IN (SELECT token FROM stop)),
+guess AS (SELECT form, max_by(substr(form, 1, length(form) - length(suffix)) || ending, length(suffix)) AS lemma
+          FROM words JOIN rules ON suffix = right(form, length(suffix)) AND length(suffix) < length(form) GROUP BY form)
+SELECT doc_id, pos, lemma FROM (
+  SELECT f.doc_id, f.pos, coalesce(fl.lemma, g.lemma, f.form) AS lemma
+  FROM forms f JOIN words USING (form) LEFT JOIN fl ON fl.form = f.form LEFT JOIN guess g ON g.form = f.form)
+WHERE length(lemma) >= 3 AND lemma NOT IN (SELECT token FROM stop)"""
+
+
 def _newton(S: dict[str, str]) -> str:
     """The grouped sums and Newton steps of ``newton_heads``, step by step; the 3 x 3 system by determinants."""
     heads = ["SELECT 'sentiment' AS head, label AS y, x1, x2 FROM rows_"]
