@@ -14,7 +14,7 @@ FAST = ["rating_sentiment", "split_assignment", "class_counts", "train_weights",
         "score_diversity", "score_quality", "score_emotion", "tfidf_vocabulary", "similarity_score",
         "linear_head_scores", "map_scored", "scored_batch", "single_review", "report_kpis",
         "aspect_mentions", "health_kpis", "eval_metrics", "trust_score", "tfidf_weights", "lexicon_table",
-        "lemma_counts_by_class", "detail", "suspicious", "csv_roundtrip", "report", "reviews_csv_scan",
+        "lemma_counts_by_class", "detail", "suspicious", "csv_roundtrip", "marked_csv", "report", "reviews_csv_scan",
         "corpus_csv_scan", "aspect_dictionary_full", "learned_lemmas", "reviews_by_place", "drawn_training_set", "newton_heads", "shown_trust", "aspect_overlap", "lexicon_roundtrip", "class_order_roundtrip", "model_selection"]
 
 

@@ -28,7 +28,7 @@ from trustlens.operators.partitioning import spread
 from trustlens.session import cached, checkpoint_dir, materialised
 from trustlens.sources import fixtures as fx
 from trustlens.sources import readers as rd
-from trustlens.sources.writers import read_class_order, write_class_order, write_csv, write_parquet
+from trustlens.sources.writers import read_class_order, write_class_order, write_csv, write_marked_csv, write_parquet
 
 A = fx.ALPHABETS
 
@@ -362,6 +362,13 @@ def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return rd.read_scored_csv(spark, path)
 
 
+def q_marked_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-1 as one file: the scored batch in order of doc_id, with mark and header, and read back."""
+    folder, rows = _folder(spark, "marked"), scored(spark, sf).withColumn("text", _awkward())
+    write_marked_csv(_with_empty(cached(rows)).orderBy("doc_id"), f"{folder}.csv")
+    return rd.read_scored_csv(spark, f"{folder}.csv")
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -461,6 +468,7 @@ QUERIES = {
     "shown_trust": q_shown_trust,
     "aspect_overlap": q_aspect_overlap,
     "csv_roundtrip": q_csv_roundtrip,
+    "marked_csv": q_marked_csv,
     "report": q_report,
     "model_selection": q_model_selection,
     "train_contract": q_train_contract,

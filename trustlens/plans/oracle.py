@@ -312,6 +312,7 @@ FROM c"""
     S["map_scored"] = S["linear_head_scores"]
     S["csv_roundtrip"] = (f"WITH {SCORED} SELECT * REPLACE ({_awkward()} AS text) FROM scored "
                           "UNION ALL SELECT * REPLACE (-1 - doc_id AS doc_id, '' AS text) FROM scored WHERE doc_id % 8 = 4")
+    S["marked_csv"] = S["csv_roundtrip"]
     S["reviews_csv_scan"] = (f"SELECT doc_id, {_awkward()} AS text FROM documents "
                              "UNION ALL SELECT -1 - doc_id, '' FROM documents WHERE doc_id % 8 = 4")
     S["drawn_training_set"] = f"""WITH {CORPUS}, {SPLIT},
