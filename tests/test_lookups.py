@@ -101,3 +101,18 @@ def test_keys_by_place_over_files(spark, tmp_path):
 def test_keys_by_place_of_nothing(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("text\n")
     assert read_reviews_by_place(spark, str(tmp_path)).collect() == []
+
+
+def test_keys_by_place_over_splits_of_one_file(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    rows = [f"row {i} " + "x" * (i % 50) for i in range(4000)]
+    path.write_text("text,n\n" + "".join(f"{'' if i % 9 == 4 else r},{i}\n" for i, r in enumerate(rows)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = read_reviews_by_place(spark, str(path), multiline=False)
+        want = [r for i, r in enumerate(rows) if i % 9 != 4]
+        assert [(r["doc_id"], r["text"]) for r in got.orderBy("doc_id").collect()] == list(enumerate(want))
+        assert spark.read.option("header", True).csv(str(path)).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
