@@ -44,7 +44,9 @@ def _key():
 
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and wordless texts fail them; null languages and sources are groups
+    of their own; texts are read whole; repeated rows are judged alike; an empty table stays one. Columns travel in a struct,
+    so none clashes with a name of the operator's."""
     rows = docs.select(F.struct(*docs.columns).alias("doc"), "text", "lang", "source")
     return judged(rows, "doc").filter("kept").select("doc.*")
 
@@ -52,7 +54,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates; of repeated rows one. Documents without
-    words are duplicates of nothing."""
+    words are duplicates of nothing. Which member stays is decided by a hash of doc_id and text, so ties are rows that are
+    equal in both; null ids are told apart by their texts. An empty table stays one; other columns travel in a struct."""
     named = written(ngram_components(docs.select(_key().alias("doc_id"), "text")), "components")
     verdict = (named.groupBy(F.col("doc_id").alias("k"))
                .agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("rows"))
@@ -65,7 +68,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Texts are searched whole; null and empty ones hold none; rows equal in doc_id
+    and text go or stay together; an empty table on either side changes nothing; other columns travel in a struct."""
     pairs = contaminated(docs.select(_key().alias("doc_id"), "text"), source(spark, sf_dir, "benchmark", "item_id", "text"))
     held = written(pairs.select(F.col("doc_id").alias("k")).distinct(), "contaminated")
     rows = docs.select(F.struct(*docs.columns).alias("doc"), _key().alias("k"))
@@ -74,13 +78,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts replaced by its kind."""
+    """All documents, with personal data in their texts replaced by its kind. Texts are searched whole; null and empty ones stay
+    as they are; repeated rows are changed alike; an empty table stays one; no other column is read or changed."""
     return redacted(docs)
 
 
 @_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of token ids."""
+    """All documents packed into sequences of token ids. A null or empty text is one piece with the end id alone; a null source
+    is the source ""; long texts are cut into pieces; repeated rows are packed each for itself; an empty table gives no rows."""
     return pack_documents(docs.select("doc_id", "text", "source"), default_path())
 
 
