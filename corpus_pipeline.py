@@ -79,7 +79,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data in their texts replaced by its kind. Texts are searched whole; null and empty ones stay
-    as they are; repeated rows are changed alike; an empty table stays one; no other column is read or changed."""
+    as they are; repeated rows are changed alike; an empty table stays one; of the other columns only ``n_chars`` follows."""
     return redacted(docs)
 
 
