@@ -35,6 +35,11 @@ def vocabulary(post: DataFrame, n_docs, size: int = fv.VOCABULARY_SIZE) -> DataF
     ``n_docs`` is an int or a scalar Column (see ``doc_count``)."""
     stats = post.groupBy("term").agg(F.sum("tf").cast("long").alias("cf"),
                                      F.count(F.lit(1)).alias("df"))
+    return vocabulary_of(stats, n_docs, size)
+
+
+def vocabulary_of(stats: DataFrame, n_docs, size: int = fv.VOCABULARY_SIZE) -> DataFrame:
+    """``vocabulary`` from (term, cf, df) of at least all terms that can be in it."""
     top = stats.orderBy(F.desc("cf"), F.asc("term")).limit(size)
     # at most ``size`` rows: a single-partition rank is fine here
     rank = F.row_number().over(Window.orderBy(F.desc("cf"), F.asc("term"))) - 1

@@ -11,11 +11,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustlens import fixed_values as fv
 from trustlens.functions.scores import (
     diversity_score, emotion_score, length_score, quality_score, rnd,
 )
 from trustlens.operators import aspects as asp
 from trustlens.operators.corpus import assign_split, class_units, class_weights, polar, weighted_draw, with_sentiment
+from trustlens.operators.frequent import frequent_terms, frequent_vocabulary
 from trustlens.operators.lemmas import clean_lemmas, suffix_rules
 from trustlens.operators.lexicon import dedup_lexicon, emotion_stats, lexicon_from_labels
 from trustlens.operators.linear_head import aspects_text, linear_head_scores
@@ -78,6 +80,13 @@ def q_candidate_terms(spark: SparkSession, sf: str) -> DataFrame:
     return asp.candidate_terms(q_lemma_counts_by_class(spark, sf))
 
 
+def q_frequent_lemmas(spark: SparkSession, sf: str) -> DataFrame:
+    """AG-1, AG-2, TOP-1 from summaries of bounded size and a second count of the candidates."""
+    lem = _lemmas(spark, sf)[1].filter(F.col("sentiment").isin("positive", "negative"))
+    rows = lem.select(F.col("lemma").alias("term"), F.lit(1).alias("n"))
+    return frequent_terms(rows, fv.CANDIDATE_POOL_SIZE).select(F.col("term").alias("lemma"), "n")
+
+
 def _weak(spark, sf):
     c, lem = _lemmas(spark, sf)
     return asp.weak_aspect_labels(c, asp.lemma_counts(lem), fx.aspect_seeds(spark), fx.ASPECT_CLASSES)
@@ -173,6 +182,12 @@ def q_tfidf_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("term", "idx", "cf", "df", rnd("idf", 9).alias("idf"))
 
 
+def q_frequent_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """AG-10, TOP-2 from summaries of bounded size and a second count of the candidates."""
+    v = frequent_vocabulary(_docs(spark, sf))
+    return v.select("term", "idx", "cf", "df", rnd("idf", 9).alias("idf"))
+
+
 def q_tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf)
     post = cached(postings(d))
@@ -450,6 +465,7 @@ QUERIES = {
     "clean_lemmas": q_clean_lemmas,
     "lemma_counts_by_class": q_lemma_counts_by_class,
     "candidate_terms": q_candidate_terms,
+    "frequent_lemmas": q_frequent_lemmas,
     "aspect_dictionary": q_aspect_dictionary,
     "aspect_dictionary_full": q_aspect_dictionary_full,
     "learned_lemmas": q_learned_lemmas,
@@ -462,6 +478,7 @@ QUERIES = {
     "score_quality": q_score_quality,
     "score_emotion": q_score_emotion,
     "tfidf_vocabulary": q_tfidf_vocabulary,
+    "frequent_vocabulary": q_frequent_vocabulary,
     "tfidf_weights": q_tfidf_weights,
     "similarity_score": q_similarity_score,
     "similarity_approximate": q_similarity_approximate,

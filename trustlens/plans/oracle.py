@@ -242,6 +242,7 @@ def oracle_sql() -> dict[str, str]:
     S["clean_lemmas"] = f"WITH {CORPUS}, {SPLIT}, {LEMMAS} SELECT doc_id, pos, lemma FROM lem"
     S["lemma_counts_by_class"] = f"WITH {CORPUS}, {SPLIT}, {LEMMAS} SELECT sentiment, lemma, n FROM cnt"
     S["candidate_terms"] = f"WITH {CORPUS}, {SPLIT}, {LEMMAS} SELECT lemma, n FROM cand"
+    S["frequent_lemmas"] = S["candidate_terms"]
     S["aspect_dictionary"] = f"WITH {CORPUS}, {SPLIT}, {LEMMAS} SELECT aspect_pos, aspect, term FROM dict"
     S["aspect_dictionary_full"] = (f"WITH {CORPUS}, {SPLIT}, {LEMMAS} SELECT aspect_pos, aspect, seed AS term FROM seeds UNION "
                                    f"SELECT s.aspect_pos, s.aspect, c.lemma FROM (SELECT DISTINCT lemma FROM cnt) c JOIN seeds s "
@@ -264,6 +265,7 @@ SELECT term, max_by(tag, pos) AS tag, max_by(value, pos) AS value FROM raw GROUP
                           f"{rnd(_emotion(), 9)} AS emotion FROM docs d LEFT JOIN emo USING (doc_id)")
     S["tfidf_vocabulary"] = f"WITH {DOCS}, {TFIDF} SELECT term, idx, cf, df, {rnd('idf', 9)} AS idf FROM vocab"
     S["tfidf_weights"] = f"WITH {DOCS}, {TFIDF} SELECT doc_id, term, {rnd('w', 9)} AS weight FROM uv"
+    S["frequent_vocabulary"] = S["tfidf_vocabulary"]
     S["similarity_score"] = f"WITH {DOCS}, {TFIDF} SELECT doc_id, max_sim, similarity FROM sim"
     S["similarity_recall"] = f"WITH {DOCS}, {TFIDF} SELECT count(max_sim) AS near, true AS recall_enough, true AS none_beyond FROM sim"
     S["linear_head_scores"] = (f"WITH {DOCS}, {_head()} SELECT doc_id, sentiment, p_positive, confidence_pct, "
