@@ -5,11 +5,12 @@ with all documents; a node heavier than the target is split along the dimension
 is widest, at the weighted median (weight: bytes), until leaves have reached the target. Medians are
 found together for all nodes of a level: weights are summed over 4096 intervals, then over 4096 parts of
 the interval that holds the median, and so on. So each round sends the driver at most 4096 rows
-per node, whatever the number of documents, and the cut is exact to 2**-36 of the line.
+per node, whatever the number of documents, and the cut is exact.
 
 Behind a document's place on the line stands a hash, so a place that holds a third of all rows (a hot
-source) can be cut too. Equal texts share place and hash and stay together, unless their group
-weighs more than ``HEAVY`` of a leaf; then its documents have hashes of their own.
+source) can be cut too. Equal texts share one place and the leading bits of the hash, so that they lie
+side by side on every line; a group of at most ``HEAVY`` of a leaf shares all bits and is never cut. A heavier one
+goes on with hashes of its documents: it is cut only where a median falls into it.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from trustlens.llm.common import source, written
 
 SHARDS = 16
 DIMENSIONS = ("size", "lang", "source")
-#: share of a leaf from which a group of equal texts is split
-HEAVY = 0.02
-#: bits of a place, of the hash behind it, and of one round of the search
-PLACE_BITS, HASH_BITS, ROUND_BITS, SEARCH = 20, 40, 12, 3
+#: share of a leaf up to which a group of equal texts is never cut (leaves are then off by less than that share)
+HEAVY = 0.05
+#: bits of a place, of a text's hash behind it and of what follows; of one round of the search, and rounds
+PLACE_BITS, TEXT_BITS, DOC_BITS, ROUND_BITS, SEARCH = 20, 12, 16, 12, 4
+HASH_BITS = TEXT_BITS + DOC_BITS
 #: documents that are numbered together
 SLOT_ROWS = 2000
 
@@ -49,23 +51,22 @@ def points(docs: DataFrame, leaf: float) -> DataFrame:
                                               F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = written(groups.withColumn("heavy", F.col("n") * F.col("size") > HEAVY * leaf), "groups")
     rows = rows.join(groups, ["same", "size"], "left")
-    light = F.coalesce(~F.col("heavy"), F.lit(False))
-    tie = F.when(light | F.col("heavy").isNull(), F.xxhash64("same", F.lit(1))).otherwise(F.xxhash64("same", "doc_id"))
+    top = lambda x, bits: F.shiftrightunsigned(x, 64 - bits)
+    low = F.when(F.coalesce(F.col("heavy"), F.lit(False)), F.xxhash64("same", "doc_id")).otherwise(F.xxhash64("same", F.lit(2)))
+    tie = F.shiftleft(top(F.xxhash64("same", F.lit(1)), TEXT_BITS), DOC_BITS) + top(low, DOC_BITS)
+    shared = lambda c: F.when(F.col("n").isNotNull(), F.col(f"g_{c}")).otherwise(F.col(c))
     line = {"size": F.least(F.lit((1 << PLACE_BITS) - 1), F.floor(F.log2(F.col("size").cast("double")) * (1 << (PLACE_BITS - 6)))),
-            "lang": _place(F.when(light, F.col("g_lang")).otherwise(F.col("lang"))),
-            "source": _place(F.when(light, F.col("g_source")).otherwise(F.col("source")))}
-    return rows.select("doc_id", "size", "text_crc32", F.shiftrightunsigned(tie, 64 - HASH_BITS).alias("tie"),
+            "lang": _place(shared("lang")), "source": _place(shared("source"))}
+    return rows.select("doc_id", "size", "text_crc32", tie.alias("tie"),
                        *[line[d].cast("long").alias(f"p{i}") for i, d in enumerate(DIMENSIONS)])
 
 
-def _node_of(splits: dict[int, tuple[int, int]]):
-    """A document's node under the splits (node -> dimension, cut); the root is 1, children 2n and 2n + 1."""
-    def below(n: int):
-        if n not in splits:
-            return F.lit(n)
-        d, cut = splits[n]
-        return F.when(_coordinate(d) <= F.lit(cut), below(2 * n)).otherwise(below(2 * n + 1))
-    return below(1)
+def _split(placed: DataFrame, cuts: dict[int, tuple[int, int]]) -> DataFrame:
+    """``placed`` with its nodes (node -> dimension, cut) split; the root is 1, children 2n and 2n + 1."""
+    node = F.col("node")
+    for n, (d, cut) in cuts.items():
+        node = F.when(F.col("node") == n, F.lit(2 * n) + (_coordinate(d) > F.lit(cut)).cast("int")).otherwise(node)
+    return placed.withColumn("node", node)
 
 
 def _coordinate(d: int):
@@ -98,24 +99,23 @@ def _medians(rows: DataFrame, widest: dict[int, int], weight: dict[int, int]) ->
     return {n: ((found[n] + (2 * below[n] + last[n] < weight[n])) << shift) - 1 for n in widest}
 
 
-def kd_splits(rows: DataFrame, target: float) -> dict[int, tuple[int, int]]:
-    """The tree's splits for leaves of about ``target`` bytes (a power of two of them)."""
-    splits: dict[int, tuple[int, int]] = {}
+def kd_leaves(rows: DataFrame, target: float) -> DataFrame:
+    """``rows`` with their leaves (``node``) in the tree for leaves of about ``target`` bytes (a power of two of
+    them). The nodes of a level are written: a median's search reads them as a column."""
     edges = [f(F.col(f"p{i}")).alias(f"{f.__name__}{i}") for i in range(len(DIMENSIONS)) for f in (F.min, F.max)]
-    span, level = None, 0
+    placed, span, level = written(rows.withColumn("node", F.lit(1)), "nodes"), None, 0
     while True:
-        placed = rows.withColumn("node", _node_of(splits))
         nodes = placed.groupBy("node").agg(F.sum("size").alias("w"), *edges).collect()
         if not nodes:
-            return splits
+            return placed
         if span is None:
             span = [max(1, nodes[0][f"max{i}"] - nodes[0][f"min{i}"]) for i in range(len(DIMENSIONS))]
             depth = max(0, round(log2(max(1.0, nodes[0]["w"] / target))))
         if level == depth:
-            return splits
+            return placed
         widest = {r["node"]: max(range(len(span)), key=lambda i: ((r[f"max{i}"] - r[f"min{i}"]) / span[i], -i)) for r in nodes}  # noqa: B023
         cuts = _medians(placed, widest, {r["node"]: r["w"] for r in nodes})
-        splits.update({n: (widest[n], cuts[n]) for n in widest})
+        placed = written(_split(placed, {n: (widest[n], cuts[n]) for n in widest}), "nodes")
         level += 1
 
 
@@ -130,14 +130,10 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         raise ValueError("the number of shards must be a power of two")
     text = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))) + 1
     total, n = docs.agg(F.sum(text), F.count(F.lit(1))).first()
-    rows = written(points(docs, (total or 0) / shards), "points")
-    splits = kd_splits(rows, (total or 1) / shards)
-    depth = int(log2(shards))
-    # a leaf above the last level (too few documents to split) keeps the leftmost number below it
-    leaf = _node_of(splits)
+    leaves = kd_leaves(points(docs, (total or 0) / shards), (total or 1) / shards)
     part = max(1, ceil((n or 0) / shards / SLOT_ROWS))
-    placed = (rows.withColumn("leaf", leaf)
-              .withColumn("shard", (F.expr(f"shiftleft(leaf, {depth} - cast(floor(log2(leaf)) as int))") - shards).cast("int"))
+    # every row is in a node of the last level, whose leftmost node is ``shards``
+    placed = (leaves.withColumn("shard", (F.col("node") - shards).cast("int"))
               .withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(part)).cast("int"))
               .select("doc_id", "size", "text_crc32", "shard", "part"))
     placed = written(placed, "placed")
