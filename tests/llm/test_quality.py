@@ -98,3 +98,19 @@ def test_planted_repeats_and_light_symbols_go(spark):
     assert not any(r.kept for r in rows if kinds[r.doc_id] and not r.base_failed)
     assert {kinds[r.doc_id] for r in rows if not r.base_failed} == {None, "windows", "lines", "symbols"}
     assert sum(not r.kept for r in rows if kinds[r.doc_id] is None) <= 2
+
+
+def test_a_small_pool_is_held_against_all(spark):
+    """Rare languages, too few altogether for an estimate of their own: junk goes, prose stays."""
+    rng = np.random.default_rng(11)
+    docs = []
+    for i in range(430):
+        w = [f"{''.join(rng.choice(list('abcdefgh'), rng.integers(3, 8)))}" for _ in range(rng.integers(100, 300))]
+        lang = "en" if i < 400 else f"rare{i % 3}"
+        if i >= 400 and i % 10 == 0:
+            w = [f"{x}%%%" for x in w]
+        docs.append((i, "\n".join(" ".join(w[k:k + 12]) for k in range(0, len(w), 12)), lang, "s"))
+    rows = q.judged(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), "doc_id").collect()
+    kept = {r.doc_id: r.kept for r in rows}
+    assert [kept[d] for d in (400, 410, 420)] == [False] * 3
+    assert sum(not kept[d] for d in kept if d < 400 or d % 10) <= 2

@@ -9,7 +9,8 @@ reweight once. Documents whose squared Mahalanobis distance exceeds ``CUT`` are
 
 Groups are estimated by grouped sums and percentile sketches (combined before the shuffle), so
 a hot source costs a row per task. Groups of fewer than ``LEAST`` documents are pooled by
-language, then altogether; a pool that is still smaller rejects nothing.
+language, then altogether; where that pool is still smaller, its documents are held against the
+estimate over all documents. Only a corpus whose estimate rests on fewer than ``LEAST`` / 2 documents rejects nothing.
 """
 
 from __future__ import annotations
@@ -182,13 +183,17 @@ def judged(docs: DataFrame, *carry: str, least: int = LEAST, cut: float = CUT) -
     """(carry..., statistics, base_failed, distance2, kept) of every row of ``docs``.
 
     ``docs`` has text, lang and source (nulls are values of their own); ``carry`` names columns
-    to keep, of its others none matters. A null, empty or wordless text fails the plain rules.
-    Repeated rows are judged alike; an empty table gives an empty result.
+    to keep, of its others none matters. A null, empty or wordless text fails the plain rules. Very long texts are
+    read whole, as any other, within their row. Repeated rows are judged alike, and so are rows with equal statistics in
+    one group (a distance equal to ``cut`` is kept); an empty table gives an empty result.
     """
     keys = [c for c in ("lang", "source") if c not in carry]
     rows = written(with_base(text_statistics(docs, *carry, *keys)).withColumns(transformed()), "statistics")
     named = written(group_names(rows, least), "groups")
     usable = written(with_groups(rows.filter(~F.col("base_failed")).select("lang", "source", *NAMES), named).select("g", *NAMES), "usable")
+    pool = usable.filter("g = '*'").agg(F.count(F.lit(1))).scalar()
+    others = usable.filter(F.col("g") != "*").withColumn("g", F.lit("*")).filter((pool > 0) & (pool < least))
+    usable = written(usable.unionByName(others), "usable")
     far = with_distance(with_groups(rows, named), estimate(usable))
     out = F.col("n_est").isNotNull() & (F.col("n_est") >= least // 2) & (F.col("distance2") > cut)
     return far.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(out, F.lit(False))).drop("n_est", "g", *NAMES, *keys)
