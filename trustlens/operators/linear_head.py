@@ -17,6 +17,8 @@ from trustlens.functions.text import letter_tokens
 
 _DP = 6
 _UNIT = 10 ** 9
+#: characters of text that the batch scorer tokenises at once, in whole texts
+PART_CHARS = 1 << 20
 
 
 def _keys(sentiment_classes, aspect_classes):
@@ -90,8 +92,8 @@ def linear_head_scores(docs: DataFrame, coefs: DataFrame, sentiment_classes: lis
 
 def batch_scorer(path: str, sentiment_classes: list[str], aspect_classes: list[str], letters: str,
                  threshold: float = fv.ASPECT_THRESHOLD):
-    """The same head as a batch model read from a coefficient table's folder: term ids of a whole
-    Arrow batch, one sparse product with the weights in exact integer units of 1e-9, then the
+    """The same head as a batch model read from a coefficient table's folder: term ids of an
+    Arrow batch, in parts of about ``PART_CHARS`` characters, one sparse product with the weights in exact integer units of 1e-9, then the
     same double formulas as the column version."""
     import re
 
@@ -120,7 +122,7 @@ def batch_scorer(path: str, sentiment_classes: list[str], aspect_classes: list[s
     def sigmoid(z):
         return 1.0 / (1.0 + np.exp(-(z / float(_UNIT))))
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+    def part_scores(pdf: pd.DataFrame) -> pd.DataFrame:
         tokens = [strip.sub("", t.lower()).split() for t in pdf["text"]]
         ids = [[terms[t] for t in row if t in terms] for row in tokens]
         rows = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
@@ -137,6 +139,12 @@ def batch_scorer(path: str, sentiment_classes: list[str], aspect_classes: list[s
             "sentiment": np.where(p_pos > 0.5, sentiment_classes[1], sentiment_classes[0]),
             "p_positive": rounded(p_pos, _DP), "confidence_pct": rounded(np.maximum(p_pos, p_neg) * 100, 1),
             "aspects": [", ".join(names[o[m]]) if m.any() else fv.NO_ASPECTS for o, m in zip(order, listed)]})
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        # texts' tokens are Python objects: those of some texts at a time, cut by characters
+        cut = np.cumsum(pdf["text"].str.len().to_numpy(np.int64)) // PART_CHARS
+        ends = [0, *(np.flatnonzero(np.diff(cut)) + 1), len(pdf)]
+        return pd.concat([part_scores(pdf.iloc[i:j]) for i, j in zip(ends[:-1], ends[1:])], ignore_index=True)
     return score
 
 

@@ -161,11 +161,19 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+#: rows of a batch that goes to a scorer
+BATCH_ROWS = 2000
+
+
 def score_partitions(df: DataFrame, make_scorer, schema: str) -> DataFrame:
     """Batch-score with a caller-supplied model function: ``make_scorer()`` is called once
     per partition (load the model there), then applied to each Arrow batch."""
     from trustlens.session import ship_package
     ship_package(df.sparkSession)
+    # texts are long: a worker holds so many rows at once
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(df.sparkSession.conf.get(key))
+    df.sparkSession.conf.set(key, min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)
 
     def run(batches):
         scorer = make_scorer()
