@@ -138,3 +138,48 @@ def test_gradient():
         down[i] -= 1e-3
         numeric = (loss(up, np.zeros(lm.PARAMETERS)) - loss(down, np.zeros(lm.PARAMETERS))) / 2e-3
         assert abs(numeric - grad[i]) < 2e-5 + 0.05 * abs(grad[i])
+
+
+def test_only_a_trainer_with_little_text_goes_over_it_again(monkeypatch):
+    monkeypatch.setattr(lm, "TRAINER_BYTES", 4000)
+    monkeypatch.setattr(lm, "STEPS", 5)
+    texts = [f"text {i} " * (i % 40) for i in range(200)]
+    value, seen, own = lambda v: type("Sent", (), {"value": v}), [], lm.step
+    vocabulary = lm.Vocabulary(np.ones(lm.Encoder.of(default_path()).size, np.int64))
+    batches = lm.pa.table({"text": texts}).to_batches(max_chunksize=9)
+    windows = [len(x) for (x, *_), _ in lm._text_pieces(lm.Encoder.of(default_path()), batches, vocabulary)]
+    monkeypatch.setattr(lm, "step", lambda p, first, x, *more: seen.append(len(x)) or own(p, first, x, *more))
+    run = lambda some: list(lm._trained(default_path(), value(lm.initial(vocabulary)), value(vocabulary),
+                                        float(sum(b.column("text").nbytes for b in some)))(iter(some)))
+    run(batches)
+    assert sum(seen) == sum(windows)
+    seen.clear()
+    run(batches[:1])
+    assert len(seen) >= lm.STEPS
+
+
+def test_slices_hold_all_ids_of_their_round(spark):
+    texts = ["", "one", None, "two words " * 90, "öäü!!", "x" * 700] * 5
+    rows = [(i, t, i % 4 == 3, i % lm.ROUNDS) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, turn int").repartition(3)
+    parts = lm.encoded(df, default_path(), 40)
+    blocks = {r.block: r.doc_ids for r in parts.filter("ids is null").collect()}
+    encoder, got = lm.Encoder.of(default_path()), {}
+    for batch in parts.filter("ids is not null").toArrow().to_batches():
+        for turn in (None, *range(lm.ROUNDS)):
+            for i in range(batch.num_rows):
+                for ids, bounds, size in lm._slices(None, batch.slice(i, 1), turn):
+                    whole = turn is None
+                    place = batch.column("first")[i].as_py()
+                    names = blocks[batch.column("block")[i].as_py()][place:] if whole else None
+                    for k in range(len(bounds) - 1):
+                        got.setdefault(turn, []).append((names[k] if whole else None, ids[bounds[k]:bounds[k + 1]].tolist()))
+                    got[turn, "size"] = got.get((turn, "size"), 0) + size
+    want = {}
+    for d, t, held, turn in rows:
+        (_, _, ids, _), = encoder.documents(lm.pa.array([t], lm.pa.string()))
+        for k in (None, *([] if held else [turn])):
+            want.setdefault(k, []).append((d if k is None else None, ids.tolist()))
+            want[k, "size"] = want.get((k, "size"), 0) + len((t or "").encode())
+    order = lambda v: sorted(v, key=repr) if isinstance(v, list) else v
+    assert {k: order(v) for k, v in got.items()} == {k: order(v) for k, v in want.items()}

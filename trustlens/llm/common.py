@@ -48,11 +48,11 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     sc._jvm.System.gc()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, lineage cut."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

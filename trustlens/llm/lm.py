@@ -5,12 +5,15 @@ plus a learned position; one causal attention layer with a residual; a softmax i
 in order of frequency fall into classes of about equal mass, an output picks the class and one of
 the class's own the id. Ids beyond the ranked ones are a class that their add-one frequencies divide.
 
+Encoding. Every text is encoded once: its ids are written in slices (about a megabyte of text each), beside
+the blocks below, and counting, training and scoring read the slices.
+
 Training. Id counts and parameters learn from every training document. A trainer is a partition of the
-scan (at least ``TRAINER_BYTES`` of text, so their number follows the corpus). Each starts from the same
+slices (at least ``TRAINER_BYTES`` of text, so their number follows the corpus). Each starts from the same
 parameters and runs Adam over all windows of its documents, a piece of text at a time; parameters are then
 averaged, weighted by tokens, as a grouped sum per parameter; the next round, over the documents that the
-first one left, starts from the average. No text is shuffled or written. Parameters and id counts have a
-fixed size, so only they meet the driver.
+first one left, starts from the average. A trainer with text for fewer than ``STEPS`` steps goes over its
+pieces again. No text is shuffled. Parameters and id counts have a fixed size, so only they meet the driver.
 
 Scoring. A text is cut into windows of ``CONTEXT`` inputs that overlap by ``OVERLAP``; each id is
 scored once, in the first window that holds it, with batched masked attention.
@@ -23,13 +26,14 @@ word, and go back to the blocks that hold the word.
 from __future__ import annotations
 
 import ctypes
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlens.llm.common import ready, source, written
+from trustlens.llm.common import give_back, ready, source, written
 from trustlens.llm.subwords import END_ID, Encoder, default_path
 from trustlens.llm.words import hashed_rows, mix
 
@@ -39,8 +43,10 @@ CONTEXT, OVERLAP, WIDTH, INPUTS = 32, 8, 16, 2048
 HEAD, RANKED, WIDEST = 80, 2048, 96
 #: every training document is in one of so many rounds
 ROUNDS = 2
-#: text of a trainer at least and of its pieces, windows in a step, step length, steps at least (over the same windows again)
+#: text of a trainer at least and of its pieces, windows in a step, step length, steps of a trainer at least (over the same windows again)
 TRAINER_BYTES, STEP_WINDOWS, RATE, STEPS = 4 << 20, 192, 0.02, 200
+#: bytes of written slices and blocks that a task reads
+SPLIT_BYTES = 32 << 20
 #: words in a block of texts
 BLOCK_WORDS = 2_000_000
 #: stands for the end of a text among word hashes
@@ -104,7 +110,8 @@ def initial(vocabulary: Vocabulary, seed: int = 7) -> np.ndarray:
     return flat
 
 
-_MASK = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
+#: what a place of a window sees: itself and those before
+_SEEN = np.tri(CONTEXT, dtype=np.float32)
 START = INPUTS  # the input before a text's first id
 
 
@@ -114,65 +121,98 @@ def _by_group(group: np.ndarray, first: np.ndarray):
     return order, np.searchsorted(group[order], np.arange(len(first), dtype=group.dtype)).tolist()
 
 
-def _groups(group: np.ndarray, first: np.ndarray):
-    """(class, its rows, its ranks) of the classes of several ids that occur."""
-    order, cuts = _by_group(group, first)
-    for c in range(len(first) - 2):
-        if cuts[c] < cuts[c + 1] and first[c + 1] - first[c] > 1:
-            yield c, order[cuts[c]:cuts[c + 1]], slice(first[c], first[c + 1])
+def _exp(z: np.ndarray) -> np.ndarray:
+    """exp in place, up to a factor by row that a softmax divides out."""
+    if z.size and (z.max() > 60 or z.min() < -60):
+        z -= z.max(-1, keepdims=True)
+    return np.exp(z, out=z)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+def _inner(weights: np.ndarray, first: np.ndarray, h: np.ndarray, group: np.ndarray, rank: np.ndarray, w: np.ndarray, g: np.ndarray):
+    """Loss of ids within their classes, and its gradient: to the weights into g, and (rows, gradient to those rows of h)."""
+    order, cuts = _by_group(group, first)
+    begin, widths = first[:-2], np.diff(first[:-1])
+    sizes = np.diff(cuts)[:len(begin)] * (widths > 1)
+    order = order[np.repeat(widths > 1, np.diff(cuts)[:len(begin)]).nonzero()[0]]  # neither classes of one id nor the last
+    h, rank, w = h.take(order, axis=0), rank.take(order), w.take(order)
+    rows, cells = np.cumsum(sizes) - sizes, np.cumsum(sizes * widths) - sizes * widths
+    cls = np.repeat(np.arange(len(begin)), sizes)
+    picked = cells[cls] + (np.arange(len(order)) - rows[cls]) * widths[cls] + rank - begin[cls]
+    # the logits of all classes lie end to end, so that most steps are taken once for all of them
+    flat, sums, dh = np.empty(int((sizes * widths).sum()), h.dtype), np.empty(len(order), h.dtype), np.empty((len(order), WIDTH), h.dtype)
+    ones, parts = np.ones(WIDEST, h.dtype), []
+    for n, m, row, cell, at in zip(sizes.tolist(), widths.tolist(), rows.tolist(), cells.tolist(), begin.tolist(), strict=True):
+        if n:
+            parts.append((slice(row, row + n), slice(at, at + m), flat[cell:cell + n * m].reshape(n, m)))
+            np.matmul(h[row:row + n], weights[:, at:at + m], out=parts[-1][2])
+    if flat.size and (flat.max() > 60 or flat.min() < -60):
+        for _, _, z in parts:
+            z -= z.max(1, keepdims=True)
+    np.exp(flat, out=flat)
+    for some, _, z in parts:
+        np.matmul(z, ones[:z.shape[1]], out=sums[some])
+    loss = -(np.log(np.maximum(flat[picked] / sums, 1e-30)) * w).sum()
+    scale = (w / sums)[:, None]
+    for some, _, z in parts:
+        z *= scale[some]
+    flat[picked] -= w
+    g[:] = 0
+    for some, ranks, z in parts:
+        g[:, ranks] = h[some].T @ z
+        np.matmul(z, weights[:-1, ranks].T, out=dh[some])
+    return loss, order, dh
 
 
 def step(p: dict, first: np.ndarray, x: np.ndarray, group: np.ndarray, rank: np.ndarray, live: np.ndarray, g: dict) -> float:
     """Loss of windows of inputs x and outputs (class, rank) where ``live``, and its gradient, into g."""
-    b = len(x)
-    e = p["embed"][x] + p["place"]
-    q, k, v = e @ p["query"], e @ p["key"], e @ p["value"]
-    a = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + _MASK
-    a = np.exp(a - a.max(2, keepdims=True))
-    a /= a.sum(2, keepdims=True)
-    c = a @ v
-    h = np.concatenate([(e + c @ p["out"]).reshape(-1, WIDTH), np.ones((b * CONTEXT, 1), np.float32)], 1)
-    rows, w, group, rank = np.arange(len(h)), live.ravel().astype(np.float32), group.ravel(), rank.ravel()
+    b, scale, kind = len(x), np.float32(WIDTH**-0.5), p["embed"].dtype
+    e = p["embed"].take(x, axis=0)
+    e += p["place"]
+    flat = e.reshape(-1, WIDTH)
+    three = np.concatenate([p["query"] * scale, p["key"], p["value"]], 1)
+    cut = [slice(i * WIDTH, (i + 1) * WIDTH) for i in range(3)]
+    q, k, v = ((flat @ three).reshape(b, CONTEXT, -1)[:, :, c] for c in cut)
+    a = _exp(np.matmul(q, k.transpose(0, 2, 1)))
+    a *= _SEEN
+    a /= (a @ np.ones(CONTEXT, kind))[:, :, None]
+    c = (a @ v).reshape(-1, WIDTH)
+    h = np.ones((len(flat), WIDTH + 1), kind)
+    np.add(flat, c @ p["out"], out=h[:, :WIDTH])
+    rows, w, group, rank = np.arange(len(h)), live.ravel().astype(kind), group.ravel(), rank.ravel()
     w /= max(1.0, float(w.sum()))
-    z = _softmax(h @ p["head"])
-    loss = -(np.log(np.maximum(z[rows, group], 1e-30)) * w).sum()
-    z[rows, group] -= 1
-    z *= w[:, None]
-    g["head"][:], dh = h.T @ z, z @ p["head"].T
-    g["inner"][:] = 0
-    for _, at, ranks in _groups(group, first):
-        own, weights = h[at], p["inner"][:, ranks]
-        z, y = _softmax(own @ weights), (np.arange(len(at)), rank[at] - ranks.start)
-        loss -= (np.log(np.maximum(z[y], 1e-30)) * w[at]).sum()
-        z[y] -= 1
-        z *= w[at, None]
-        g["inner"][:, ranks] = own.T @ z
-        dh[at] += z @ weights.T
-    dh = np.ascontiguousarray(dh[:, :WIDTH]).reshape(b, CONTEXT, WIDTH)
-    g["out"][:] = c.reshape(-1, WIDTH).T @ dh.reshape(-1, WIDTH)
+    z = _exp(h @ p["head"])
+    sums = z @ np.ones(HEAD, kind)
+    loss = -(np.log(np.maximum(z[rows, group] / sums, 1e-30)) * w).sum()
+    z *= (w / sums)[:, None]
+    z[rows, group] -= w
+    g["head"][:] = (z.T @ h).T
+    dh = z @ p["head"][:-1].T
+    inner, at, more = _inner(p["inner"], first, h, group, rank, w, g["inner"])
+    dh[at] += more
+    g["out"][:] = c.T @ dh
     dc = dh @ p["out"].T
-    da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    flat = e.reshape(-1, WIDTH).T
-    de = dh.copy()
-    for name, d in (("query", dq), ("key", dk), ("value", dv)):
-        g[name][:] = flat @ d.reshape(-1, WIDTH)
-        de += d @ p[name].T
-    g["place"][:] = de.sum(0)
+    inside = np.einsum("ij,ij->i", dc, c).reshape(b, CONTEXT, 1)  # of each place: its weights times their gradients
+    dc = dc.reshape(b, CONTEXT, WIDTH)
+    ds = dc @ v.transpose(0, 2, 1)
+    ds -= inside
+    ds *= a
+    d = np.empty((b, CONTEXT, 3 * WIDTH), kind)
+    d[:, :, cut[0]] = ds @ k
+    d[:, :, cut[1]] = ds.transpose(0, 2, 1) @ q
+    d[:, :, cut[2]] = a.transpose(0, 2, 1) @ dc
+    d = d.reshape(-1, 3 * WIDTH)
+    to = flat.T @ d
+    g["query"][:], g["key"][:], g["value"][:] = to[:, cut[0]] * scale, to[:, cut[1]], to[:, cut[2]]
+    de = dh
+    de += d @ three.T
+    g["place"][:] = de.reshape(b, CONTEXT, WIDTH).sum(0)
     g["embed"][:] = 0
-    order = np.argsort(x, axis=None, kind="stable")
-    seen, begin = np.unique(x.ravel()[order], return_index=True)
-    g["embed"][seen] = np.add.reduceat(de.reshape(-1, WIDTH)[order], begin)
-    return float(loss)
+    x = x.astype(np.int16).ravel()
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    begin = np.flatnonzero(np.diff(x, prepend=-1))
+    g["embed"][x[begin]] = np.add.reduceat(de.take(order, axis=0), begin)
+    return float(loss + inner)
 
 
 class Adam:
@@ -207,7 +247,7 @@ class Scorer:
         self.ones = np.ones(max(CONTEXT, HEAD, WIDEST), np.float32)
         self.logits = np.empty((windows * CONTEXT, HEAD), np.float32)
         self.weights = np.empty((windows, CONTEXT, CONTEXT), np.float32)
-        self.mask = (_MASK == 0).astype(np.float32)
+        self.mask = _SEEN
 
     def documents(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Natural log probability of each document's ids [bounds[i], bounds[i + 1])."""
@@ -288,16 +328,33 @@ def _free(encoder: Encoder) -> None:
         libc.malloc_trim(0)
 
 
-def _id_counts(tokenizer: str):
-    """How often each id occurs; the two numbers after the last id stand for bytes of text and tasks."""
+def _slices(encoder: Encoder | None, batch: pa.RecordBatch, turn: int | None = None):
+    """(ids, bounds, bytes of text) of a batch of texts, or of written slices: all documents or those of a turn."""
+    if "text" in batch.schema.names:
+        for a, b, ids, bounds in encoder.documents(batch.column("text")):
+            yield ids, bounds, batch.column("text").slice(a, b - a).nbytes
+        return
+    get = lambda c, i, t: np.frombuffer(batch.column(c)[i].as_buffer(), t)
+    for i in range(batch.num_rows):
+        lens, sizes = get("n_ids", i, "<u4").astype(np.int64), get("sizes", i, "<u4")
+        ids = get("ids", i, "<u2" if 2 * lens.sum() == batch.column("ids")[i].as_buffer().size else "<u4")
+        if turn is not None:
+            some = get("turns", i, np.int8) == turn
+            ids, lens, sizes = ids[np.repeat(some, lens)], lens[some], sizes[some]
+        if len(lens):
+            yield ids, np.concatenate([[0], np.cumsum(lens)]), int(sizes.sum())
+
+
+def _id_counts(size: int):
+    """How often each id occurs in training documents; the two numbers after the last id stand for bytes of text and tasks."""
     def run(batches):
-        encoder = Encoder.of(tokenizer)
-        total = np.zeros(encoder.size + 2, np.int64)
+        total = np.zeros(size + 2, np.int64)
         for batch in batches:
-            total[-2:] = total[-2] + batch.column("text").nbytes, 1
-            for _, _, ids, _ in encoder.documents(batch.column("text")):
-                total[:-2] += np.bincount(ids, minlength=encoder.size)
-        _free(encoder)
+            for turn in range(ROUNDS):
+                for ids, _, text in _slices(None, batch, turn):
+                    total[:-2] += np.bincount(ids, minlength=size)
+                    total[-2] += text
+            total[-1] = 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
     return run
@@ -318,29 +375,31 @@ def _windows(ids: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary):
     return inputs[at], vocabulary.group[ids[at]], vocabulary.rank[ids[at]], live
 
 
-def _text_pieces(encoder: Encoder, batches, vocabulary: Vocabulary):
+def _text_pieces(encoder: Encoder | None, batches, vocabulary: Vocabulary, turn: int | None = None):
     """(windows, bytes) of about ``TRAINER_BYTES`` of text at a time."""
     parts, size = [], 0
     for batch in batches:
-        parts += [_windows(ids, bounds, vocabulary) for _, _, ids, bounds in encoder.documents(batch.column("text"))]
-        size += batch.column("text").nbytes
-        if parts and size >= TRAINER_BYTES:
-            yield [np.concatenate(c) for c in zip(*parts, strict=True)], size
-            parts, size = [], 0
+        for ids, bounds, text in _slices(encoder, batch, turn):
+            parts.append(_windows(ids, bounds, vocabulary))
+            size += text
+            if size >= TRAINER_BYTES:
+                yield [np.concatenate(c) for c in zip(*parts, strict=True)], size
+                parts, size = [], 0
     if parts:
         yield [np.concatenate(c) for c in zip(*parts, strict=True)], size
 
 
-def _trained(tokenizer: str, flat, vocabulary, expected: float):
+def _trained(tokenizer: str, flat, vocabulary, expected: float, turn: int | None = None):
     """Parameters times tokens, and tokens, of a trainer of about ``expected`` bytes."""
     def run(batches):
-        encoder, words = Encoder.of(tokenizer), vocabulary.value
         own, grad = flat.value.copy(), np.zeros(PARAMETERS, np.float32)
-        p, g, adam = split(own), split(grad), Adam(own, RATE)
+        p, g, adam, words = split(own), split(grad), Adam(own, RATE), vocabulary.value
+        encoder = Encoder.of(tokenizer) if turn is None else None
         rng, tokens, done = np.random.default_rng(11), 0, 0.0
-        for (x, y, r, live), size in _text_pieces(encoder, batches, words):
+        for (x, y, r, live), size in _text_pieces(encoder, batches, words, turn):
             steps, t = -(-len(x) // STEP_WINDOWS), 0
-            total = steps * (1 if tokens else -(-STEPS // steps))
+            # the steps that all of the trainer's text makes, not this piece alone, decide whether it is gone over again
+            total = steps * (1 if adam.t >= STEPS else -(-STEPS // max(steps, int(steps * expected / max(1, size)))))
             while t < total:
                 order = rng.permutation(len(x))
                 for a in range(0, len(order), STEP_WINDOWS):
@@ -351,7 +410,9 @@ def _trained(tokenizer: str, flat, vocabulary, expected: float):
                     t += 1
             tokens += int(live.sum())
             done += size
-        _free(encoder)
+        if encoder is not None:
+            _free(encoder)
+        give_back()
         if tokens:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(PARAMETERS)), pa.array(own.astype(np.float64) * tokens), pa.array(np.full(PARAMETERS, float(tokens)))],
@@ -359,71 +420,124 @@ def _trained(tokenizer: str, flat, vocabulary, expected: float):
     return run
 
 
+@contextmanager
+def _split_small(spark: SparkSession):
+    """Written slices are read by enough tasks to train in parallel: they are smaller than their texts' scan."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(SPLIT_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def train(docs: DataFrame, tokenizer: str) -> tuple[np.ndarray, Vocabulary]:
     """(parameters, vocabulary) from all training documents ``docs`` (text, draw: a uniform long)."""
-    spark = docs.sparkSession
-    counts = np.zeros(Encoder.of(tokenizer).size + 2, np.int64)
-    got = docs.select("text").mapInArrow(_id_counts(tokenizer), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    counts[got["id"].to_numpy()] = got["n"].to_numpy()
-    vocabulary, size = Vocabulary(counts[:-2]), int(counts[-2]) / ROUNDS
-    flat, words = initial(vocabulary), spark.sparkContext.broadcast(vocabulary)
-    docs = docs.select("text", F.pmod(F.expr("draw div 1024"), F.lit(ROUNDS)).alias("turn"))
-    trainers = max(1, min(round(size / TRAINER_BYTES), int(counts[-1])))
-    for turn in range(ROUNDS):
-        start = spark.sparkContext.broadcast(flat)
-        mean = (docs.filter(F.col("turn") == turn).select("text").coalesce(trainers)
-                .mapInArrow(_trained(tokenizer, start, words, max(1.0, size / trainers)), "i long, v double, w double")
-                .groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toArrow())
-        if mean.num_rows:
-            flat = flat.copy()
-            flat[mean["i"].to_numpy()] = mean["v"].to_numpy()
+    rows = docs.select(F.lit(0).cast("long").alias("doc_id"), "text", F.lit(False).alias("held_out"), _turn("draw"))
+    return fit(encoded(rows, tokenizer, BLOCK_WORDS), tokenizer)
+
+
+def _turn(draw: str):
+    return F.pmod(F.expr(f"{draw} div 1024"), F.lit(ROUNDS)).cast("int").alias("turn")
+
+
+def fit(slices: DataFrame, tokenizer: str) -> tuple[np.ndarray, Vocabulary]:
+    """(parameters, vocabulary) from the training documents of written slices."""
+    spark = slices.sparkSession
+    slices = slices.filter("ids is not null").select("sizes", "turns", "n_ids", "ids")
+    n = Encoder.of(tokenizer).size
+    counts = np.zeros(n + 2, np.int64)
+    with _split_small(spark):
+        got = slices.mapInArrow(_id_counts(n), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+        counts[got["id"].to_numpy()] = got["n"].to_numpy()
+        vocabulary, size = Vocabulary(counts[:-2]), int(counts[-2]) / ROUNDS
+        flat, words = initial(vocabulary), spark.sparkContext.broadcast(vocabulary)
+        trainers = max(1, min(round(size / TRAINER_BYTES), int(counts[-1])))
+        for turn in range(ROUNDS):
+            start = spark.sparkContext.broadcast(flat)
+            mean = (slices.coalesce(trainers)
+                    .mapInArrow(_trained(tokenizer, start, words, max(1.0, size / trainers), turn), "i long, v double, w double")
+                    .groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toArrow())
+            if mean.num_rows:
+                flat = flat.copy()
+                flat[mean["i"].to_numpy()] = mean["v"].to_numpy()
     return flat, vocabulary
 
 
-# ------------------------------------------------------------------ blocks, word counts, scores
+# ------------------------------------------------------------------ slices and blocks, word counts, scores
 
-_BLOCKS = ("block long, doc_ids array<long>, held array<boolean>, lens binary, scores binary, words binary, counts binary, places binary")
+#: a row is a slice (the documents of a block from ``first`` on: bytes of text, round or -1 for held out, ids) or a block
+_ENCODED = ("block long, first long, sizes binary, turns binary, n_ids binary, ids binary, "
+            "doc_ids array<long>, held array<boolean>, lens binary, words binary, counts binary, places binary")
+_KINDS = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
 
 
-def _blocks(tokenizer: str, flat, vocabulary, block_words: int):
+def _encode(tokenizer: str, block_words: int):
     def run(batches):
         from pyspark import TaskContext
-        encoder, scorer = Encoder.of(tokenizer), Scorer(flat.value, vocabulary.value)
+        encoder = Encoder.of(tokenizer)
+        kind = "<u2" if encoder.size <= 1 << 16 else "<u4"
         number = TaskContext.get().partitionId() << 32
-        ids, held, lens, scores, words, n = [], [], [], [], [], 0
+        ids, held, lens, words, n = [], [], [], [], 0
+
+        def row(**values):
+            columns = [c.split() for c in _ENCODED.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([values.get(c)], _KINDS[t]) for c, t in columns], names=[c for c, _ in columns])
 
         def block():
             w, place = np.unique(np.concatenate(words), return_inverse=True)
             size = np.concatenate(lens)
             known = np.repeat(~np.array(held, bool), size)
-            count = np.bincount(place[known], minlength=len(w)).astype("<u4")
-            row = [number, ids, held, size.astype("<i8").tobytes(), np.concatenate(scores).astype("<f8").tobytes(),
-                   w.tobytes(), count.tobytes(), place.astype("<u4").tobytes()]
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5)
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)],
-                                              names=[c.split()[0] for c in _BLOCKS.split(", ")])
+            count = np.bincount(place[known], minlength=len(w))
+            return row(block=number, doc_ids=ids, held=held, lens=size.astype("<i8").tobytes(), words=w.tobytes(),
+                       counts=count.astype("<u4").tobytes(), places=place.astype("<u4").tobytes())
 
         for batch in batches:
-            keys, out = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-            col = batch.column("text")
-            for a, b, _, _, _, _, bounds, h in hashed_rows(col):
-                got = [scorer.documents(i, o) for _, _, i, o in encoder.documents(col.slice(a, b - a))]
-                scores += [g / np.log(10) for g in got]
+            keys, out, col = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text")
+            turns = np.where(batch.column("held_out").to_numpy(zero_copy_only=False), -1, batch.column("turn").to_numpy()).astype(np.int8)
+            for a, b, offsets, _, _, _, bounds, h in hashed_rows(col):
+                first = len(ids)
                 words.append(np.insert(h, bounds[1:], END_WORD))
                 lens.append(np.diff(bounds) + 1)
                 ids += keys[a:b]
                 held += out[a:b]
+                for c, d, i, o in encoder.documents(col.slice(a, b - a)):
+                    yield row(block=number, first=first + c, sizes=np.diff(offsets[c:d + 1]).astype("<u4").tobytes(),
+                              turns=turns[a + c:a + d].tobytes(), n_ids=np.diff(o).astype("<u4").tobytes(), ids=i.astype(kind).tobytes())
                 n += len(words[-1])
                 if n >= block_words:
                     yield block()
                     number += 1
-                    ids, held, lens, scores, words, n = [], [], [], [], [], 0
+                    ids, held, lens, words, n = [], [], [], [], 0
         if ids:
             yield block()
         _free(encoder)
     return run
 
 
+def encoded(rows: DataFrame, tokenizer: str, block_words: int) -> DataFrame:
+    """Slices and blocks of all rows (doc_id, text, held_out, turn), written once."""
+    rows = rows.select("doc_id", "text", "held_out", "turn")
+    return written(rows.mapInArrow(_encode(tokenizer, block_words), _ENCODED), "encoded", compression="zstd")
+
+
+def _slice_scores(flat, vocabulary):
+    """(block, place, c, score) of every document of written slices."""
+    def run(batches):
+        scorer = Scorer(flat.value, vocabulary.value)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for ids, bounds, _ in _slices(None, batch.slice(i, 1)):
+                    score = scorer.documents(ids, bounds) / np.log(10)
+                    place = batch.column("first")[i].as_py() + np.arange(len(score))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(score), batch.column("block")[i].as_py())), pa.array(place.astype(np.int32)),
+                         pa.array(np.full(len(score), -1)), pa.array(score)], names=["block", "place", "c", "score"])
+        give_back()
+    return run
+
+
 def _block_words(batches):
     """(block, place, word, n) of every distinct word of the blocks."""
     for batch in batches:
@@ -443,18 +557,22 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def _scored(total: int, distinct: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
+        place_of, count, score = (right[c].to_numpy() for c in ("place", "c", "score"))
+        word = count >= 0  # the other rows hold a document's score
         for row in left.to_batches():
             for i in range(row.num_rows):
                 get = lambda c, t: np.frombuffer(row.column(c)[i].as_buffer(), t)  # noqa: B023, E731
-                c = np.zeros(len(get("words", np.int64)), np.int64)
-                c[right["place"].to_numpy()] = right["c"].to_numpy()
+                c = np.zeros(row.column("distinct")[i].as_py(), np.int64)
+                c[place_of[word]] = count[word]
                 lens, place = get("lens", "<i8"), get("places", "<u4")
+                scores = np.empty(len(lens))
+                scores[place_of[~word]] = score[~word]
                 at = np.cumsum(lens) - lens
                 base = np.add.reduceat(np.log10(c + 1.0)[place], at) - lens * np.log10(total + distinct + 1.0)
                 known = np.add.reduceat((c > 0).astype(np.int64)[place], at)
                 out.append(pa.Table.from_arrays(
                     [row.column("doc_ids")[i].values, row.column("held")[i].values, pa.array(lens), pa.array(known),
-                     pa.array(np.full(len(lens), total)), pa.array(base), pa.array(get("scores", "<f8"))],
+                     pa.array(np.full(len(lens), total)), pa.array(base), pa.array(scores)],
                     names=[x.split()[0] for x in _SCORED.split(", ")]))
         return pa.concat_tables(out)
     return run
@@ -471,15 +589,20 @@ def score_documents(docs: DataFrame, tokenizer: str, block_words: int = BLOCK_WO
     spark = ready(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
-    rows = rows.withColumn("held_out", held)
-    flat, vocabulary = train(rows.filter("not held_out").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("draw")), tokenizer)
+    rows = rows.select("*", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("draw"))
+    parts = encoded(rows.select("doc_id", "text", "held_out", _turn("draw")), tokenizer, block_words)
+    flat, vocabulary = fit(parts, tokenizer)
     send = spark.sparkContext.broadcast
-    blocks = written(rows.mapInArrow(_blocks(tokenizer, send(flat), send(vocabulary), block_words), _BLOCKS), "blocks")
+    with _split_small(spark):
+        scores = written(parts.filter("ids is not null").select("block", "first", "sizes", "n_ids", "ids")
+                         .mapInArrow(_slice_scores(send(flat), send(vocabulary)), "block long, place int, c long, score double"), "scores")
+    blocks = parts.filter("ids is null")
     own = blocks.select("block", "words", "counts").mapInArrow(_block_words, "block long, place int, word long, n long")
     counts = written(own.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), "counts")
     n = counts.agg(F.sum("c").alias("total"), F.count("c").alias("distinct")).first()
-    back = own.select("block", "place", "word").join(counts, "word").select("block", "place", F.col("c").cast("long"))
-    return (blocks.groupBy("block").cogroup(back.groupBy("block"))
+    back = own.select("block", "place", "word").join(counts, "word").select("block", "place", F.col("c").cast("long"), F.lit(0.0).alias("score"))
+    blocks = blocks.select("block", "doc_ids", "held", "lens", F.expr("cast(octet_length(words) div 8 as int)").alias("distinct"), "places")
+    return (blocks.groupBy("block").cogroup(back.union(scores).groupBy("block"))
             .applyInArrow(_scored(int(n["total"] or 0), int(n["distinct"] or 0)), _SCORED))
 
 
