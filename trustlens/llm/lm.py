@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlens.llm.common import give_back, ready, source, written
+from trustlens.llm.common import discard, give_back, ready, source, written
 from trustlens.llm.subwords import END_ID, Encoder, default_path
 from trustlens.llm.words import hashed_rows, mix
 
@@ -129,7 +129,7 @@ def _exp(z: np.ndarray) -> np.ndarray:
 
 
 def _inner(weights: np.ndarray, first: np.ndarray, h: np.ndarray, group: np.ndarray, rank: np.ndarray, w: np.ndarray, g: np.ndarray):
-    """Loss of ids within their classes, and its gradient: to the weights into g, and (rows, gradient to those rows of h)."""
+    """Loss of ids within their classes, and its gradient: to the weights into g, and (rows, gradient to those rows of h, then zeros)."""
     order, cuts = _by_group(group, first)
     begin, widths = first[:-2], np.diff(first[:-1])
     sizes = np.diff(cuts)[:len(begin)] * (widths > 1)
@@ -139,7 +139,7 @@ def _inner(weights: np.ndarray, first: np.ndarray, h: np.ndarray, group: np.ndar
     cls = np.repeat(np.arange(len(begin)), sizes)
     picked = cells[cls] + (np.arange(len(order)) - rows[cls]) * widths[cls] + rank - begin[cls]
     # the logits of all classes lie end to end, so that most steps are taken once for all of them
-    flat, sums, dh = np.empty(int((sizes * widths).sum()), h.dtype), np.empty(len(order), h.dtype), np.empty((len(order), WIDTH), h.dtype)
+    flat, sums, dh = np.empty(int((sizes * widths).sum()), h.dtype), np.empty(len(order), h.dtype), np.zeros((len(order) + 1, WIDTH), h.dtype)
     ones, parts = np.ones(WIDEST, h.dtype), []
     for n, m, row, cell, at in zip(sizes.tolist(), widths.tolist(), rows.tolist(), cells.tolist(), begin.tolist(), strict=True):
         if n:
@@ -188,7 +188,9 @@ def step(p: dict, first: np.ndarray, x: np.ndarray, group: np.ndarray, rank: np.
     g["head"][:] = (z.T @ h).T
     dh = z @ p["head"][:-1].T
     inner, at, more = _inner(p["inner"], first, h, group, rank, w, g["inner"])
-    dh[at] += more
+    place = np.full(len(h), len(at))
+    place[at] = np.arange(len(at))
+    dh += more.take(place, axis=0)
     g["out"][:] = c.T @ dh
     dc = dh @ p["out"].T
     inside = np.einsum("ij,ij->i", dc, c).reshape(b, CONTEXT, 1)  # of each place: its weights times their gradients
@@ -197,9 +199,9 @@ def step(p: dict, first: np.ndarray, x: np.ndarray, group: np.ndarray, rank: np.
     ds -= inside
     ds *= a
     d = np.empty((b, CONTEXT, 3 * WIDTH), kind)
-    d[:, :, cut[0]] = ds @ k
-    d[:, :, cut[1]] = ds.transpose(0, 2, 1) @ q
-    d[:, :, cut[2]] = a.transpose(0, 2, 1) @ dc
+    np.matmul(ds, k, out=d[:, :, cut[0]])
+    np.matmul(ds.transpose(0, 2, 1), q, out=d[:, :, cut[1]])
+    np.matmul(a.transpose(0, 2, 1), dc, out=d[:, :, cut[2]])
     d = d.reshape(-1, 3 * WIDTH)
     to = flat.T @ d
     g["query"][:], g["key"][:], g["value"][:] = to[:, cut[0]] * scale, to[:, cut[1]], to[:, cut[2]]
@@ -218,14 +220,22 @@ def step(p: dict, first: np.ndarray, x: np.ndarray, group: np.ndarray, rank: np.
 class Adam:
     def __init__(self, flat: np.ndarray, rate: float):
         self.flat, self.rate, self.t = flat, rate, 0
-        self.m, self.v = np.zeros_like(flat), np.zeros_like(flat)
+        self.m, self.v, self.room = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
 
     def move(self, g: np.ndarray, scale: float) -> None:
         self.t += 1
-        self.m += np.float32(0.1) * (g - self.m)
-        self.v += np.float32(0.01) * (g * g - self.v)
+        self.m *= np.float32(0.9)
+        self.m += np.multiply(g, np.float32(0.1), out=self.room)
+        self.v *= np.float32(0.99)
+        np.multiply(g, g, out=self.room)
+        self.room *= np.float32(0.01)
+        self.v += self.room
         rate = self.rate * scale * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        self.flat -= np.float32(rate) * self.m / (np.sqrt(self.v) + np.float32(1e-8))
+        np.sqrt(self.v, out=self.room)
+        self.room += np.float32(1e-8)
+        np.divide(self.m, self.room, out=self.room)
+        self.room *= np.float32(rate)
+        self.flat -= self.room
 
 
 class Scorer:
@@ -302,7 +312,7 @@ class Scorer:
         get = lambda pair, x, skip=0: pair[0].take(x, axis=0) + pair[1][skip:]
         q, k, v = get(self.query, x[:, skip:], skip), get(self.key, x), get(self.value, x)
         w = self.weights[:len(x), :CONTEXT - skip]
-        np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)), out=w)
+        np.matmul(q, k.transpose(0, 2, 1), out=w)
         np.minimum(w, np.float32(60), out=w)
         np.exp(w, out=w)
         w *= self.mask[skip:]
@@ -348,6 +358,8 @@ def _slices(encoder: Encoder | None, batch: pa.RecordBatch, turn: int | None = N
 def _id_counts(size: int):
     """How often each id occurs in training documents; the two numbers after the last id stand for bytes of text and tasks."""
     def run(batches):
+        for encoder in Encoder.loaded():  # the pass that encodes is over
+            _free(encoder)
         total = np.zeros(size + 2, np.int64)
         for batch in batches:
             for turn in range(ROUNDS):
@@ -404,7 +416,7 @@ def _trained(tokenizer: str, flat, vocabulary, expected: float, turn: int | None
                 order = rng.permutation(len(x))
                 for a in range(0, len(order), STEP_WINDOWS):
                     some = order[a:a + STEP_WINDOWS]
-                    step(p, words.first, x[some], y[some], r[some], live[some], g)
+                    step(p, words.first, *(c.take(some, axis=0) for c in (x, y, r, live)), g)
                     # a short rise, then down to a tenth
                     adam.move(grad, min(1.0, (adam.t + 1) / 20) * (1 - 0.9 * min(1.0, (done + size * t / total) / expected)))
                     t += 1
@@ -512,7 +524,7 @@ def _encode(tokenizer: str, block_words: int):
                     ids, held, lens, words, n = [], [], [], [], 0
         if ids:
             yield block()
-        _free(encoder)
+        give_back()  # the encoder's words stay for the worker's next task of this pass
     return run
 
 
@@ -600,6 +612,7 @@ def score_documents(docs: DataFrame, tokenizer: str, block_words: int = BLOCK_WO
     own = blocks.select("block", "words", "counts").mapInArrow(_block_words, "block long, place int, word long, n long")
     counts = written(own.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), "counts")
     n = counts.agg(F.sum("c").alias("total"), F.count("c").alias("distinct")).first()
+    discard(spark, [])  # the shuffles of training and of counting
     back = own.select("block", "place", "word").join(counts, "word").select("block", "place", F.col("c").cast("long"), F.lit(0.0).alias("score"))
     blocks = blocks.select("block", "doc_ids", "held", "lens", F.expr("cast(octet_length(words) div 8 as int)").alias("distinct"), "places")
     return (blocks.groupBy("block").cogroup(back.union(scores).groupBy("block"))

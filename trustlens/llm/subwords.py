@@ -75,6 +75,11 @@ class Encoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
+    @classmethod
+    def loaded(cls) -> list["Encoder"]:
+        """The encoders that this worker has."""
+        return list(cls._by_path.values())
+
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
